@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sharding, token_counts
+from . import ann, fingerprints, langid, mixing, neardup, packing, quality, sharding, token_counts
 from .common import documents, fold, scratch
 
 
@@ -25,11 +25,24 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = packing.pieces(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.packed(items)
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.sharded(documents(spark, sf_dir), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(documents(spark, sf_dir).select("doc_id", "text"), k=2, percent=80)
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     out = token_counts.counted(docs, public_tokenizers.path("piece_bpe_32k.model"), scratch(spark, "token-cache"))
@@ -42,8 +55,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predicted(docs.select("doc_id", "held_out", "text"), model).drop("text")
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op6_sharding, op8_token_counts, op9_language_id)
+    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op4_best_fit_packing, op5_fingerprints, op6_sharding, op7_near_duplicates, op8_token_counts, op9_language_id, op10_nearest_neighbours)
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
