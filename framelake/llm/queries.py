@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, langid, mixing, neardup, packing, quality, sharding, token_counts
+from . import ann, fingerprints, langid, mixing, neardup, packing, quality, sharding, suffix_dedup, token_counts
 from .common import documents, fold, scratch
 
 
@@ -25,6 +25,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measured(documents(spark, sf_dir).select("doc_id", "text"), length=100)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = packing.pieces(documents(spark, sf_dir).select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.packed(items)
@@ -60,7 +64,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op4_best_fit_packing, op5_fingerprints, op6_sharding, op7_near_duplicates, op8_token_counts, op9_language_id, op10_nearest_neighbours)
+    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_suffix_dedup, op4_best_fit_packing, op5_fingerprints, op6_sharding, op7_near_duplicates, op8_token_counts, op9_language_id, op10_nearest_neighbours)
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
