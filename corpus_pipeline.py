@@ -1,6 +1,64 @@
-STAGES = []
+"""From raw documents to packed sequences: five stages, each by one operator of framelake.llm.
+
+Every stage but the last returns the columns of documents; a stage works on all that its predecessor kept. Null texts
+pass the filters as empty ones and end as a single end token; empty tables pass through every stage. Rows that repeat
+an id count as one document and stay or go together.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from framelake.llm import mixing, neardup, packing, quality, suffix_dedup
+from framelake.llm.common import fold, staged
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier scores 0.3 or more."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold(5) != 0).select("doc_id", F.col("quality").alias("label"))
+    return quality.scored(docs.select(*COLUMNS), quality.trained(docs, labels), threshold=0.3).where("predicted = 1").select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group: shingles of five words, similarity 0.8 or more, the smallest id stays."""
+    gone = neardup.grouped(docs, k=5, percent=80).where(~F.col("kept")).select("doc_id")
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the strings of 100 bytes or more that occur earlier in the corpus."""
+    return suffix_dedup.cut(docs.select(*COLUMNS), length=100).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    taken = mixing.mixed(docs.select(*COLUMNS)).where("copies > 0")
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 4096 tokens: a row for each piece of a document."""
+    return packing.packed(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("packing", pack),
+]
+
+#: The classifier, the sketches and the tokenizer have no counterpart in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
