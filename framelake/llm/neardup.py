@@ -6,10 +6,12 @@ registers. Documents with equal sets are one class from then on. Classes that ag
 are candidates; the Jaccard similarity is estimated from how many registers are less, equal and greater, given both set
 sizes, by maximum likelihood; what the estimate doesn't rule out is checked on the full sets, and links are components.
 
-A band's bucket of up to ALL_PAIRS classes gives all pairs, a larger one only links to centres, one per band and chosen
-by a hash. Pairs inside a component need no check, so the most likely pair of every class is checked first. What large
-buckets still hold of different components is then compared across components only, so no link between components is
-lost, while a group of near copies of any size costs a number of pairs proportional to it.
+A band's bucket of up to ALL_PAIRS classes gives all pairs, a larger one only pairs with its centre, the class with the
+least hash. Pairs inside a component need no check, so the most likely pair of every class is checked first. Large
+buckets that still hold several components are joined to clusters where they share classes; in a cluster, classes outside
+its main component are compared with all others in blocks, by products of 0/1 matrices of full sets, of which only true
+links are put out. So no link between components is lost, a group of near copies of any size costs pairs in proportion to
+it, and only classes that stay unlinked inside such a group meet all its members.
 
 At a similarity of 0.8 two sets share no band with probability (1 - 0.8**4)**32 = 5e-8, and the estimate (standard error
 0.035) rules a true link out with about 1e-6.
@@ -34,6 +36,8 @@ REGISTERS, BAND_ROWS = 128, 4
 BANDS = REGISTERS // BAND_ROWS
 BASE_B, SCALE = 1.001, 32.0
 ALL_PAIRS = 16
+#: Classes in a block of those outside a cluster's main component, and of all of its classes.
+ACROSS, ALONG = 256, 1024
 #: Standard errors under the threshold at which an estimate still counts as possible.
 MARGIN = 4.7
 
@@ -171,7 +175,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
 
     width = 2 * BAND_ROWS
     rows = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select("node", "band", F.expr(f"substring(registers, band * {width} + 1, {width})").alias("value"))
-    buckets = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node", "band").alias("h"), "node")).alias("c")).where("size > 1").select("band", "value", "size", F.col("c.node").alias("centre"))
+    buckets = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c")).where("size > 1").select("band", "value", "size", F.col("c.node").alias("centre"))
     members = staged(rows.join(buckets, ["band", "value"]), "members")
 
     pairs = staged(_estimated(_candidates(members), classes, threshold), "pairs")
@@ -185,15 +189,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
     links = links.unionByName(staged(_confirmed(_apart(pairs.join(best, ["a", "b"], "left_anti"), names), sets, percent), "links"))
     names = components(links)
 
-    # large buckets: what is not in the bucket's main component, against all other components of the bucket
-    large = members.where(F.col("size") > ALL_PAIRS).join(names, "node", "left").select("band", "value", "node", F.coalesce("root", "node").alias("root"))
-    per = staged(large.groupBy("band", "value", "root").agg(F.count("*").alias("n")), "large")
-    main = per.groupBy("band", "value").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("roots")).where("roots > 1").select("band", "value", F.col("m.root").alias("main"))
-    mixed = staged(large.join(main, ["band", "value"]), "large")
-    others = mixed.where("root != main").select("band", "value", F.col("node").alias("x"), F.col("root").alias("root_x"))
-    rest = others.join(mixed.select("band", "value", F.col("node").alias("y"), "root"), ["band", "value"]).where("root_x != root").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-    more = staged(_confirmed(_estimated(rest, classes, threshold), sets, percent), "links")
+    more = staged(_across(members, names, sets, percent), "links")
     if not more.isEmpty():
         names = components(links.unionByName(more))
 
@@ -204,6 +200,51 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _across(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different components of large buckets: the exact way for what the centres left open."""
+    large = members.where(F.col("size") > ALL_PAIRS).join(names, "node", "left").select("band", "value", "centre", "node", F.coalesce("root", "node").alias("root"))
+    open_buckets = large.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "value")
+    mixed = staged(large.join(open_buckets, ["band", "value"]).select("node", "root", "centre").distinct(), "open")
+    clusters = components(mixed.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("root", "cluster")
+    rooted = staged(mixed.select("node", "root").distinct().join(clusters, "node"), "open")
+    count = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    plan = count.select("cluster", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / ACROSS).alias("xs"), F.ceil(F.col("n") / ALONG).alias("ys"))
+    every = staged(rooted.join(plan, "cluster"), "open").join(sets, "node")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = every.where("root != main").select("cluster", own("xs").alias("i"), spread("ys").alias("j"), "node", "root", "shingles")
+    y = every.select(F.col("cluster").alias("cluster"), spread("xs").alias("i"), own("ys").alias("j"), *[F.col(c).alias(c) for c in ("node", "root", "shingles")])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        sides = [(t["node"].to_numpy(), t["root"].to_numpy(), [np.frombuffer(s.as_buffer(), "<u8") for c in t["shingles"].chunks for s in c]) for t in (left, right)]
+        (a, root_a, x), (b, root_b, y) = sides
+        if not len(a) or not len(b):
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        known = np.unique(np.concatenate(x))
+        shared = np.zeros((len(x), len(y)), np.float32)
+        places = []
+        for rows in (x, y):
+            flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+            hit = known[at] == flat
+            order = np.argsort(at[hit], kind="stable")
+            places.append((at[hit][order], owner[hit][order]))
+        for first in range(0, len(known), 4096):
+            tables = []
+            for (at, owner), rows in zip(places, (x, y)):
+                i, j = np.searchsorted(at, [first, first + 4096])
+                table = np.zeros((len(rows), 4096), np.float32)
+                table[owner[i:j], at[i:j] - first] = 1
+                tables.append(table)
+            shared += tables[0] @ tables[1].T
+        union = np.array([len(r) for r in x])[:, None] + np.array([len(r) for r in y])[None, :] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (root_a[:, None] != root_b[None, :]))
+        return pa.table({"a": pa.array(a[i]), "b": pa.array(b[j])})
+
+    by = ["cluster", "i", "j"]
+    return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(compare, "a long, b long")
+
+
 def _sets(texts: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
