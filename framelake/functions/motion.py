@@ -53,16 +53,17 @@ def register(image: np.ndarray, ref: np.ndarray, pooled: bool = False, least: fl
         if level < levels - 1:
             hx, hy = 2 * hx, 2 * hy
         img, old = images[level], refs[level]
-        if min(img.shape) < 3:
+        edge = 4 if level else 1  # beside the border that the pyramid leaves at 0 the gradients mean nothing
+        if min(img.shape) < 2 * edge + 2:
             continue
         dx, dy = (g[0, :, :, 0] for g in stack.gradients(img[None, :, :, None]))
         square = dx * dx + dy * dy
         inner = np.zeros(img.shape, bool)
-        inner[1:-1, 1:-1] = square[1:-1, 1:-1] > least
+        inner[edge:-edge, edge:-edge] = square[edge:-edge, edge:-edge] > least
         y, x = np.nonzero(inner)
         for _ in range(7):
             ix, iy = int(np.floor(hx)), int(np.floor(hy))
-            ok = (x + ix > 1) & (y + iy > 1) & (x + ix + 2 < img.shape[1]) & (y + iy + 2 < img.shape[0])
+            ok = (x + ix >= edge) & (y + iy >= edge) & (x + ix + 1 + edge <= img.shape[1] - 1) & (y + iy + 1 + edge <= img.shape[0] - 1)
             if not ok.any():
                 break
             a, b = y[ok], x[ok]

@@ -262,7 +262,7 @@ def _meta(d: DataFrame) -> DataFrame:
     return d.where("frame_no % 2 = 0").select("stream_id", "frame_no", F.struct((F.col("frame_no") * 7).alias("ts_ns")).alias("meta"))
 
 
-other("g6_attach_metadata", lambda d: joins.attach_metadata(d, _meta(d)), lambda d: d.select("stream_id", "frame_no", F.col("meta.ts_ns").alias("ts_ns")), "SELECT stream_id, frame_no, CASE WHEN frame_no % 2 = 0 THEN frame_no * 7 END AS ts_ns FROM f")
+other("g6_attach_metadata", lambda d: joins.attach_metadata(d, _meta(d)), lambda d: d.select("stream_id", "frame_no", F.coalesce(F.col("meta.ts_ns"), F.lit(-1)).alias("ts_ns")), "SELECT stream_id, frame_no, CASE WHEN frame_no % 2 = 0 THEN frame_no * 7 ELSE -1 END AS ts_ns FROM f")
 
 
 def _intervals(d: DataFrame) -> DataFrame:
