@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Links that one task of a round takes, about.
+TASK_LINKS = 100_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, root) for every node of a link; root is any one node of its component.
@@ -16,14 +19,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     pairs = links.where(F.col("a") != F.col("b")).select("a", "b")
     edges = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    names = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    n = edges.count()
+    parts = 1 + n // TASK_LINKS  # later rounds have fewer links: few tasks and files for few links
+    names = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")).coalesce(parts)
     step = 0
-    while not edges.isEmpty():
+    while n:
         first = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("node"))).alias("near")
         own = F.struct(F.xxhash64("a", F.lit(step)).alias("h"), F.col("a").alias("node"))
-        into = staged(edges.groupBy("a").agg(first).select("a", F.least(own, F.col("near"))["node"].alias("to")), "hooks")
-        names = staged(names.join(into.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "names")
+        into = staged(edges.groupBy("a").agg(first).select("a", F.least(own, F.col("near"))["node"].alias("to")).coalesce(parts), "hooks")
+        names = staged(names.join(into.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")).coalesce(parts), "names")
         half = edges.join(into, "a").select(F.col("to").alias("x"), F.col("b").alias("a"))
-        edges = staged(half.join(into, "a").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a != b").distinct(), "edges")
+        edges = staged(half.join(into, "a").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a != b").distinct().coalesce(parts), "edges")
+        n = edges.count()
         step += 1
     return names
