@@ -92,16 +92,37 @@ def overlaps(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> bool
 
 
 def merge_rects(rects: DataFrame, by: list[str] = BY) -> DataFrame:
-    """(by, rect_id, l, r, t, b) of merged rectangles per frame."""
-    schema = rects.select(*by).schema.add("rect_id", "long").add("l", "integer").add("r", "integer").add("t", "integer").add("b", "integer")
+    """(by, rect_id, l, r, t, b) of merged rectangles per frame; frames pass through a task one after another."""
+    sides = ["l", "r", "t", "b"]
+    rows = rects.select(*by, *[F.col(c).cast("int").alias(c) for c in sides])
+    schema = rows.select(*by).schema.add("rect_id", "long").add("l", "integer").add("r", "integer").add("t", "integer").add("b", "integer")
+    kinds = [f.type for f in pa_schema(rows.select(*by))]
 
-    def run(table: pa.Table) -> pa.Table:
-        boxes = sorted(zip(*(table[c].to_pylist() for c in ("l", "r", "t", "b"))))
-        out = sorted(merged(boxes))
-        keys = {c: pa.array([table[c][0].as_py()] * len(out), table[c].type) for c in by}
-        return pa.table(keys | {"rect_id": pa.array(range(len(out)), pa.int64())} | {c: pa.array([o[i] for o in out], pa.int32()) for i, c in enumerate(("l", "r", "t", "b"))})
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found)) or [[]] * (len(by) + 5)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int64(), *[pa.int32()] * 4])], names=schema.names)
 
-    return rects.select(*by, *[F.col(c).cast("int") for c in ("l", "r", "t", "b")]).groupBy(*by).applyInArrow(run, schema)
+    def run(batches):
+        now, boxes = None, []
+        for batch in batches:
+            found = []
+            for row in zip(*(batch.column(c).to_pylist() for c in [*by, *sides])):
+                if row[: len(by)] != now:
+                    found += [(*now, k, *box) for k, box in enumerate(sorted(merged(boxes)))] if boxes else []
+                    now, boxes = row[: len(by)], []
+                boxes.append(row[len(by) :])
+            yield batch_of(found)
+        if boxes:
+            yield batch_of([(*now, k, *box) for k, box in enumerate(sorted(merged(boxes)))])
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *sides).mapInArrow(run, schema)
+
+
+def pa_schema(df: DataFrame) -> pa.Schema:
+    """The Arrow types of a table's columns, without a job."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    return to_arrow_schema(df.schema)
 
 
 def size_filter(rects: DataFrame, min_area: int = 0, max_area: int | None = None, min_width: int = 0, max_width: int | None = None, min_height: int = 0, max_height: int | None = None) -> DataFrame:
