@@ -321,13 +321,29 @@ def test_nearest_neighbours(spark):
     assert [(r.rank, r.vec_id) for r in few] == [(1, 2), (2, 3)]
 
 
-def test_pipeline_stages(spark, docs, none):
+def test_pipeline_stages_equal_brute_force(spark, docs, none):
     import corpus_pipeline
 
-    frame = docs.select(*SCHEMA.replace(" long", "").replace(" string", "").split(", "))
-    for name, stage in corpus_pipeline.STAGES[1:4]:
-        out = stage(spark, frame, "")
-        assert out.columns == frame.columns, name
-        assert stage(spark, frame.where("false"), "").count() == 0
-    kept = [r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame, "").collect()]
-    assert 33 not in kept and 24 not in kept[:0] and 0 in kept
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    frame, empty = docs.select(*names), none.select(*names)
+    stages = dict(corpus_pipeline.STAGES)
+    assert list(stages) == ["quality", "near_duplicates", "suffix_dedup", "mixing", "packing"]
+
+    groups = brute_groups(pairs_of(frame), 5, 80)
+    kept = stages["near_duplicates"](spark, frame, "")
+    assert kept.columns == names
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in pairs_of(frame) if groups[d][1] == d)
+
+    expected = brute_repeats(pairs_of(frame), 100)
+    cut = stages["suffix_dedup"](spark, frame, "").collect()
+    assert len(cut) == frame.count()
+    for r in cut:
+        if r.text is not None and r.text.isascii():
+            assert hashlib.sha256(r.text.encode()).hexdigest() == expected[r.doc_id][3] and r.n_chars == len(r.text)
+
+    copies = Counter()
+    for r in mixing.mixed(frame).collect():
+        copies[(r.doc_id, r.text)] += r.copies
+    assert Counter((r.doc_id, r.text) for r in stages["mixing"](spark, frame, "").collect()) == +copies
+    for name in ("suffix_dedup", "mixing", "packing"):
+        assert stages[name](spark, empty, "").count() == 0
