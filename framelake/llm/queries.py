@@ -67,4 +67,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_suffix_dedup, op4_best_fit_packing, op5_fingerprints, op6_sharding, op7_near_duplicates, op8_token_counts, op9_language_id, op10_nearest_neighbours)
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}

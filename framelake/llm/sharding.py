@@ -42,3 +42,16 @@ def sharded(docs: DataFrame, shards: int = 40, key: str = "doc_id", text: str =
     )
     start = placed.groupBy("shard").agg(F.min("at").alias("start"))
     return placed.join(F.broadcast(start), "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("at") - F.col("start")).alias("slot"))
+
+
+#: The checksum is CRC-32 by its table, a byte at a time.
+ORACLE_SQL = r"""
+WITH n AS (SELECT unnest(range(256)) AS b),
+k AS (SELECT list(list_reduce(list_prepend(b, [0, 1, 2, 3, 4, 5, 6, 7]), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS tab FROM n),
+h AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 16 AS size, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(range(size - 16), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT))),
+  lambda a, b: xor(a // 256, tab[xor(a, b) % 256 + 1])), 4294967295) AS BIGINT) AS text_crc32 FROM h, k),
+s AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS before, sum(size) OVER () AS total FROM c),
+p AS (SELECT *, least(CAST((2 * before + size) * 40 // (2 * total) AS INTEGER), 39) AS shard FROM s)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+"""
