@@ -9,8 +9,9 @@ rows are scored exactly.
 A part's rows are dealt to blocks of bounded size, and so are the queries that visit it, so a part with a third of all
 rows (many equal vectors) is many tasks. Vectors that are null, zero, of another dimension than most of the sample, or
 that hold null or non-finite components take no part, as query or candidate. Ties go to the smaller id; rows with a
-query's own id aren't its candidates, and a repeated id counts once, with its best score. An empty table gives an
-empty result.
+query's own id aren't its candidates, and a repeated id counts once, with its best score: equal rows are made one before
+the index, and a block takes the best score of each id before it takes the k best ids. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -155,6 +156,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     spark = table.sparkSession
     small_batches(spark, 4096)
     rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable("v") & F.col("vec_id").isNotNull())
+    rows = staged(rows.groupBy("vec_id", "v").agg(F.max("asks").alias("asks")), "ann-rows")
     n = rows.count()
     model = fit(rows, n)
     if model is None:
@@ -180,11 +182,11 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     def spread(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
 
-    def own(column: str, n: str) -> Column:
-        return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+    def own(key: str, v: str, n: str) -> Column:
+        return F.pmod(F.xxhash64(key, v), F.col(n)).cast("int")  # one id may have many vectors
 
-    left = asked.join(plan, "part").select("part", spread("row_blocks").alias("rb"), own("query_id", "query_blocks").alias("qb"), "query_id", "q")
-    right = index.select(F.col("parts")[0].alias("part"), "vec_id", "v").join(plan, "part").select("part", own("vec_id", "row_blocks").alias("rb"), spread("query_blocks").alias("qb"), "vec_id", "v")
+    left = asked.join(plan, "part").select("part", spread("row_blocks").alias("rb"), own("query_id", "q", "query_blocks").alias("qb"), "query_id", "q")
+    right = index.select(F.col("parts")[0].alias("part"), "vec_id", "v").join(plan, "part").select("part", own("vec_id", "v", "row_blocks").alias("rb"), spread("query_blocks").alias("qb"), "vec_id", "v")
 
     def score(ask: pa.Table, have: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
@@ -192,16 +194,18 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
             dim = shared.value.dim
             q_id, ids = ask["query_id"].to_numpy(), have["vec_id"].to_numpy()
             q = ask["q"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-            v = have["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            by_id = np.argsort(ids, kind="stable")
+            v = have["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)[by_id]
+            ids, first = np.unique(ids[by_id], return_index=True)
             for i in range(0, len(q), 64):
                 s = np.einsum("qd,cd->qc", q[i : i + 64], v)  # every pair is summed in one order, so equal vectors tie
+                if len(ids) < len(v):
+                    s = np.maximum.reduceat(s, first, axis=1)
                 s[q_id[i : i + 64, None] == ids[None, :]] = -np.inf
                 floor = np.partition(s, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(s), -np.inf)
                 r, c = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
                 order = np.lexsort((ids[c], -s[r, c], r))
                 r, c = r[order], c[order]
-                new = np.concatenate([[True], (r[1:] != r[:-1]) | (ids[c[1:]] != ids[c[:-1]])]) if len(r) else np.zeros(0, bool)
-                r, c = r[new], c[new]
                 top = np.arange(len(r)) - np.searchsorted(r, r) < k
                 found.append((q_id[i + r[top]], ids[c[top]], s[r[top], c[top]]))
         parts = [np.concatenate(x) for x in zip(*found)] or [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]

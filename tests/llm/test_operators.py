@@ -321,6 +321,27 @@ def test_nearest_neighbours(spark):
     assert [(r.rank, r.vec_id) for r in few] == [(1, 2), (2, 3)]
 
 
+@pytest.mark.parametrize("times", [1, 2])
+def test_nearest_neighbours_of_an_id_on_many_rows(spark, times):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(100, 8))
+    x[60:] = 3 * x[0] + 0.1 * rng.normal(size=(40, 8))  # one id on more than k rows, all nearest to the query
+    ids = [*range(60), *[500] * 40]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)] * times, "vec_id long, embedding array<double>")
+    for asks in (F.col("vec_id") < 3, F.col("vec_id") == 500):
+        by = defaultdict(list)
+        for r in ann.nearest(table, asks, 20).orderBy("query_id", "rank").collect():
+            by[r.query_id].append((r.vec_id, round(r.score, 9)))
+        for q in set(by):
+            best = {}
+            for a in (v for i, v in zip(ids, x) if i == q):
+                for i, v in zip(ids, x):
+                    if i != q:
+                        best[i] = max(best.get(i, -np.inf), round(float(a @ v), 9))
+            assert by[q] == sorted(best.items(), key=lambda e: (-e[1], e[0]))[:20]
+        assert sorted(by) in ([0, 1, 2], [500])
+
+
 def test_pipeline_stages_equal_brute_force(spark, docs, none):
     import corpus_pipeline
 
