@@ -27,6 +27,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,10 +135,17 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
     """The texts of the runs that are listed with each document: whole for a key's shard, or window by window."""
 
     def run(batches):
+        own_id, texts_of = None, set()
         for batch in batches:
             listed = batch.column("listed")
             for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 raw = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
+                doc, digest = batch.column("doc_id")[i].as_py(), hashlib.sha256(raw).digest()
+                if doc != own_id:
+                    own_id, texts_of = doc, set()
+                if digest in texts_of:  # a sorted join has the rows of an id together; the scan drops what is left
+                    continue
+                texts_of.add(digest)
                 total = spans.prefix(raw)
                 rows = listed[i].values
                 start, n, check, key, hot = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key", "hot"))
@@ -152,18 +160,32 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 for k in range(0, len(begin), 20_000):
                     part = slice(k, k + 20_000)
                     texts = pa.array([body[a : a + b] for a, b in zip(begin[part].tolist(), size[part].tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(deal[part]), pa.array(np.full(len(texts), batch.column("doc_id")[i].as_py(), np.int64)), pa.array(begin[part].astype(np.int32)), texts], names=["deal", "doc_id", "start", "bytes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(deal[part]), pa.array(np.full(len(texts), doc, np.int64)), pa.array(begin[part].astype(np.int32)), texts], names=["deal", "doc_id", "start", "bytes"])
 
     return joined.mapInArrow(run, "deal long, doc_id long, start int, bytes binary")
 
 
+def _once(batches):
+    """Sorted batches without rows that equal the row before: rows of one id and one text give the same segments."""
+    last = None
+    for batch in batches:
+        if batch.num_rows:
+            whole = pa.Table.from_batches([last, batch] if last is not None else [batch]).combine_chunks().to_batches()[0]
+            new = np.ones(whole.num_rows, bool)
+            same = [pc.equal(whole.column(c)[1:], whole.column(c)[:-1]).to_numpy(zero_copy_only=False) for c in ("doc_id", "start", "bytes")]
+            new[1:] = ~np.logical_and.reduce(same)
+            new[0] = last is None
+            last = batch.slice(batch.num_rows - 1)
+            yield whole.filter(pa.array(new))
+
+
 def _scanned(segments: DataFrame, length: int) -> DataFrame:
     """(doc_id, start, n, check) of the repeated windows, from each shard's family of suffix arrays."""
     shards = 4 * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         family = SuffixLevels(length)
-        for batch in batches:
+        for batch in _once(batches):
             body, at = spans.utf8(batch.column("bytes"))
             doc, origin = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
             counts = np.diff(at) - length + 1
@@ -186,7 +208,7 @@ def _scanned(segments: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(doc[seg[a]]), pa.array((origin[seg[a]] + inner[a]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32)), pa.array(check)], names=["doc_id", "start", "n", "check"])
                 i = j
 
-    dealt = segments.repartition(shards, "deal").sortWithinPartitions("doc_id", "start")
+    dealt = segments.repartition(shards, "deal").sortWithinPartitions("doc_id", "start", "bytes")
     return dealt.mapInArrow(run, "doc_id long, start int, n int, check int")
 
 

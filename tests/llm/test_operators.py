@@ -111,6 +111,26 @@ def test_suffix_dedup_equals_brute_force(docs, none, hot, monkeypatch):
     assert cut[0].text is None and cut[42].text.startswith("the quick") and cut[42].score == "mine"
 
 
+@pytest.mark.parametrize("hot", [512, 0])
+def test_suffix_dedup_of_repeated_near_copies(spark, hot, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "HOT_RUNS", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH_WINDOWS", 70)
+    made = texts()
+    rows = [(i, made[k]) for i, k in enumerate((9, 12, 5, 10, 18)) for _ in range(3)]  # 12 is a near copy of 9
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = suffix_dedup.measured(table).collect()
+    expected = brute_repeats(rows, 100)
+    assert len(found) == 15 and all(tuple(r)[1:] == expected[r.doc_id] for r in found)
+
+
+def test_sorted_segments_are_taken_once():
+    names = ["deal", "doc_id", "start", "bytes"]
+    rows = [(1, 5, 0, b"a"), (1, 5, 0, b"a"), (1, 5, 0, b"b"), (1, 5, 1, b"b"), (1, 6, 1, b"b"), (1, 6, 1, b"b"), (1, 6, 1, b"b")]
+    for n in (1, 2, 7):
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + n])], names=names) for i in range(0, 7, n)]
+        assert [tuple(r.values()) for b in suffix_dedup._once(batches) for r in b.to_pylist()] == list(dict.fromkeys(rows))
+
+
 def test_suffix_levels_stay_logarithmic():
     family, rng, seen = suffix_dedup.SuffixLevels(4), np.random.default_rng(0), set()
     for _ in range(40):
