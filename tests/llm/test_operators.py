@@ -123,6 +123,22 @@ def test_suffix_dedup_of_repeated_near_copies(spark, hot, monkeypatch):
     assert len(found) == 15 and all(tuple(r)[1:] == expected[r.doc_id] for r in found)
 
 
+def test_suffix_dedup_tells_runs_with_half_a_hash_in_common(spark):
+    rng = np.random.default_rng(1)
+    grams = rng.integers(97, 123, (2000, 32)).astype(np.uint8)
+    keys = [suffix_dedup.runs(g, np.array([0, 32]), 32)[3].view(np.uint64)[0] for g in grams]
+    body = rng.integers(97, 123, (300_000, 100)).astype(np.uint8)
+    body[:, 34:66] = grams[int(np.argmin(keys))]  # the anchor of almost every text
+    at = np.arange(0, body.size + 1, 100)
+    half = spans.span_hash(spans.prefix(body.ravel()), at[:-1], at[1:]) >> np.uint64(32)
+    key = suffix_dedup.runs(body.ravel(), at, 100)[3]  # one run a text
+    order = np.lexsort((half, key))
+    i = np.flatnonzero((half[order][1:] == half[order][:-1]) & (key[order][1:] == key[order][:-1]))[0]
+    rows = [(k, body[order[i + k]].tobytes().decode()) for k in (0, 1)]
+    assert rows[0][1] != rows[1][1]
+    assert [r.n_removed for r in suffix_dedup.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
+
+
 def test_sorted_segments_are_taken_once():
     names = ["deal", "doc_id", "start", "bytes"]
     rows = [(1, 5, 0, b"a"), (1, 5, 0, b"a"), (1, 5, 0, b"b"), (1, 5, 1, b"b"), (1, 6, 1, b"b"), (1, 6, 1, b"b"), (1, 6, 1, b"b")]
