@@ -13,6 +13,8 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.let import let
+
 SCHEMA = "stream_id string, frame_no bigint, img_no int, ts timestamp, width int, height int, pix_fmt string, px array<float>, meta struct<ts_ns: bigint>"
 KEY = ["stream_id", "frame_no", "img_no"]
 IMAGE = ["stream_id", "img_no"]
@@ -72,6 +74,31 @@ def from_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tiled(df: DataFrame, side: int = 4) -> DataFrame:
+    """Test frames large enough to be registered: side * side consecutive one-channel frames of a stream, row by row, in one.
+
+    Places after the last frame of a stream are grey. With 4, the 8 x 8 frames become 32 x 32, and tables of 50 vectors a
+    stream still have several frames.
+    """
+    each = side * side
+    rest = [c for c in df.columns if c not in (*KEY, "px")]
+    groups = df.groupBy("stream_id", "img_no", F.floor(F.col("frame_no") / each).alias("frame_no")).agg(
+        F.sort_array(F.collect_list(F.struct("frame_no", "px"))).alias("tiles"), F.min_by(F.struct(*rest), "frame_no").alias("one")
+    )
+
+    def place(px: Column, w: Column, h: Column) -> Column:
+        def value(i: Column) -> Column:
+            y, x = F.floor(i / (w * side)), i % (w * side)
+            tile = F.floor(y / h) * side + F.floor(x / w)
+            return F.coalesce(F.get(px, (tile * w * h + (y % h) * w + x % w).cast("int")), F.lit(128.0))
+
+        return F.transform(F.sequence(F.lit(0), w * h * each - 1), value)
+
+    px = let(place, F.flatten(F.transform("tiles", lambda t: t["px"])), F.col("one.width"), F.col("one.height"))
+    new = {"px": floats(px), **{c: (F.col(f"one.{c}") * side).cast("int") for c in ("width", "height")}}
+    return groups.select(*[new.get(c, F.col(c if c in KEY else f"one.{c}")).alias(c) for c in df.columns])
+
+
 def to_rgb(df: DataFrame) -> DataFrame:
     """Test frames in colour: v, 255 - v, v div 2."""
     px = F.flatten(F.transform("px", lambda v: F.array(v, F.lit(255.0).cast("float") - v, F.floor(v / 2).cast("float"))))

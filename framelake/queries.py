@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .frames import from_embeddings, pixels, to_rgb
+from .frames import from_embeddings, pixels, tiled, to_rgb
 from .operators import filters, geometry, histograms, joins, objects, points, registration, temporal, user
 from .jobs import workloads
 
@@ -211,15 +211,15 @@ def _h(d: DataFrame) -> DataFrame:
     return d.select("stream_id", "frame_no", "img_no", (F.col("frame_no") % 5 - 2).cast("double").alias("hx"), (F.col("frame_no") % 3 - 1).cast("double").alias("hy"))
 
 
-other("f14_register_pairs", lambda d: registration.register_pairs(points.to_y_f32(d)), lambda d: d.select("stream_id", "frame_no", F.round("hx", 4).alias("hx"), F.round("hy", 4).alias("hy")))
+other("f14_register_pairs", lambda d: registration.register_pairs(points.to_y_f32(tiled(d))), lambda d: d.select("stream_id", "frame_no", F.round("hx", 4).alias("hx"), F.round("hy", 4).alias("hy")))
 other("f15_accumulate_shift", lambda d: registration.accumulate_shift(_h(d), 0.5, 1.0), lambda d: d.select("stream_id", "frame_no", F.round("cum_hx", 6).alias("cum_hx"), F.round("cum_hy", 6).alias("cum_hy")))
 _CUM = "u AS (SELECT a.stream_id, a.frame_no, coalesce(sum((b.frame_no % 5 - 2) * pow(0.5::DOUBLE, a.frame_no - b.frame_no + 1)), 0) AS cx, coalesce(CAST(sum(b.frame_no % 3 - 1) AS DOUBLE), 0) AS cy FROM f a LEFT JOIN f b ON a.stream_id = b.stream_id AND b.frame_no <= a.frame_no AND b.frame_no > 2 GROUP BY a.stream_id, a.frame_no)"
 ORACLES["f15_accumulate_shift"] = f"WITH {_F}, {_CUM} SELECT stream_id, frame_no, round(cx, 6) AS cum_hx, round(cy, 6) AS cum_hy FROM u"
 text("f16_stabilise", lambda d: registration.stabilise(d, registration.accumulate_shift(_h(d), 0.5, 1.0)), _CUM + ", r AS (SELECT o.stream_id, o.frame_no, o.x, o.y, coalesce(p.v, 0) AS v FROM p o JOIN u ON u.stream_id = o.stream_id AND u.frame_no = o.frame_no LEFT JOIN p ON p.stream_id = o.stream_id AND p.frame_no = o.frame_no AND p.x = o.x - floor(cx + 0.5::DOUBLE) AND p.y = o.y - floor(cy + 0.5::DOUBLE))")
-other("f17_register_rois", lambda d: registration.register_rois(points.to_y_f32(d), [(0, 0, 6, 6), (2, 2, 6, 6)]), lambda d: d.select("stream_id", "frame_no", F.round("hx", 4).alias("hx"), F.round("hy", 4).alias("hy")))
+other("f17_register_rois", lambda d: registration.register_rois(points.to_y_f32(tiled(d)), [(0, 0, 24, 24), (8, 8, 24, 24)]), lambda d: d.select("stream_id", "frame_no", F.round("hx", 4).alias("hx"), F.round("hy", 4).alias("hy")))
 rounded("f18_dewarp", lambda d: registration.dewarp(points.to_y_f32(d), 0.9))
-text("w1_motion_detection", lambda d: workloads.motion_detection(d, window=5, cell=4)[0])
-other("w2_enhancement", lambda d: points.channel(workloads.enhancement(d), 0), as_pixels, None, True)
+text("w1_motion_detection", lambda d: workloads.motion_detection(tiled(d), window=5, cell=4)[0])
+other("w2_enhancement", lambda d: points.channel(workloads.enhancement(to_rgb(tiled(d))), 0), as_pixels)
 
 # --- several streams
 

@@ -190,3 +190,49 @@ def test_stream_equals_batch(spark, tmp_path):
     seen = []
     live.keep_latest(source(), lambda batch, n: seen.extend(r.frame_no for r in batch.collect())).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "latest")).start().awaitTermination()
     assert len(seen) == 4 and max(seen) == 7
+
+
+@pytest.fixture(scope="module")
+def moving(spark, tmp_path_factory):
+    """An embeddings table whose vectors are the 8 x 8 tiles of a smooth scene that moves by (1.5, -1) a frame."""
+    rows, y, x = [], *np.mgrid[:32, :32].astype(float)
+    for t in range(6):
+        u, v = x - 1.5 * t, y + t
+        scene = 0.2 * (np.sin(u / 3.0) + np.cos(v / 3.5) + 0.5 * np.sin((u + v) / 5.0))
+        rows += [(16 * t + 4 * j + i, scene[8 * j : 8 * j + 8, 8 * i : 8 * i + 8].ravel().tolist(), 0) for j in range(4) for i in range(4)]
+    rows += [(96 + i, [0.1 * i] * 64, 0) for i in range(3)]  # the last frame of the stream isn't full
+    path = tmp_path_factory.mktemp("moving")
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    return str(path)
+
+
+def test_tiled_frames_hold_every_vector(spark, moving):
+    from framelake.frames import from_embeddings, tiled
+
+    small = {r.frame_no: np.array(r.px).reshape(8, 8) for r in from_embeddings(spark, moving).collect()}
+    large = {r.frame_no: r for r in tiled(from_embeddings(spark, moving)).collect()}
+    assert sorted(large) == list(range(7)) and len(small) == 99
+    for t, r in large.items():
+        frame = np.array(r.px).reshape(r.height, r.width)
+        for k in range(16):
+            assert (frame[8 * (k // 4) : 8 * (k // 4) + 8, 8 * (k % 4) : 8 * (k % 4) + 8] == small.get(16 * t + k, 128)).all()
+
+
+@pytest.mark.parametrize("name, off", [("f14_register_pairs", 0.4), ("f17_register_rois", 0.6)])
+def test_registered_queries_recover_shifts(spark, moving, name, off):
+    from framelake.queries import QUERIES
+
+    found = {r.frame_no: (r.hx, r.hy) for r in QUERIES[name](spark, moving).collect()}
+    for t in range(1, 6):
+        assert abs(found[t][0] + 1.5) < off and abs(found[t][1] - 1) < off
+
+
+def test_workloads_of_registered_queries_move_frames(spark, moving):
+    from framelake.frames import from_embeddings, tiled
+    from framelake.queries import QUERIES
+
+    shifts = registration.accumulate_shift(registration.register_pairs(points.to_y_f32(tiled(from_embeddings(spark, moving)))))
+    assert all(abs(r.cum_hx) > 0.5 for r in shifts.where("frame_no in (3, 4, 5)").collect())
+    detected = QUERIES["w1_motion_detection"](spark, moving).collect()
+    assert len(detected) == 7 and all(len(r.px.split(",")) == 1024 for r in detected)
+    assert QUERIES["w2_enhancement"](spark, moving).count() == 7 * 1024
