@@ -38,6 +38,26 @@ def staged(df: DataFrame, name: str, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key that meets more than 1/HEAVY of all rows is dealt to several tasks.
+HEAVY = 1024
+
+
+def join_heavy(rows: DataFrame, keys: DataFrame, on: list[str], count: str, deal: list[str]) -> DataFrame:
+    """rows joined with keys (one row for each value of `on`; `count`: the rows it meets) where one key may meet most rows.
+
+    The rows of a heavy key are dealt by the columns `deal` to as many parts as it holds shares of total / HEAVY, and
+    its row in keys goes to each part. There are at most 2 * HEAVY such keys, which are broadcast, with at most twice as
+    many parts. keys is read twice, so it should be a staged table.
+    """
+    total = keys.agg(F.sum(count)).first()[0] or 0
+    share = max(1, total // HEAVY)
+    heavy = F.broadcast(keys.where(F.col(count) > share).select(*on, F.ceil(F.col(count) / share).cast("int").alias("__parts")))
+    part = F.pmod(F.xxhash64(*deal), F.coalesce("__parts", F.lit(1))).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    spread = keys.join(heavy, on, "left").withColumn("__part", copies).drop("__parts")
+    return rows.join(heavy, on, "left").withColumn("__part", part).drop("__parts").join(spread, [*on, "__part"]).drop("__part")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -13,14 +13,17 @@ import pyarrow as pa
 
 BASE = 0x9E3779B97F4A7C15
 UNBASE = pow(BASE, -1, 1 << 64)
+BASES = (BASE, 0xD1342543DE82EF95)
+UNBASES = (UNBASE, pow(BASES[1], -1, 1 << 64))
 TABLE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+TABLES = (TABLE, np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BLOCK = 1 << 20
 
-_powers = {BASE: np.ones(1, np.uint64), UNBASE: np.ones(1, np.uint64)}
+_powers = {base: np.ones(1, np.uint64) for base in BASES + UNBASES}
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -62,16 +65,17 @@ def blocks(raw: np.ndarray, at: np.ndarray, most: int = BLOCK) -> Iterator[tuple
         i = j
 
 
-def prefix(raw: np.ndarray) -> np.ndarray:
+def prefix(raw: np.ndarray, kind: int = 0) -> np.ndarray:
+    """Prefix sums of one of two independent hashes."""
     total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(TABLE[raw] * powers(BASE, len(raw)), out=total[1:])
+    np.cumsum(TABLES[kind][raw] * powers(BASES[kind], len(raw)), out=total[1:])
     return total
 
 
-def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def span_hash(total: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
     if not len(start):
         return np.zeros(0, np.uint64)
-    return mix((total[end] - total[start]) * powers(UNBASE, len(total))[start] + (end - start).astype(np.uint64))
+    return mix((total[end] - total[start]) * powers(UNBASES[kind], len(total))[start] + (end - start).astype(np.uint64))
 
 
 def runs(kind: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -6,19 +6,23 @@ a run; a document has about one run per 35 bytes, and windows can only be equal
 of the anchor's gram). Hence
 
 1. runs whose key occurs once are dropped (one aggregation of keys, one join);
-2. of runs that are equal as a whole, all but the first are repeated as a whole (aggregated by key and digest);
+2. of runs that are equal as a whole, by a 128-bit digest of all bytes they cover, all but the first are repeated as a
+   whole (aggregated by digest, joined back);
 3. the first runs of keys with several different ones go, as short texts, to the shard of their key. A shard takes them in
-   order of document and start, batch by batch: a batch gets a suffix array (its windows sorted), is merge-scanned
-   against the levels that exist, and becomes a level of its own; levels of like size merge, so there are
-   logarithmically many. A window found in a level, or earlier in its batch, is repeated.
+   order of document and start, batch by batch: a batch gets a suffix array (offsets into the shard's text, sorted), which
+   is merge-scanned against the arrays of the levels that exist, and becomes a level of its own; levels of like size
+   merge, so there are logarithmically many. A window found in a level, or earlier in its batch, is repeated.
 
-Keys with very many different runs (the borders of a passage that a large share of all documents has) are dealt by window
-instead of key, so no shard holds more of them than its share; repeated windows are found alike.
+There are as many shards as the windows counted need, SHARD_WINDOWS each. Keys with very many different runs (the borders
+of a passage that a large share of all documents has) would fill a shard with copies of few windows: their windows are
+aggregated one by one by their 128-bit digests instead, as runs are in step 2. Keys and digests that meet a large share
+of all rows are split in every join (join_heavy), and aggregations start before the shuffle.
 
 Null texts are empty; texts shorter than `length` keep everything; matches never cross documents; an earlier start in the
 same document counts. Ids are meant to be unique: rows of one id with one text are treated alike and do not repeat each
 other, and spans carry a checksum, so another text of the same id is never cut by mistake; rows without id keep
-everything. An empty table gives an empty result. Very long texts are hashed in overlapping chunks. Other columns pass.
+everything. An empty table gives an empty result. Very long texts are hashed in overlapping chunks. Other columns pass,
+whatever their names; a column named `repeats` is replaced.
 """
 
 from __future__ import annotations
@@ -32,22 +36,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import small_batches, staged
+from .common import join_heavy, small_batches, staged
 
 GRAM = 32
-#: Different runs of a key beyond which its windows are dealt one by one.
-HOT_RUNS = 512
+#: Different runs of a key, at least, beyond which its windows are aggregated one by one; such keys at most (a broadcast).
+HOT_RUNS, MOST_HOT = 512, 1 << 20
+#: Windows of a shard, about.
+SHARD_WINDOWS = 500_000
 CHUNK = 1 << 22
 _BITS = np.uint64(23)
 _MASK = np.uint64((1 << 23) - 1)
 _BLOCK = 1 << 18
+#: Windows of a suffix array that are compared at once.
+SCAN = 8192
 #: Windows that are sorted at once in a shard.
 BATCH_WINDOWS = 50_000
 
 
-def _check(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All 64 bits: of D different runs with one key and size, D * D / 2 / 2**64 pairs are taken for equal (2e-7 for D = 3 million)."""
-    return spans.span_hash(total, start, end).view(np.int64)
+def _check(total: np.ndarray, start: np.ndarray, end: np.ndarray, kind: int = 0) -> np.ndarray:
+    """One of the two 64-bit halves of the digest of spans; total: prefix sums of that kind."""
+    return spans.span_hash(total, start, end, kind).view(np.int64)
 
 
 def _chunks(raw: np.ndarray, at: np.ndarray, length: int):
@@ -62,10 +70,10 @@ def _chunks(raw: np.ndarray, at: np.ndarray, length: int):
 
 
 def runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """text, start, n (windows), key, check (of all bytes that the windows cover) of every run of a block of texts."""
+    """text, start, n (windows), key, check and more (the digest of all bytes that the windows cover) of every run."""
     none = np.zeros(0, np.int64)
     if len(raw) < length:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     gram, step, base = spans.TABLE[raw], 1, spans.BASE
     while step < GRAM:
         gram = gram[:-step] * np.uint64(base) + gram[step:]
@@ -86,37 +94,70 @@ def runs(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]
     new[1:] = (anchor[1:] != anchor[:-1]) | (text[1 : len(anchor)] != text[: len(anchor) - 1]) | ~valid[:-1]
     ends = np.append(new[1:] | ~valid[1:], True)
     start, last = np.flatnonzero(new & valid), np.flatnonzero(ends & valid)
-    check = _check(spans.prefix(raw), start, last + length)
-    return text[start], start - at[text[start]], last - start + 1, gram[anchor[start]].view(np.int64), check
+    check, more = (_check(spans.prefix(raw, kind), start, last + length, kind) for kind in (0, 1))
+    return text[start], start - at[text[start]], last - start + 1, gram[anchor[start]].view(np.int64), check, more
 
 
 class SuffixLevels:
-    """The family: sorted arrays of distinct windows, each level more than twice as large as the next."""
+    """The family: suffix arrays (offsets of distinct windows in sorted order), each more than twice as large as the next."""
 
     def __init__(self, length: int):
         self.length, self.levels = length, []
-
-    def scan(self, windows: np.ndarray) -> np.ndarray:
-        """Which windows (rows of bytes, in order of document and start) were seen before; then adds the batch."""
-        flat = np.ascontiguousarray(windows).view(f"S{self.length}").ravel()
-        order = np.argsort(flat, kind="stable")
-        array = flat[order]
-        first = np.ones(len(array), bool)
-        first[1:] = array[1:] != array[:-1]
-        fresh = array[first]
-        known = np.zeros(len(fresh), bool)
+        self.text, self.used = np.zeros(1 << 16, np.uint8), 0
+
+    def add(self, body: np.ndarray) -> int:
+        """Where body begins in the shard's text."""
+        begin, self.used = self.used, self.used + len(body)
+        if self.used > len(self.text):
+            self.text = np.concatenate([self.text[:begin], np.zeros(self.used, np.uint8)])
+        self.text[begin : self.used] = body
+        return begin
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        every = np.lib.stride_tricks.sliding_window_view(self.text[: self.used], self.length)
+        return every[at].view(f"S{self.length}").ravel()
+
+    def merge_scan(self, level: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of new, its place in level and whether that place holds an equal window.
+
+        Both arrays are in sorted order and are passed through once, side by side, a block of windows of each at a time;
+        blocks of level that end before the next suffix of new are skipped by their last windows.
+        """
+        place, equal = np.empty(len(new), np.int64), np.zeros(len(new), bool)
+        fences = self.windows(level[np.minimum(np.arange(SCAN, len(level) + SCAN, SCAN), len(level)) - 1])
+        for j in range(0, len(new), SCAN):
+            want = self.windows(new[j : j + SCAN])
+            i = 0
+            while i < len(want):
+                block = int(np.searchsorted(fences, want[i]))
+                if block == len(fences):
+                    place[j + i : j + len(want)] = len(level)
+                    break
+                upto = int(np.searchsorted(want, fences[block], "right"))
+                have = self.windows(level[block * SCAN : (block + 1) * SCAN])
+                found = np.searchsorted(have, want[i:upto])
+                place[j + i : j + upto] = block * SCAN + found
+                equal[j + i : j + upto] = have[found] == want[i:upto]
+                i = upto
+        return place, equal
+
+    def scan(self, at: np.ndarray) -> np.ndarray:
+        """Which windows (offsets, in order of document and start) were seen before; then adds them as a level."""
+        windows = self.windows(at)
+        order = np.argsort(windows, kind="stable")
+        first = np.ones(len(at), bool)
+        first[1:] = windows[order[1:]] != windows[order[:-1]]
+        new = at[order[first]]
+        known = np.zeros(len(new), bool)
         for level in self.levels:
-            place = np.minimum(np.searchsorted(level, fresh), len(level) - 1)
-            known |= level[place] == fresh
-        seen = np.ones(len(flat), bool)
+            known |= self.merge_scan(level, new)[1]
+        seen = np.ones(len(at), bool)
         seen[order[first]] = known
-        fresh = fresh[~known]
-        if len(fresh):
-            self.levels.append(fresh)
+        if not known.all():
+            self.levels.append(new[~known])
         while len(self.levels) > 1 and len(self.levels[-2]) <= 2 * len(self.levels[-1]):
-            merged = np.concatenate([self.levels.pop(), self.levels.pop()])
-            merged.sort(kind="stable")  # two sorted runs: one merge
-            self.levels.append(merged)
+            small, large = sorted([self.levels.pop(), self.levels.pop()], key=len)
+            self.levels.append(np.insert(large, self.merge_scan(large, small)[0], small))
         return seen
 
 
@@ -124,16 +165,39 @@ def _run_table(docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             raw, at = spans.utf8(batch.column("text"))
-            found = [(i + t, a + s, n, key, check) for i, a, block, offsets in _chunks(raw, at, length) for t, s, n, key, check in [runs(block, offsets, length)]]
+            found = [(i + t, a + s, *rest) for i, a, block, offsets in _chunks(raw, at, length) for t, s, *rest in [runs(block, offsets, length)]]
             if found:
-                t, s, n, key, check = (np.concatenate(x) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(pa.array(t)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(check)], names=["key", "doc_id", "start", "n", "check"])
+                t, s, n, key, check, more = (np.concatenate(x) for x in zip(*found))
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("doc_id").take(pa.array(t)), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(check), pa.array(more)], names=["key", "doc_id", "start", "n", "check", "more"])
 
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "key long, doc_id long, start int, n int, check long")
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "key long, doc_id long, start int, n int, check long, more long")
+
+
+def _hot_windows(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
+    """Every window of the runs whose key is in hot (sorted), with its digest."""
+    shared = docs.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        hot = shared.value
+        for batch in batches:
+            raw, at = spans.utf8(batch.column("text"))
+            for i, a, block, offsets in _chunks(raw, at, length):
+                text, start, n, key, *_ = runs(block, offsets, length)
+                own = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
+                text, start, n = text[own], start[own], n[own]
+                if not len(n):
+                    continue
+                start = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                text = np.repeat(text, n)
+                place = offsets[text] + start
+                check, more = (_check(spans.prefix(block, kind), place, place + length, kind) for kind in (0, 1))
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(i + text)), pa.array((a + start).astype(np.int32)), pa.array(check), pa.array(more)], names=["doc_id", "start", "check", "more"])
+
+    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, start int, check long, more long")
 
 
 def _segments(joined: DataFrame, length: int) -> DataFrame:
-    """The texts of the runs that are listed with each document: whole for a key's shard, or window by window."""
+    """The texts of the runs that are listed with each document, for the shards of their keys."""
 
     def run(batches):
         own_id, texts_of = None, set()
@@ -147,21 +211,16 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 if digest in texts_of:  # a sorted join has the rows of an id together; the scan drops what is left
                     continue
                 texts_of.add(digest)
-                total = spans.prefix(raw)
                 rows = listed[i].values
-                start, n, check, key, hot = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key", "hot"))
-                own = start + n + length - 1 <= len(raw)
-                own[own] = _check(total, start[own], start[own] + n[own] + length - 1) == check[own]
-                whole, single = own & (hot == 0), own & (hot == 1)
-                one = np.repeat(start[single], n[single]) + np.concatenate([*map(np.arange, n[single]), np.zeros(0, np.int64)])
-                deal = np.concatenate([key[whole], spans.span_hash(total, one, one + length).view(np.int64)])
-                begin = np.concatenate([start[whole], one])
-                size = np.concatenate([n[whole] + length - 1, np.full(len(one), length)])
-                body = raw.tobytes()
-                for k in range(0, len(begin), 20_000):
+                start, n, check, key = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key"))
+                end = start + n + length - 1
+                own = end <= len(raw)
+                own[own] = _check(spans.prefix(raw), start[own], end[own]) == check[own]
+                start, end, key, body = start[own], end[own], key[own], raw.tobytes()
+                for k in range(0, len(start), 20_000):
                     part = slice(k, k + 20_000)
-                    texts = pa.array([body[a : a + b] for a, b in zip(begin[part].tolist(), size[part].tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(deal[part]), pa.array(np.full(len(texts), doc, np.int64)), pa.array(begin[part].astype(np.int32)), texts], names=["deal", "doc_id", "start", "bytes"])
+                    texts = pa.array([body[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(texts), doc, np.int64)), pa.array(start[part].astype(np.int32)), texts], names=["deal", "doc_id", "start", "bytes"])
 
     return joined.mapInArrow(run, "deal long, doc_id long, start int, bytes binary")
 
@@ -180,9 +239,8 @@ def _once(batches):
             yield whole.filter(pa.array(new))
 
 
-def _scanned(segments: DataFrame, length: int) -> DataFrame:
+def _scanned(segments: DataFrame, length: int, shards: int) -> DataFrame:
     """(doc_id, start, n, check) of the repeated windows, from each shard's family of suffix arrays."""
-    shards = 4 * int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
         family = SuffixLevels(length)
@@ -197,7 +255,7 @@ def _scanned(segments: DataFrame, length: int) -> DataFrame:
                 own = counts[i:j]
                 inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
                 place = np.repeat(at[i:j], own) + inner
-                seen = family.scan(np.lib.stride_tricks.sliding_window_view(body, length)[place])
+                seen = family.scan(family.add(body[at[i] : at[j]]) - at[i] + place)
                 seg = np.repeat(np.arange(i, j), own)
                 new = seen.copy()
                 new[1:] &= ~(seen[:-1] & (seg[1:] == seg[:-1]))
@@ -215,23 +273,37 @@ def _scanned(segments: DataFrame, length: int) -> DataFrame:
 
 def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     """docs with repeats: the list of (start, n, check) of windows that occur earlier, null if none."""
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.drop("repeats").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     base = docs.select("doc_id", "text")
+    place = F.struct("doc_id", "start")
     every = _run_table(base, length)
-    keys = every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    shared = staged(every.join(keys, "key"), "suffix-runs")
-
-    same = ["key", "n", "check"]
-    firsts = staged(shared.groupBy(*same).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")), "suffix-firsts")
-    whole = shared.join(firsts.where("c > 1").drop("c"), same).where(F.struct("doc_id", "start") > F.col("first")).select("doc_id", "start", "n", "check")
-
-    several = firsts.groupBy("key").agg(F.count("*").alias("runs")).where("runs > 1")
-    listed = firsts.join(several, "key").select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.start").alias("start"), "n", "check", "key", (F.col("runs") > HOT_RUNS).alias("hot")).alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("listed"))
-    parts = _scanned(_segments(base.join(listed, "doc_id", "left"), length), length)
-
-    # a document's own spans: as many as its runs at most
-    spans_of = whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("repeats"))
+    keys = staged(every.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "suffix-keys")
+    shared = staged(join_heavy(every, keys, ["key"], "c", ["doc_id", "start"]).drop("c"), "suffix-runs")
+
+    digest = ["check", "more"]
+    firsts = staged(shared.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("c"), F.first("key").alias("key"), F.first("n").alias("n")), "suffix-firsts")
+    again = firsts.where("c > 1").select(*digest, "first", "c")
+    whole = join_heavy(shared.drop("key"), again, digest, "c", ["doc_id", "start"]).where(place > F.col("first")).select("doc_id", "start", "n", "check")
+
+    several = staged(firsts.groupBy("key").agg(F.count("*").alias("runs"), F.sum("n").alias("windows")).where("runs > 1"), "suffix-several")
+    most = max(HOT_RUNS, (several.agg(F.sum("runs")).first()[0] or 0) // MOST_HOT)
+    cold = several.where(F.col("runs") <= most)
+    windows = cold.agg(F.sum("windows")).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // SHARD_WINDOWS))
+    listed = join_heavy(firsts.select("key", "first", "n", "check"), cold.select("key", "runs"), ["key"], "runs", ["first"])
+    listed = listed.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.start").alias("start"), "n", "check", "key").alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("listed"))
+    repeated = whole.unionByName(_scanned(_segments(base.join(listed, "doc_id", "left"), length), length, shards))
+
+    hot = np.sort(several.where(F.col("runs") > most).select("key").toPandas()["key"].to_numpy(np.int64))
+    if len(hot):
+        single = _hot_windows(base, hot, length)
+        met = staged(single.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"), "suffix-windows")
+        repeated = repeated.unionByName(join_heavy(single, met, digest, "c", ["doc_id", "start"]).where(place > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"), "check"))
+
+    # a document's own spans: as many as its windows at most
+    spans_of = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("repeats"))
     return docs.join(spans_of, "doc_id", "left")
 
 

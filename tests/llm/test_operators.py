@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from framelake.llm import ann, components, fingerprints, langid, mixing, neardup, packing, quality, sharding, spans, suffix_dedup, token_counts
+from framelake.llm import ann, common, components, fingerprints, langid, mixing, neardup, packing, quality, sharding, spans, suffix_dedup, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards quietly mix potions in the old stone tower by the sea "
@@ -139,6 +139,54 @@ def test_suffix_dedup_tells_runs_with_half_a_hash_in_common(spark):
     assert [r.n_removed for r in suffix_dedup.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0, 0]
 
 
+def test_suffix_dedup_leaves_unique_texts_with_one_phrase(spark):
+    # equal anchors and sizes, and 32 equal bits of a hash
+    rows = [
+        (1, "ftxihh osbwhi umybpbvtik gnq cquodnxvfc pybvjzmmpmgccuhdfbn ivgjtbqzlkqsqvvqbw muhlqzwu lz lzptnp ms"),
+        (2, "cc vnhza qamumccbdyszxfuy esbcygfwnxvfc pybvjzmmpmgccuhdfbn ivgjtbgnatb qcc f o qfkojljaoagdveojuxgm"),
+    ]
+    found = suffix_dedup.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.n_removed, r.n_spans) for r in found] == [(0, 0), (0, 0)]
+
+
+def test_suffix_dedup_of_very_many_texts_with_one_phrase(spark):
+    """100,000 distinct texts of 100 bytes around one phrase of 60: nothing repeats, but for the texts that are put in twice."""
+    rng = np.random.default_rng(3)
+    body = rng.integers(97, 123, (100_000, 100)).astype(np.uint8)
+    body[:, 20:80] = rng.integers(97, 123, 60)
+    body[::1000] = body[7]
+    names = [r.tobytes().decode() for r in body]
+    table = spark.createDataFrame(pa.table({"doc_id": pa.array(np.arange(100_000)), "text": names}))
+    found = suffix_dedup.measured(table).toPandas().sort_values("doc_id")
+    first, expected = {}, []
+    for i, name in enumerate(names):
+        expected.append(100 if first.setdefault(name, i) != i else 0)
+    assert found["n_removed"].tolist() == expected and sum(expected) > 0
+
+
+def test_suffix_dedup_of_a_passage_in_many_texts(spark, monkeypatch):
+    """A passage of 160 bytes in each of 700 texts: its borders have 700 different runs, beyond HOT_RUNS."""
+    rng = np.random.default_rng(4)
+    passage = rng.integers(97, 123, 160).astype(np.uint8)
+    rows = [(i, np.concatenate([rng.integers(97, 123, 150), passage, rng.integers(97, 123, 150)]).astype(np.uint8).tobytes().decode()) for i in range(700)]
+    calls = []
+    hot = suffix_dedup._hot_windows
+    monkeypatch.setattr(suffix_dedup, "_hot_windows", lambda *a: calls.append(len(a[1])) or hot(*a))
+    found = suffix_dedup.measured(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    expected = brute_repeats(rows, 100)
+    assert calls and all(tuple(r)[1:] == expected[r.doc_id] for r in found)
+
+
+@pytest.mark.parametrize("heavy", [1024, 2])
+def test_join_heavy(spark, heavy, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    rows = spark.createDataFrame([(k, i) for i in range(300) for k in ([1, 1 + i % 7] if i % 3 else [9])], "k long, i long")
+    keys = rows.where("k < 9").groupBy("k").agg(F.count("*").alias("c"))
+    found = sorted(map(tuple, common.join_heavy(rows, keys, ["k"], "c", ["i"]).collect()))
+    counts = dict(map(tuple, keys.collect()))
+    assert found == sorted((r.k, r.i, counts[r.k]) for r in rows.collect() if r.k in counts)
+
+
 def test_sorted_segments_are_taken_once():
     names = ["deal", "doc_id", "start", "bytes"]
     rows = [(1, 5, 0, b"a"), (1, 5, 0, b"a"), (1, 5, 0, b"b"), (1, 5, 1, b"b"), (1, 6, 1, b"b"), (1, 6, 1, b"b"), (1, 6, 1, b"b")]
@@ -147,15 +195,19 @@ def test_sorted_segments_are_taken_once():
         assert [tuple(r.values()) for b in suffix_dedup._once(batches) for r in b.to_pylist()] == list(dict.fromkeys(rows))
 
 
-def test_suffix_levels_stay_logarithmic():
+@pytest.mark.parametrize("block", [8192, 3])
+def test_suffix_levels_stay_logarithmic(block, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SCAN", block)
     family, rng, seen = suffix_dedup.SuffixLevels(4), np.random.default_rng(0), set()
     for _ in range(40):
         batch = rng.integers(0, 4, (50, 4)).astype(np.uint8)
-        for known, row in zip(family.scan(batch), batch):
+        begin = family.add(batch.ravel())
+        for known, row in zip(family.scan(begin + np.arange(0, 200, 4)), batch):
             assert known == (row.tobytes() in seen)
             seen.add(row.tobytes())
     sizes = [len(level) for level in family.levels]
     assert all(a > 2 * b for a, b in zip(sizes, sizes[1:])) and sum(sizes) == len(seen)
+    assert all((np.diff(np.unique(family.windows(level), return_inverse=True)[1]) > 0).all() for level in family.levels)
 
 
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
