@@ -14,9 +14,10 @@ of the anchor's gram). Hence
    merge, so there are logarithmically many. A window found in a level, or earlier in its batch, is repeated.
 
 There are as many shards as the windows counted need, SHARD_WINDOWS each. Keys with very many different runs (the borders
-of a passage that a large share of all documents has) would fill a shard with copies of few windows: their windows are
-aggregated one by one by their 128-bit digests instead, as runs are in step 2. Keys and digests that meet a large share
-of all rows are split in every join (join_heavy), and aggregations start before the shuffle.
+of a passage that a large share of all documents has) would fill a shard with copies of few windows: the digests of their
+windows are dealt to all shards by digest and document instead. A shard finds those that it saw before in the same kind of
+family, over digests, and the first ones of all shards are ranked once more. Keys and runs that meet a large share of all
+rows are split in every join (join_heavy), and aggregations start before the shuffle.
 
 Null texts are empty; texts shorter than `length` keep everything; matches never cross documents; an earlier start in the
 same document counts. Ids are meant to be unique: rows of one id with one text are treated alike and do not repeat each
@@ -32,15 +33,15 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import spans
 from .common import join_heavy, small_batches, staged
 
 GRAM = 32
-#: Different runs of a key, at least, beyond which its windows are aggregated one by one; such keys at most (a broadcast).
-HOT_RUNS, MOST_HOT = 512, 1 << 20
+#: Different runs of a key beyond which its windows are dealt one by one.
+HOT_RUNS = 512
 #: Windows of a shard, about.
 SHARD_WINDOWS = 500_000
 CHUNK = 1 << 22
@@ -173,31 +174,8 @@ def _run_table(docs: DataFrame, length: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "key long, doc_id long, start int, n int, check long, more long")
 
 
-def _hot_windows(docs: DataFrame, hot: np.ndarray, length: int) -> DataFrame:
-    """Every window of the runs whose key is in hot (sorted), with its digest."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-
-    def run(batches):
-        hot = shared.value
-        for batch in batches:
-            raw, at = spans.utf8(batch.column("text"))
-            for i, a, block, offsets in _chunks(raw, at, length):
-                text, start, n, key, *_ = runs(block, offsets, length)
-                own = hot[np.minimum(np.searchsorted(hot, key), len(hot) - 1)] == key
-                text, start, n = text[own], start[own], n[own]
-                if not len(n):
-                    continue
-                start = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                text = np.repeat(text, n)
-                place = offsets[text] + start
-                check, more = (_check(spans.prefix(block, kind), place, place + length, kind) for kind in (0, 1))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(i + text)), pa.array((a + start).astype(np.int32)), pa.array(check), pa.array(more)], names=["doc_id", "start", "check", "more"])
-
-    return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id long, start int, check long, more long")
-
-
-def _segments(joined: DataFrame, length: int) -> DataFrame:
-    """The texts of the runs that are listed with each document, for the shards of their keys."""
+def _segments(joined: DataFrame, length: int, shards: int) -> DataFrame:
+    """What is listed with each document, for the shards: the text of a run, or the digest of each window of a hot one."""
 
     def run(batches):
         own_id, texts_of = None, set()
@@ -211,18 +189,34 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
                 if digest in texts_of:  # a sorted join has the rows of an id together; the scan drops what is left
                     continue
                 texts_of.add(digest)
+                total = spans.prefix(raw)
                 rows = listed[i].values
-                start, n, check, key = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key"))
-                end = start + n + length - 1
-                own = end <= len(raw)
-                own[own] = _check(spans.prefix(raw), start[own], end[own]) == check[own]
-                start, end, key, body = start[own], end[own], key[own], raw.tobytes()
-                for k in range(0, len(start), 20_000):
+                start, n, check, key, hot = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key", "hot"))
+                own = start + n + length - 1 <= len(raw)
+                own[own] = _check(total, start[own], start[own] + n[own] + length - 1) == check[own]
+                whole, single = own & (hot == 0), own & (hot == 1)
+                begin, end, body = start[whole], (start + n)[whole] + length - 1, raw.tobytes()
+                for k in range(0, len(begin), 20_000):
                     part = slice(k, k + 20_000)
-                    texts = pa.array([body[a:b] for a, b in zip(start[part].tolist(), end[part].tolist())], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(np.full(len(texts), doc, np.int64)), pa.array(start[part].astype(np.int32)), texts], names=["deal", "doc_id", "start", "bytes"])
+                    yield _dealt(key[whole][part], doc, begin[part], [body[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())], False)
+                if single.any():
+                    one = np.repeat(start[single], n[single]) + _places(n[single])
+                    halves = np.stack([_check(spans.prefix(raw, kind), one, one + length, kind) for kind in (0, 1)], axis=1)
+                    deal = halves[:, 0] + int(spans.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(shards))
+                    flat = halves.tobytes()
+                    yield _dealt(deal, doc, one, [flat[k : k + 16] for k in range(0, len(flat), 16)], True)
 
-    return joined.mapInArrow(run, "deal long, doc_id long, start int, bytes binary")
+    return joined.mapInArrow(run, "deal long, doc_id long, start int, bytes binary, hot boolean")
+
+
+def _places(n: np.ndarray) -> np.ndarray:
+    """0 to n - 1 for each n."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _dealt(deal: np.ndarray, doc: int, start: np.ndarray, body: list[bytes], hot: bool) -> pa.RecordBatch:
+    columns = [pa.array(deal), pa.array(np.full(len(deal), doc, np.int64)), pa.array(start.astype(np.int32)), pa.array(body, pa.binary()), pa.array(np.full(len(deal), hot))]
+    return pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "bytes", "hot"])
 
 
 def _once(batches):
@@ -240,11 +234,27 @@ def _once(batches):
 
 
 def _scanned(segments: DataFrame, length: int, shards: int) -> DataFrame:
-    """(doc_id, start, n, check) of the repeated windows, from each shard's family of suffix arrays."""
+    """(doc_id, start, n, check, more) of the repeated windows, from each shard's family of suffix arrays.
+
+    Rows with `more` are windows of hot keys that are the first with their digest in a shard.
+    """
+
+    def found(doc, start, n, check, more=None):
+        half = pa.nulls(len(doc), pa.int64()) if more is None else pa.array(more)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(check), half], names=["doc_id", "start", "n", "check", "more"])
 
     def run(batches):
-        family = SuffixLevels(length)
+        texts, digests = SuffixLevels(length), SuffixLevels(16)
         for batch in _once(batches):
+            hot = batch.column("hot")
+            single, batch = batch.filter(hot), batch.filter(pc.invert(hot))
+            if single.num_rows:
+                body, _ = spans.utf8(single.column("bytes"))
+                seen = digests.scan(digests.add(body) + np.arange(0, len(body), 16))
+                halves = np.frombuffer(body.tobytes(), np.int64).reshape(-1, 2)
+                doc, start, one = single.column("doc_id").to_numpy(), single.column("start").to_numpy(), np.ones(len(seen), np.int64)
+                yield found(doc[seen], start[seen], one[seen], halves[seen, 0])
+                yield found(doc[~seen], start[~seen], one[~seen], halves[~seen, 0], halves[~seen, 1])
             body, at = spans.utf8(batch.column("bytes"))
             doc, origin = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
             counts = np.diff(at) - length + 1
@@ -253,9 +263,9 @@ def _scanned(segments: DataFrame, length: int, shards: int) -> DataFrame:
             while i < len(counts):
                 j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + BATCH_WINDOWS, "right")))
                 own = counts[i:j]
-                inner = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+                inner = _places(own)
                 place = np.repeat(at[i:j], own) + inner
-                seen = family.scan(family.add(body[at[i] : at[j]]) - at[i] + place)
+                seen = texts.scan(texts.add(body[at[i] : at[j]]) - at[i] + place)
                 seg = np.repeat(np.arange(i, j), own)
                 new = seen.copy()
                 new[1:] &= ~(seen[:-1] & (seg[1:] == seg[:-1]))
@@ -263,12 +273,11 @@ def _scanned(segments: DataFrame, length: int, shards: int) -> DataFrame:
                 last[:-1] &= ~(seen[1:] & (seg[1:] == seg[:-1]))
                 a, b = np.flatnonzero(new), np.flatnonzero(last)
                 if len(a):
-                    check = _check(spans.prefix(body), place[a], place[b] + length)
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[seg[a]]), pa.array((origin[seg[a]] + inner[a]).astype(np.int32)), pa.array((b - a + 1).astype(np.int32)), pa.array(check)], names=["doc_id", "start", "n", "check"])
+                    yield found(doc[seg[a]], origin[seg[a]] + inner[a], b - a + 1, _check(spans.prefix(body), place[a], place[b] + length))
                 i = j
 
     dealt = segments.repartition(shards, "deal").sortWithinPartitions("doc_id", "start", "bytes")
-    return dealt.mapInArrow(run, "doc_id long, start int, n int, check long")
+    return dealt.mapInArrow(run, "doc_id long, start int, n int, check long, more long")
 
 
 def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -288,22 +297,18 @@ def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     whole = join_heavy(shared.drop("key"), again, digest, "c", ["doc_id", "start"]).where(place > F.col("first")).select("doc_id", "start", "n", "check")
 
     several = staged(firsts.groupBy("key").agg(F.count("*").alias("runs"), F.sum("n").alias("windows")).where("runs > 1"), "suffix-several")
-    most = max(HOT_RUNS, (several.agg(F.sum("runs")).first()[0] or 0) // MOST_HOT)
-    cold = several.where(F.col("runs") <= most)
-    windows = cold.agg(F.sum("windows")).first()[0] or 0
+    windows = several.agg(F.sum("windows")).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-windows // SHARD_WINDOWS))
-    listed = join_heavy(firsts.select("key", "first", "n", "check"), cold.select("key", "runs"), ["key"], "runs", ["first"])
-    listed = listed.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.start").alias("start"), "n", "check", "key").alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("listed"))
-    repeated = whole.unionByName(_scanned(_segments(base.join(listed, "doc_id", "left"), length), length, shards))
-
-    hot = np.sort(several.where(F.col("runs") > most).select("key").toPandas()["key"].to_numpy(np.int64))
-    if len(hot):
-        single = _hot_windows(base, hot, length)
-        met = staged(single.groupBy(*digest).agg(F.min(place).alias("first"), F.count("*").alias("c")).where("c > 1"), "suffix-windows")
-        repeated = repeated.unionByName(join_heavy(single, met, digest, "c", ["doc_id", "start"]).where(place > F.col("first")).select("doc_id", "start", F.lit(1).alias("n"), "check"))
+    listed = join_heavy(firsts.select("key", "first", "n", "check"), several.select("key", "runs"), ["key"], "runs", ["first"])
+    listed = listed.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.start").alias("start"), "n", "check", "key", (F.col("runs") > HOT_RUNS).alias("hot")).alias("r"))
+    listed = listed.groupBy("doc_id").agg(F.collect_list("r").alias("listed"))
+    parts = _scanned(_segments(base.join(listed, "doc_id", "left"), length, shards), length, shards)
+    # a digest has a row with `more` for each shard at most; the other rows make groups of their own
+    rank = F.rank().over(Window.partitionBy("check", F.coalesce("more", F.xxhash64("doc_id", "start")), F.col("more").isNull()).orderBy("doc_id", "start"))
+    parts = parts.withColumn("rank", rank).where(F.col("more").isNull() | (F.col("rank") > 1)).select("doc_id", "start", "n", "check")
 
     # a document's own spans: as many as its windows at most
-    spans_of = repeated.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("repeats"))
+    spans_of = whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("repeats"))
     return docs.join(spans_of, "doc_id", "left")
 
 
