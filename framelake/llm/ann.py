@@ -2,20 +2,23 @@
 
 Fitting, on a bounded sample: the sample's neighbour graph is cut into balanced parts (median bisection along principal
 directions, then moves that keep more neighbours together while no part exceeds its capacity), and a small classifier
-(one hidden layer) learns, for a vector, the share of its neighbours in each part. Indexing puts every row in its most
-probable part. A query goes to its most probable parts, as many as give the wanted recall on the sample, and all their
-rows are scored exactly.
+(one hidden layer) learns, for a vector, the share of its neighbours in each part. Parts grow with the root of the table.
+Beyond FAN parts there are two levels: each part of the first is a table of its own, sampled and fitted by one task.
+Indexing puts every row in its most probable part. A query goes to its most probable parts, until their predicted shares
+add up to what gives the wanted recall on the sample and they hold more ids than it wants, and all their rows are scored
+exactly.
 
 A part's rows are dealt to blocks of bounded size, and so are the queries that visit it, so a part with a third of all
 rows (many equal vectors) is many tasks. Vectors that are null, zero, of another dimension than most of the sample, or
 that hold null or non-finite components take no part, as query or candidate. Ties go to the smaller id; rows with a
 query's own id aren't its candidates, and a repeated id counts once, with its best score: equal rows are made one before
-the index, and a block takes the best score of each id before it takes the k best ids. An empty table gives an empty
-result.
+the index, and a block takes the best score of each id before it takes the k best ids. Rows without id take no part. Only
+id and vector are read, so other columns may have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,27 +29,72 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, staged
 
-#: Vectors of the fitting sample for each part, parts at most, neighbours in the graph.
-SAMPLE_PER_PART, MOST_PARTS, NEIGHBOURS = 128, 256, 20
+#: Vectors of the fitting sample for each part, neighbours in the graph.
+SAMPLE_PER_PART, NEIGHBOURS = 64, 20
+#: Distinct vectors under which a sample is one part: neighbours would be a large share of all rows.
+LEAST_SAMPLE = 12 * NEIGHBOURS
+#: Parts of one fitted level at most; a table has about half the root of its rows, FAN * FAN at most.
+FAN = 256
 #: Share of the sample's neighbours that the probed parts must hold.
-WANTED = 0.94
+WANTED = 0.93
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
 
 
 @dataclass(frozen=True)
 class Model:
+    """One level: parts of vectors, and the predicted share of neighbours that a query's parts must add up to."""
+
     w1: np.ndarray
     b1: np.ndarray
     w2: np.ndarray
     b2: np.ndarray
-    probes: int
+    mass: float
 
     @property
     def dim(self) -> int:
         return self.w1.shape[0]
 
-    def logits(self, x: np.ndarray) -> np.ndarray:
-        return np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
+    @property
+    def parts(self) -> int:
+        return self.w2.shape[1]
+
+    def shares(self, x: np.ndarray) -> np.ndarray:
+        """The predicted share of each part, a row for each vector."""
+        z = np.tanh(x @ self.w1 + self.b1) @ self.w2 + self.b2
+        p = np.exp(z - z.max(1, keepdims=True))
+        return p / p.sum(1, keepdims=True)
+
+
+@dataclass(frozen=True)
+class Router:
+    """One level, or two: a leaf is a part of the first and a part of its own level, numbered by `first`."""
+
+    top: Model
+    below: dict[int, Model]
+
+    @property
+    def first(self) -> np.ndarray:
+        """The number of the first leaf of each part, and the number of leaves."""
+        return np.cumsum([0, *(self.below[p].parts if p in self.below else 1 for p in range(self.top.parts))])
+
+    def homes(self, x: np.ndarray) -> np.ndarray:
+        part = self.top.shares(x).argmax(1)
+        leaf = self.first[part]
+        for p in np.unique(part).tolist():
+            if p in self.below:
+                leaf[part == p] += self.below[p].shares(x[part == p]).argmax(1)
+        return leaf
+
+    def visits(self, x: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
+        """The leaves that each query goes to; ids: how many ids each leaf holds."""
+        shares, first = self.top.shares(x), self.first
+        if self.below:
+            shares = np.concatenate([shares[:, p : p + 1] * (self.below[p].shares(x) if p in self.below else 1) for p in range(self.top.parts)], axis=1)
+        order = np.argsort(-shares, axis=1, kind="stable")
+        upto = np.cumsum(np.take_along_axis(shares, order, 1), axis=1)
+        enough = (upto >= self.top.mass - 1e-12) & (np.cumsum(ids[order], axis=1) > k)
+        last = np.where(enough.any(1), enough.argmax(1), int(first[-1]) - 1)
+        return [np.sort(o[: n + 1][ids[o[: n + 1]] > 0]) for o, n in zip(order, last)]
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -117,22 +165,23 @@ def learn(x: np.ndarray, goal: np.ndarray, hidden: int = 96, epochs: int = 60, r
 
 def fit_sample(x: np.ndarray, parts: int) -> Model:
     x = np.unique(x, axis=0)
-    while parts > 1 and len(x) < 32 * parts:
+    while parts > 1 and len(x) < 24 * parts:
         parts //= 2
-    if parts == 1:
-        return Model(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1)
+    if parts == 1 or len(x) < LEAST_SAMPLE:
+        return Model(np.zeros((x.shape[1], 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), 1.0)
     graph = neighbours(x, NEIGHBOURS)
     part = balanced_parts(x, graph, parts)
     goal = np.zeros((len(x), parts))
     np.add.at(goal, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-    net = Model(*learn(x, goal), 1)
-    z = net.logits(x)
-    home = z.argmax(1)
-    place = np.empty_like(z, dtype=np.int64)
-    np.put_along_axis(place, np.argsort(-z, axis=1), np.arange(parts)[None, :], axis=1)
-    needed = place[np.arange(len(x))[:, None], home[graph]]
-    probes = next(p for p in range(1, parts + 1) if (needed < p).mean() >= WANTED or p == parts)
-    return Model(net.w1, net.b1, net.w2, net.b2, probes)
+    net = Model(*learn(x, goal), 1.0)
+    shares = net.shares(x)
+    home = shares.argmax(1)
+    # the mass of the parts that come before a neighbour's home, and its own: a query that goes on to it finds the neighbour
+    order = np.argsort(-shares, axis=1, kind="stable")
+    upto = np.empty_like(shares)
+    np.put_along_axis(upto, order, np.cumsum(np.take_along_axis(shares, order, 1), axis=1) - np.take_along_axis(shares, order, 1), 1)
+    before = np.sort(upto[np.arange(len(x))[:, None], home[graph]].ravel())
+    return Model(net.w1, net.b1, net.w2, net.b2, float(before[min(len(before) - 1, int(np.ceil(WANTED * len(before))))]) + 1e-9)
 
 
 def usable(vector: str) -> Column:
@@ -140,15 +189,48 @@ def usable(vector: str) -> Column:
     return v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def fit(rows: DataFrame, n: int) -> Model | None:
-    """Fit on a sample of rows(vec_id, v) whose size depends on the number of parts alone: sqrt(n) / 8, MOST_PARTS at most."""
-    parts = 1 << max(0, min(MOST_PARTS.bit_length() - 1, round(np.log2(max(1.0, n**0.5 / 8)))))
-    want = SAMPLE_PER_PART * parts
-    some = rows.where(F.pmod(F.xxhash64("vec_id", F.lit("fit")), F.lit(1 << 30)) < min(1.0, 1.2 * want / max(1, n)) * (1 << 30)).select("v").limit(2 * want).toPandas()["v"].tolist()
+def _power(parts: float) -> int:
+    return 1 << max(0, int(np.ceil(np.log2(max(1.0, parts)))))
+
+
+def _sampled(rows: DataFrame, n: int, want: int) -> DataFrame:
+    """About `want` of n rows, by a hash of the id."""
+    return rows.where(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1 << 30)) < min(1.0, 1.2 * want / max(1, n)) * (1 << 30)).select("v")
+
+
+def _array(vectors: list) -> np.ndarray:
+    dim = Counter(map(len, vectors)).most_common(1)[0][0]
+    return np.array([x for x in vectors if len(x) == dim], np.float64)
+
+
+def fit(rows: DataFrame, n: int) -> Router | None:
+    """Fit on samples of rows(vec_id, v), whose size depends on the number of parts alone: SAMPLE_PER_PART * FAN a level."""
+    parts = min(_power(n**0.5 / 2), FAN * FAN)
+    want = SAMPLE_PER_PART * min(parts, FAN)
+    some = _sampled(rows, n, want).limit(2 * want).toPandas()["v"].tolist()
     if not some:
         return None
-    dim = Counter(map(len, some)).most_common(1)[0][0]
-    return fit_sample(np.array([x for x in some if len(x) == dim], np.float64), parts)
+    top = fit_sample(_array(some), min(parts, FAN))
+    if parts <= FAN:
+        return Router(top, {})
+    shared = rows.sparkSession.sparkContext.broadcast(Router(top, {}))
+
+    def placed(batches):
+        for b in batches:
+            x = np.array(b.column("v").flatten()).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value.homes(x).astype(np.int32)), b.column("v")], names=["part", "v"])
+
+    fan = parts // FAN
+    sample = _sampled(rows.where(F.size("v") == top.dim), n, SAMPLE_PER_PART * fan * top.parts).mapInArrow(placed, "part int, v array<double>")
+    by_hash = Window.partitionBy("part").orderBy(F.xxhash64("v"))  # a part that holds a large share of the sample is cut to its own
+    sample = sample.withColumn("n", F.row_number().over(by_hash)).where(F.col("n") <= 4 * SAMPLE_PER_PART * fan).drop("n")
+
+    def below(own: pa.Table) -> pa.Table:
+        model = fit_sample(np.array(own["v"].combine_chunks().flatten()).reshape(own.num_rows, -1), fan)
+        return pa.table({"part": pa.array([own["part"][0].as_py()], pa.int32()), "model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    models = sample.groupBy("part").applyInArrow(below, "part int, model binary").collect()  # FAN rows at most
+    return Router(top, {r.part: pickle.loads(r.model) for r in models})
 
 
 def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -157,27 +239,35 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
     small_batches(spark, 4096)
     rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(usable("v") & F.col("vec_id").isNotNull())
     rows = staged(rows.groupBy("vec_id", "v").agg(F.max("asks").alias("asks")), "ann-rows")
-    n = rows.count()
-    model = fit(rows, n)
+    model = fit(rows, rows.count())
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(model)
 
+    def place(batches):
+        for b in batches:
+            x = np.array(b.column("v").flatten()).reshape(b.num_rows, -1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.homes(x).astype(np.int32))], names=["vec_id", "v", "asks", "part"])
+
+    index = staged(rows.where(F.size("v") == model.top.dim).mapInArrow(place, "vec_id long, v array<double>, asks boolean, part int"), "ann-index")
+    # one row a part: how many ids it holds, and how many blocks its rows make
+    held = index.groupBy("part", "vec_id").agg(F.count("*").alias("n")).groupBy("part").agg(F.count("*").alias("ids"), F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("row_blocks"))
+    sizes = staged(held, "ann-parts")
+    ids = np.zeros(int(model.first[-1]), np.int64)
+    for r in sizes.collect():
+        ids[r.part] = r.ids
+
     def route(batches):
-        m = shared.value
         for b in batches:
-            x = np.array(b.column("v").flatten()).reshape(b.num_rows, m.dim)
-            z = m.logits(x)
-            order = np.argsort(-z, axis=1, kind="stable")[:, : m.probes].astype(np.int32)
-            tried = pa.ListArray.from_arrays(np.arange(0, order.size + 1, order.shape[1], dtype=np.int32), pa.array(order.ravel()))
-            yield pa.RecordBatch.from_arrays([*b.columns, tried], names=["vec_id", "v", "asks", "parts"])
-
-    index = staged(rows.where(F.size("v") == model.dim).mapInArrow(route, "vec_id long, v array<double>, asks boolean, parts array<int>"), "ann-index")
-    asked = index.where("asks").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.explode("parts").alias("part"))
-    # one row a part: how many blocks its rows and its queries make
-    sizes = index.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
+            for i in range(0, b.num_rows, 256):
+                some = b.slice(i, 256)
+                tried = shared.value.visits(np.array(some.column("v").flatten()).reshape(some.num_rows, -1), ids, k)
+                which = np.repeat(np.arange(some.num_rows), list(map(len, tried)))
+                yield pa.RecordBatch.from_arrays([some.column("vec_id").take(pa.array(which)), some.column("v").take(pa.array(which)), pa.array(np.concatenate(tried).astype(np.int32))], names=["query_id", "q", "part"])
+
+    asked = staged(index.where("asks").select("vec_id", "v").mapInArrow(route, "query_id long, q array<double>, part int"), "ann-asked")
     visits = asked.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("query_blocks"))
-    plan = F.broadcast(sizes.join(visits, "part"))
+    plan = F.broadcast(sizes.drop("ids").join(visits, "part"))  # a row a part
 
     def spread(n: str) -> Column:
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -186,12 +276,12 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
         return F.pmod(F.xxhash64(key, v), F.col(n)).cast("int")  # one id may have many vectors
 
     left = asked.join(plan, "part").select("part", spread("row_blocks").alias("rb"), own("query_id", "q", "query_blocks").alias("qb"), "query_id", "q")
-    right = index.select(F.col("parts")[0].alias("part"), "vec_id", "v").join(plan, "part").select("part", own("vec_id", "v", "row_blocks").alias("rb"), spread("query_blocks").alias("qb"), "vec_id", "v")
+    right = index.select("part", "vec_id", "v").join(plan, "part").select("part", own("vec_id", "v", "row_blocks").alias("rb"), spread("query_blocks").alias("qb"), "vec_id", "v")
 
     def score(ask: pa.Table, have: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, ...]] = []
         if ask.num_rows and have.num_rows:
-            dim = shared.value.dim
+            dim = shared.value.top.dim
             q_id, ids = ask["query_id"].to_numpy(), have["vec_id"].to_numpy()
             q = ask["q"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
             by_id = np.argsort(ids, kind="stable")

@@ -6,11 +6,13 @@ or `dot` (greatest weighted product of need and free room). What lies in bins th
 capacity is packed once more, many shards' worth together, so the loss does not add up over shards.
 
 Null and empty texts are one piece of the end token; only documents longer than a sequence are cut; ties go by id and
-piece; repeated rows are packed once each; an empty table gives an empty result. Every piece is packed.
+piece; repeated rows and rows without id are packed once each; an empty table gives an empty result. Every piece is
+packed. Only id and text are read, so other columns may have any name; a very long text is one row of a batch.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from functools import lru_cache
@@ -31,7 +33,9 @@ FULL = 0.98
 KNOWN = 600_000
 
 # The split pattern of the tokenizer file's pre-tokenizer, whose alternatives this module applies to words.
-PART = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PART = regex.compile(SPLIT)
 
 
 #: Printable ASCII and Latin-1: lower case, normal form and byte names of these signs are simple.
@@ -50,7 +54,7 @@ class WordIds:
 
     White space is dropped by this kind of tokenizer and nothing reaches across it, so a text's ids are those of its
     words. A word of plain Latin-1 signs is split by PART and each part given to the library's model; any other word
-    goes through the whole library.
+    goes through the whole library. So do the whole texts of a tokenizer file whose normaliser or splitter is another.
     """
 
     def __init__(self, path: str):
@@ -58,6 +62,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        first, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        split = (first.get("type"), first.get("pattern"), first.get("invert"), [r.get("type") for r in rest])
+        self.by_word = file.get("normalizer") == NORMALIZER and split == ("Split", {"Regex": SPLIT}, True, ["ByteLevel"])
         self.bytes = _byte_names()
         self.parts: dict[str, list[int]] = {}
         self.words: dict[str, int] = {}
@@ -98,6 +107,9 @@ class WordIds:
 
     def batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, text after text, and where each text's begin (one more than texts)."""
+        if not self.by_word:
+            every = [e.ids for e in self.whole.encode_batch(texts.to_pylist(), add_special_tokens=False)]
+            return np.array([i for ids in every for i in ids], np.uint32), np.cumsum([0, *map(len, every)])
         if len(self.words) >= KNOWN:
             self.clear()
         split = pc.ascii_split_whitespace(texts)
@@ -169,11 +181,11 @@ def best_fit(need: np.ndarray, room: np.ndarray, weights: np.ndarray, rule: str
     return bins
 
 
-def packed(items: DataFrame, tokens: int = 4096, most_docs: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 0.0, 0.0), rule: str = "norm") -> DataFrame:
+def packed(items: DataFrame, tokens: int = 4096, most_docs: int | None = None, most_cost: float | None = None, weights: tuple[float, float, float] = (1.0, 1.0, 1.0), rule: str = "norm") -> DataFrame:
     """items(doc_id, piece, start, length, ids_crc32) with sequence_id and offset.
 
-    most_docs: pieces in a sequence; most_cost: sum of squared lengths in it (both unbounded by default, as no
-    sequence of `tokens` tokens holds more than `tokens` pieces or costs more than its square).
+    most_docs: pieces in a sequence; most_cost: sum of squared lengths in it. By default they are what a sequence of
+    `tokens` tokens can hold at most, so they forbid nothing but weigh in the choice of a bin.
     """
     room = np.array([tokens, most_docs or tokens, most_cost or float(tokens) ** 2])
     shared = np.array(weights, float)

@@ -80,6 +80,13 @@ def test_mixing_meets_targets(spark, docs, none):
     assert again == {r.doc_id: r.copies for r in out}
     weighed = mixing.mixed(table, doc_weight=F.when(F.col("doc_id") % 2 == 0, 2.0).otherwise(1.0)).where("source = 'a'").groupBy((F.col("doc_id") % 2).alias("odd")).agg(F.avg("copies").alias("c")).orderBy("odd").collect()
     assert weighed[0].c > 1.3 * weighed[1].c
+    # a capped source takes all of its documents three times, whatever their weights
+    two = spark.createDataFrame([(i, "w " * 10, "a" if i < 40 else "b") for i in range(400)], "doc_id long, text string, source string")
+    full = mixing.mixed(two, doc_weight=F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)).where("source = 'a'").collect()
+    assert {(r.target, r.source_size) for r in full} == {(1200.0, 400)} and {r.copies for r in full} == {3}
+    # a target of 2.4 times the source: the heavy half is at its cap, the light half takes what it leaves
+    lifted = mixing.mixed(spark.createDataFrame([(i, "w " * 10, "a" if i < 100 else "b") for i in range(384)], "doc_id long, text string, source string"), weights=(5, 3), doc_weight=F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)).where("source = 'a'").collect()
+    assert sum(r.copies * r.size for r in lifted) == lifted[0].target == 2400.0 and {r.copies for r in lifted if r.doc_id % 2 == 0} == {3}
     small = mixing.mixed(docs).collect()
     assert len(small) == docs.count() and {r.size for r in small if r.text in (None, "", "   ")} == {0}
     assert mixing.mixed(none).count() == 0
@@ -249,6 +256,35 @@ def test_best_fit_respects_every_capacity():
         assert (total <= room).all()
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_weighs_every_capacity(rule):
+    rng = np.random.default_rng(3)
+    length = np.sort(rng.integers(1, 60, 2000))[::-1].astype(float)
+    need, room = np.stack([length, np.ones(2000), length**2], 1), np.array([100.0, 100.0, 10000.0])
+    made = {w: packing.best_fit(need, room, np.array(w, float), rule).tolist() for w in ((1, 1, 1), (0, 1, 1), (1, 0, 1), (1, 1, 0), (1, 0, 0))}
+    assert len({tuple(b) for b in made.values()}) == 5
+    least = math.ceil(length.sum() / 100)
+    assert max(made[1, 1, 1]) + 1 <= 1.02 * least + 1
+
+
+def test_packing_of_many_pieces_is_near_its_bound(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_ITEMS", 1000)
+    length = np.random.default_rng(9).lognormal(5, 1.2, 6000).clip(1, 4096).astype(int).tolist()
+    items = spark.createDataFrame([(i, 0, 0, n, 0) for i, n in enumerate(length)], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = packing.packed(items).groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end")).collect()
+    assert sum(r.n for r in rows) == sum(length) and all(r.n == r.end <= 4096 for r in rows)
+    assert len(rows) <= 1.01 * sum(length) / 4096 + 1
+
+
+def test_other_tokenizer_files_go_through_the_library(docs):
+    from tokenizers import Tokenizer
+
+    path = f"{TOKENIZERS}/byte_bpe_50k.json"
+    library = Tokenizer.from_file(path)
+    found = {(r.doc_id, r.start): r.length for r in packing.pieces(docs, path, most=10**9).collect()}
+    assert found == {(doc, 0): len(library.encode(text or "", add_special_tokens=False).ids) + 1 for doc, text in pairs_of(docs)}
+
+
 def test_fingerprints(docs, none):
     out = fingerprints.fingerprinted(docs).collect()
     rows = sorted(pairs_of(docs), key=lambda r: -r[0])
@@ -406,6 +442,31 @@ def test_nearest_neighbours(spark):
     assert [(r.rank, r.vec_id) for r in few] == [(1, 2), (2, 3)]
 
 
+@pytest.mark.parametrize("fan", [256, 4])
+def test_nearest_neighbours_prune(spark, fan, monkeypatch):
+    """Vectors in 40 groups: nine of ten neighbours are found by scoring few of the pairs, with one level and with two."""
+    monkeypatch.setattr(ann, "FAN", fan)
+    monkeypatch.setattr(ann, "SAMPLE_PER_PART", 64 if fan == 256 else 256)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(40, 24))
+    x = centres[rng.integers(0, 40, 4000)] + 0.35 * rng.normal(size=(4000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(10_000, [float("inf")] * 24), (10_001, [None] * 24), (None, [1.0] * 24)], "vec_id long, embedding array<double>")
+    model = ann.fit(table.where("vec_id < 4000").select("vec_id", F.col("embedding").alias("v")), 4000)
+    assert bool(model.below) == (fan == 4)
+    held = np.bincount(model.homes(x), minlength=model.first[-1])
+    ask = np.arange(0, 4000, 20)
+    share = np.mean([held[leaves].sum() for leaves in model.visits(x[ask], held, 20)]) / 4000
+    found = defaultdict(set)
+    for r in ann.nearest(table, F.col("vec_id") % 20 == 0, 20).collect():
+        found[r.query_id].add(r.vec_id)
+    s = x[ask] @ x.T
+    s[np.arange(len(ask)), ask] = -np.inf
+    best = np.argsort(-s, axis=1)[:, :20]
+    recall = np.mean([len(found[q] & set(b)) / 20 for q, b in zip(ask.tolist(), best.tolist())])
+    assert sorted(found) == ask.tolist() and all(len(v) == 20 for v in found.values())
+    assert recall >= 0.9 and share < (0.35 if fan == 256 else 0.7), (recall, share)
+
+
 @pytest.mark.parametrize("times", [1, 2])
 def test_nearest_neighbours_of_an_id_on_many_rows(spark, times):
     rng = np.random.default_rng(8)
