@@ -1,7 +1,9 @@
-"""Connected components of a link table by contraction; no component is ever gathered in one task."""
+"""Connected components of a link table by contraction, until what is left is TASK_LINKS links at most."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,11 +13,32 @@ from .common import staged
 TASK_LINKS = 100_000
 
 
+def _finished(batches):
+    """(a, to) of every node of at most TASK_LINKS links, to the smallest node of its component."""
+    links = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches]
+    if links:
+        a, b = map(np.concatenate, zip(*links))
+        nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = place[: len(a)], place[len(a) :]
+        least = np.arange(len(nodes))
+        while True:
+            new = least.copy()
+            np.minimum.at(new, x, least[y])
+            np.minimum.at(new, y, least[x])
+            np.minimum.at(new, least, new.copy())  # a node's head learns what the node learnt
+            new = new[new]
+            if (new == least).all():
+                break
+            least = new
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least])], names=["a", "to"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, root) for every node of a link; root is any one node of its component.
 
     In each round every node is merged into the neighbour (or itself) that a hash of the round puts first; links between
-    different nodes go on to the next round. The hash makes the expected number of rounds logarithmic, on chains too.
+    different nodes go on to the next round. The hash makes the expected number of rounds logarithmic, on chains too. The
+    last TASK_LINKS links are finished by one task.
     """
     pairs = links.where(F.col("a") != F.col("b")).select("a", "b")
     edges = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -23,7 +46,7 @@ def components(links: DataFrame) -> DataFrame:
     parts = 1 + n // TASK_LINKS  # later rounds have fewer links: few tasks and files for few links
     names = edges.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node")).coalesce(parts)
     step = 0
-    while n:
+    while n > TASK_LINKS:
         first = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("node"))).alias("near")
         own = F.struct(F.xxhash64("a", F.lit(step)).alias("h"), F.col("a").alias("node"))
         into = staged(edges.groupBy("a").agg(first).select("a", F.least(own, F.col("near"))["node"].alias("to")).coalesce(parts), "hooks")
@@ -32,4 +55,7 @@ def components(links: DataFrame) -> DataFrame:
         edges = staged(half.join(into, "a").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a != b").distinct().coalesce(parts), "edges")
         n = edges.count()
         step += 1
+    if n:
+        into = edges.select("a", "b").coalesce(1).mapInArrow(_finished, "a long, to long")
+        names = staged(names.join(into.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "names")
     return names

@@ -9,8 +9,8 @@ sizes, by maximum likelihood; what the estimate doesn't rule out is checked on t
 A band's bucket of up to ALL_PAIRS classes gives all pairs, a larger one only pairs with its centre, the class with the
 least hash. Pairs inside a component need no check, so the most likely pair of every class is checked first. Large
 buckets that still hold several components are joined to clusters where they share classes; in a cluster, classes outside
-its main component are compared with all others in blocks, by products of 0/1 matrices of full sets, of which only true
-links are put out. So no link between components is lost, a group of near copies of any size costs pairs in proportion to
+its main component are compared with all others in blocks: by sizes and registers first, and those that are still possible
+by products of 0/1 matrices of full sets, of which only true links are put out. So no link between components is lost, a group of near copies of any size costs pairs in proportion to
 it, and only classes that stay unlinked inside such a group meet all its members.
 
 At a similarity of 0.8 two sets share no band with probability (1 - 0.8**4)**32 = 5e-8, and the estimate (standard error
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import small_batches, staged
+from .common import join_heavy, small_batches, staged
 from .components import components
 
 REGISTERS, BAND_ROWS = 128, 4
@@ -176,7 +176,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
     width = 2 * BAND_ROWS
     rows = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select("node", "band", F.expr(f"substring(registers, band * {width} + 1, {width})").alias("value"))
     buckets = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c")).where("size > 1").select("band", "value", "size", F.col("c.node").alias("centre"))
-    members = staged(rows.join(buckets, ["band", "value"]), "members")
+    members = staged(join_heavy(rows, staged(buckets, "buckets"), ["band", "value"], "size", ["node"]), "members")
 
     pairs = staged(_estimated(_candidates(members), classes, threshold), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.where(F.col("size") > ALL_PAIRS).select("node")).distinct()
@@ -189,7 +189,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
     links = links.unionByName(staged(_confirmed(_apart(pairs.join(best, ["a", "b"], "left_anti"), names), sets, percent), "links"))
     names = components(links)
 
-    more = staged(_across(members, names, sets, percent), "links")
+    more = staged(_across(members, names, classes, sets, percent), "links")
     if not more.isEmpty():
         names = components(links.unionByName(more))
 
@@ -200,7 +200,7 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def _across(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _across(members: DataFrame, names: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of large buckets: the exact way for what the centres left open."""
     large = members.where(F.col("size") > ALL_PAIRS).join(names, "node", "left").select("band", "value", "centre", "node", F.coalesce("root", "node").alias("root"))
     open_buckets = large.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "value")
@@ -209,11 +209,27 @@ def _across(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int)
     rooted = staged(mixed.select("node", "root").distinct().join(clusters, "node"), "open")
     count = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
     plan = count.select("cluster", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / ACROSS).alias("xs"), F.ceil(F.col("n") / ALONG).alias("ys"))
-    every = staged(rooted.join(plan, "cluster"), "open").join(sets, "node")
+    every = rooted.join(plan, "cluster").join(classes, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    x = every.where("root != main").select("cluster", own("xs").alias("i"), spread("ys").alias("j"), "node", "root", "shingles")
-    y = every.select(F.col("cluster").alias("cluster"), spread("xs").alias("i"), own("ys").alias("j"), *[F.col(c).alias(c) for c in ("node", "root", "shingles")])
+    seen = ["node", "root", "n_shingles", "registers"]
+    x = every.where("root != main").select("cluster", own("xs").alias("i"), spread("ys").alias("j"), *seen)
+    y = every.select(F.col("cluster").alias("cluster"), spread("xs").alias("i"), own("ys").alias("j"), *[F.col(c).alias(c) for c in seen])
+    threshold = percent / 100
+    least = int(np.floor(REGISTERS * (threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5)))
+
+    def screen(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The classes of a block with a partner that sizes and equal registers allow."""
+        (a, root_a, n_a, x), (b, root_b, n_b, y) = [
+            (t["node"].to_numpy(), t["root"].to_numpy(), t["n_shingles"].to_numpy(), np.frombuffer(b"".join(t["registers"].to_pylist()), "<u2").reshape(-1, REGISTERS)) for t in (left, right)
+        ]
+        possible = (root_a[:, None] != root_b[None, :]) & (100 * np.minimum(n_a[:, None], n_b[None, :]) >= percent * np.maximum(n_a[:, None], n_b[None, :]))
+        for i in range(0, len(a), 16):
+            possible[i : i + 16] &= (x[i : i + 16, None, :] == y[None, :, :]).sum(axis=2) >= least
+        in_a, in_b = possible.any(axis=1), possible.any(axis=0)
+        node, root = np.concatenate([a[in_a], b[in_b]]), np.concatenate([root_a[in_a], root_b[in_b]])
+        block = [pa.array(np.full(len(node), (left if len(a) else right)[c][0].as_py() if len(node) else 0, np.int64)) for c in by]
+        return pa.table([*block, pa.array(node), pa.array(root), pa.array(np.arange(len(node)) < in_a.sum())], names=[*by, "node", "root", "first"])
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         sides = [(t["node"].to_numpy(), t["root"].to_numpy(), [np.frombuffer(s.as_buffer(), "<u8") for c in t["shingles"].chunks for s in c]) for t in (left, right)]
@@ -242,6 +258,9 @@ def _across(members: DataFrame, names: DataFrame, sets: DataFrame, percent: int)
         return pa.table({"a": pa.array(a[i]), "b": pa.array(b[j])})
 
     by = ["cluster", "i", "j"]
+    screened = x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(screen, "cluster long, i long, j long, node long, root long, first boolean")
+    full = staged(screened, "screened").join(sets, "node")
+    x, y = full.where("first"), full.where("NOT first").select(*[F.col(c).alias(c) for c in full.columns])
     return x.groupBy(*by).cogroup(y.groupBy(*by)).applyInArrow(compare, "a long, b long")
 
 

@@ -378,7 +378,9 @@ def test_estimate_is_near():
     assert np.array_equal(np.maximum(ra, rb)[0], neardup.registers(np.unique(x)))  # a union's registers are the greater ones
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("links", [100_000, 20])
+def test_components_of_a_chain(spark, links, monkeypatch):
+    monkeypatch.setattr(components, "TASK_LINKS", links)
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (7, 7)], "a long, b long")
     roots = defaultdict(set)
     for r in components.components(links).collect():

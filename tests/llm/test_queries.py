@@ -169,3 +169,21 @@ def test_op10(spark):
         s[place[q]] = -np.inf
         hits += len({r.vec_id for r in own} & set(ids[np.argsort(-s)[:20]].tolist()))
     assert hits >= 0.9 * 20 * len(found)
+
+
+def test_pipeline(spark, texts):
+    """run() is its stages one after another; the first keeps what the classifier scores 0.3 or more."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scores = {r.doc_id: r.predicted for r in QUERIES["op1_quality_classifier"](spark, SF).collect()}
+    kept = corpus_pipeline.keep_quality(spark, docs, SF)
+    assert kept.columns == corpus_pipeline.COLUMNS == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, good in scores.items() if good)
+    assert corpus_pipeline.keep_quality(spark, docs.where("false"), SF).count() == 0
+    out = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in out} <= {d for d, good in scores.items() if good} and len(out) > 0.5 * sum(scores.values())
+    bins = defaultdict(int)
+    for r in out:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 4096
