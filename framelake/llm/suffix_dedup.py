@@ -15,9 +15,9 @@ of the anchor's gram). Hence
 
 There are as many shards as the windows counted need, SHARD_WINDOWS each. Keys with very many different runs (the borders
 of a passage that a large share of all documents has) would fill a shard with copies of few windows: the digests of their
-windows are dealt to all shards by digest and document instead. A shard finds those that it saw before in the same kind of
-family, over digests, and the first ones of all shards are ranked once more. Keys and runs that meet a large share of all
-rows are split in every join (join_heavy), and aggregations start before the shuffle.
+windows are taken instead, in the same kind of family. A task that reads documents in order finds what it saw before, and
+only the first windows of each task are dealt to the shards, by digest. Keys and runs that meet a large share of all rows
+are split in every join (join_heavy), and aggregations start before the shuffle.
 
 Null texts are empty; texts shorter than `length` keep everything; matches never cross documents; an earlier start in the
 same document counts. Ids are meant to be unique: rows of one id with one text are treated alike and do not repeat each
@@ -33,7 +33,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
@@ -174,11 +174,15 @@ def _run_table(docs: DataFrame, length: int) -> DataFrame:
     return docs.where(F.col("doc_id").isNotNull()).mapInArrow(run, "key long, doc_id long, start int, n int, check long, more long")
 
 
-def _segments(joined: DataFrame, length: int, shards: int) -> DataFrame:
-    """What is listed with each document, for the shards: the text of a run, or the digest of each window of a hot one."""
+#: What a row for the shards holds: the text of a run, the digest of a window, or a span that is found (n and check).
+TEXT, DIGEST, FOUND = 0, 1, 2
+
+
+def _segments(joined: DataFrame, length: int) -> DataFrame:
+    """What is listed with each document, for the shards; documents come in order of their ids."""
 
     def run(batches):
-        own_id, texts_of = None, set()
+        own_id, texts_of, digests = None, set(), SuffixLevels(16)
         for batch in batches:
             listed = batch.column("listed")
             for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)).tolist():
@@ -198,15 +202,32 @@ def _segments(joined: DataFrame, length: int, shards: int) -> DataFrame:
                 begin, end, body = start[whole], (start + n)[whole] + length - 1, raw.tobytes()
                 for k in range(0, len(begin), 20_000):
                     part = slice(k, k + 20_000)
-                    yield _dealt(key[whole][part], doc, begin[part], [body[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())], False)
+                    yield _dealt(key[whole][part], doc, begin[part], [body[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())], TEXT)
                 if single.any():
-                    one = np.repeat(start[single], n[single]) + _places(n[single])
+                    one = np.sort(np.repeat(start[single], n[single]) + _places(n[single]))
                     halves = np.stack([_check(spans.prefix(raw, kind), one, one + length, kind) for kind in (0, 1)], axis=1)
-                    deal = halves[:, 0] + int(spans.mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(shards))
-                    flat = halves.tobytes()
-                    yield _dealt(deal, doc, one, [flat[k : k + 16] for k in range(0, len(flat), 16)], True)
+                    seen = digests.scan(digests.add(halves.view(np.uint8).ravel()) + 16 * np.arange(len(one)))
+                    new = ~seen
+                    yield _dealt(halves[new, 0], doc, one[new], _pairs(halves[new]), DIGEST)
+                    first, last = _spans(seen, one)
+                    checks = _check(total, one[first], one[last] + length)
+                    yield _dealt(checks, doc, one[first], _pairs(np.stack([last - first + 1, checks], axis=1)), FOUND)
+
+    return joined.sortWithinPartitions("doc_id").mapInArrow(run, "deal long, doc_id long, start int, bytes binary, kind int")
+
 
-    return joined.mapInArrow(run, "deal long, doc_id long, start int, bytes binary, hot boolean")
+def _pairs(rows: np.ndarray) -> list[bytes]:
+    flat = np.ascontiguousarray(rows).tobytes()
+    return [flat[k : k + 16] for k in range(0, len(flat), 16)]
+
+
+def _spans(seen: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of each maximal run of seen windows at consecutive places."""
+    new, last = seen.copy(), seen.copy()
+    next_to = seen[1:] & seen[:-1] & (place[1:] == place[:-1] + 1)
+    new[1:] &= ~next_to
+    last[:-1] &= ~next_to
+    return np.flatnonzero(new), np.flatnonzero(last)
 
 
 def _places(n: np.ndarray) -> np.ndarray:
@@ -214,9 +235,9 @@ def _places(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _dealt(deal: np.ndarray, doc: int, start: np.ndarray, body: list[bytes], hot: bool) -> pa.RecordBatch:
-    columns = [pa.array(deal), pa.array(np.full(len(deal), doc, np.int64)), pa.array(start.astype(np.int32)), pa.array(body, pa.binary()), pa.array(np.full(len(deal), hot))]
-    return pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "bytes", "hot"])
+def _dealt(deal: np.ndarray, doc: int, start: np.ndarray, body: list[bytes], kind: int) -> pa.RecordBatch:
+    columns = [pa.array(deal), pa.array(np.full(len(deal), doc, np.int64)), pa.array(start.astype(np.int32)), pa.array(body, pa.binary()), pa.array(np.full(len(deal), kind, np.int32))]
+    return pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "bytes", "kind"])
 
 
 def _once(batches):
@@ -234,27 +255,26 @@ def _once(batches):
 
 
 def _scanned(segments: DataFrame, length: int, shards: int) -> DataFrame:
-    """(doc_id, start, n, check, more) of the repeated windows, from each shard's family of suffix arrays.
-
-    Rows with `more` are windows of hot keys that are the first with their digest in a shard.
-    """
+    """(doc_id, start, n, check) of the repeated windows, from each shard's family of suffix arrays."""
 
-    def found(doc, start, n, check, more=None):
-        half = pa.nulls(len(doc), pa.int64()) if more is None else pa.array(more)
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(check), half], names=["doc_id", "start", "n", "check", "more"])
+    def found(doc, start, n, check):
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(check)], names=["doc_id", "start", "n", "check"])
 
     def run(batches):
         texts, digests = SuffixLevels(length), SuffixLevels(16)
         for batch in _once(batches):
-            hot = batch.column("hot")
-            single, batch = batch.filter(hot), batch.filter(pc.invert(hot))
-            if single.num_rows:
-                body, _ = spans.utf8(single.column("bytes"))
-                seen = digests.scan(digests.add(body) + np.arange(0, len(body), 16))
+            kind = batch.column("kind").to_numpy()
+            of_kind = [batch.filter(pa.array(kind == k)) for k in (TEXT, DIGEST, FOUND)]
+            for k in (DIGEST, FOUND):
+                body, _ = spans.utf8(of_kind[k].column("bytes"))
                 halves = np.frombuffer(body.tobytes(), np.int64).reshape(-1, 2)
-                doc, start, one = single.column("doc_id").to_numpy(), single.column("start").to_numpy(), np.ones(len(seen), np.int64)
-                yield found(doc[seen], start[seen], one[seen], halves[seen, 0])
-                yield found(doc[~seen], start[~seen], one[~seen], halves[~seen, 0], halves[~seen, 1])
+                doc, start = of_kind[k].column("doc_id").to_numpy(), of_kind[k].column("start").to_numpy()
+                if k == FOUND:
+                    yield found(doc, start, halves[:, 0], halves[:, 1])
+                elif len(doc):
+                    seen = digests.scan(digests.add(body) + np.arange(0, len(body), 16))
+                    yield found(doc[seen], start[seen], np.ones(seen.sum(), np.int64), halves[seen, 0])
+            batch = of_kind[TEXT]
             body, at = spans.utf8(batch.column("bytes"))
             doc, origin = batch.column("doc_id").to_numpy(), batch.column("start").to_numpy().astype(np.int64)
             counts = np.diff(at) - length + 1
@@ -267,17 +287,13 @@ def _scanned(segments: DataFrame, length: int, shards: int) -> DataFrame:
                 place = np.repeat(at[i:j], own) + inner
                 seen = texts.scan(texts.add(body[at[i] : at[j]]) - at[i] + place)
                 seg = np.repeat(np.arange(i, j), own)
-                new = seen.copy()
-                new[1:] &= ~(seen[:-1] & (seg[1:] == seg[:-1]))
-                last = seen.copy()
-                last[:-1] &= ~(seen[1:] & (seg[1:] == seg[:-1]))
-                a, b = np.flatnonzero(new), np.flatnonzero(last)
+                a, b = _spans(seen, place)  # the windows of two texts are never next to each other
                 if len(a):
                     yield found(doc[seg[a]], origin[seg[a]] + inner[a], b - a + 1, _check(spans.prefix(body), place[a], place[b] + length))
                 i = j
 
     dealt = segments.repartition(shards, "deal").sortWithinPartitions("doc_id", "start", "bytes")
-    return dealt.mapInArrow(run, "doc_id long, start int, n int, check long, more long")
+    return dealt.mapInArrow(run, "doc_id long, start int, n int, check long")
 
 
 def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
@@ -302,10 +318,7 @@ def with_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     listed = join_heavy(firsts.select("key", "first", "n", "check"), several.select("key", "runs"), ["key"], "runs", ["first"])
     listed = listed.select(F.col("first.doc_id").alias("doc_id"), F.struct(F.col("first.start").alias("start"), "n", "check", "key", (F.col("runs") > HOT_RUNS).alias("hot")).alias("r"))
     listed = listed.groupBy("doc_id").agg(F.collect_list("r").alias("listed"))
-    parts = _scanned(_segments(base.join(listed, "doc_id", "left"), length, shards), length, shards)
-    # a digest has a row with `more` for each shard at most; the other rows make groups of their own
-    rank = F.rank().over(Window.partitionBy("check", F.coalesce("more", F.xxhash64("doc_id", "start")), F.col("more").isNull()).orderBy("doc_id", "start"))
-    parts = parts.withColumn("rank", rank).where(F.col("more").isNull() | (F.col("rank") > 1)).select("doc_id", "start", "n", "check")
+    parts = _scanned(_segments(base.join(listed, "doc_id", "left"), length), length, shards)
 
     # a document's own spans: as many as its windows at most
     spans_of = whole.unionByName(parts).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "check")).alias("repeats"))
