@@ -29,6 +29,7 @@ whatever their names; a column named `repeats` is replaced.
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -184,34 +185,36 @@ def _segments(joined: DataFrame, length: int) -> DataFrame:
     def run(batches):
         own_id, texts_of, digests = None, set(), SuffixLevels(16)
         for batch in batches:
+            rows, hot_docs = [], []
             listed = batch.column("listed")
             for i in np.flatnonzero(listed.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 raw = np.frombuffer((batch.column("text")[i].as_py() or "").encode(), np.uint8)
                 doc, digest = batch.column("doc_id")[i].as_py(), hashlib.sha256(raw).digest()
                 if doc != own_id:
                     own_id, texts_of = doc, set()
-                if digest in texts_of:  # a sorted join has the rows of an id together; the scan drops what is left
+                if digest in texts_of:  # the rows of an id come together; the scan drops what is left
                     continue
                 texts_of.add(digest)
-                total = spans.prefix(raw)
-                rows = listed[i].values
-                start, n, check, key, hot = (rows.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key", "hot"))
+                start, n, check, key, hot = (listed[i].values.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("start", "n", "check", "key", "hot"))
                 own = start + n + length - 1 <= len(raw)
-                own[own] = _check(total, start[own], start[own] + n[own] + length - 1) == check[own]
+                own[own] = _check(spans.prefix(raw), start[own], start[own] + n[own] + length - 1) == check[own]
                 whole, single = own & (hot == 0), own & (hot == 1)
                 begin, end, body = start[whole], (start + n)[whole] + length - 1, raw.tobytes()
-                for k in range(0, len(begin), 20_000):
-                    part = slice(k, k + 20_000)
-                    yield _dealt(key[whole][part], doc, begin[part], [body[a:b] for a, b in zip(begin[part].tolist(), end[part].tolist())], TEXT)
+                rows.append((key[whole], doc, begin, [body[a:b] for a, b in zip(begin.tolist(), end.tolist())], TEXT))
                 if single.any():
                     one = np.sort(np.repeat(start[single], n[single]) + _places(n[single]))
                     halves = np.stack([_check(spans.prefix(raw, kind), one, one + length, kind) for kind in (0, 1)], axis=1)
-                    seen = digests.scan(digests.add(halves.view(np.uint8).ravel()) + 16 * np.arange(len(one)))
-                    new = ~seen
-                    yield _dealt(halves[new, 0], doc, one[new], _pairs(halves[new]), DIGEST)
+                    hot_docs.append((doc, raw, one, halves))
+            if hot_docs:
+                every = np.concatenate([halves for *_, halves in hot_docs])
+                all_seen = digests.scan(digests.add(every.view(np.uint8).ravel()) + 16 * np.arange(len(every)))
+                for (doc, raw, one, halves), seen in zip(hot_docs, np.split(all_seen, np.cumsum([len(one) for _, _, one, _ in hot_docs])[:-1])):
+                    rows.append((halves[~seen, 0], doc, one[~seen], _pairs(halves[~seen]), DIGEST))
                     first, last = _spans(seen, one)
-                    checks = _check(total, one[first], one[last] + length)
-                    yield _dealt(checks, doc, one[first], _pairs(np.stack([last - first + 1, checks], axis=1)), FOUND)
+                    if len(first):
+                        checks = _check(spans.prefix(raw), one[first], one[last] + length)
+                        rows.append((checks, doc, one[first], _pairs(np.stack([last - first + 1, checks], axis=1)), FOUND))
+            yield from _dealt(rows)
 
     return joined.sortWithinPartitions("doc_id").mapInArrow(run, "deal long, doc_id long, start int, bytes binary, kind int")
 
@@ -235,9 +238,18 @@ def _places(n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _dealt(deal: np.ndarray, doc: int, start: np.ndarray, body: list[bytes], kind: int) -> pa.RecordBatch:
-    columns = [pa.array(deal), pa.array(np.full(len(deal), doc, np.int64)), pa.array(start.astype(np.int32)), pa.array(body, pa.binary()), pa.array(np.full(len(deal), kind, np.int32))]
-    return pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "bytes", "kind"])
+def _dealt(rows: list[tuple], most: int = 20_000):
+    """Record batches of rows of deals, document, starts, bytes and kind."""
+    if rows:
+        deal, doc, start, body, kind = zip(*rows)
+        n = list(map(len, deal))
+        columns = [
+            pa.array(np.concatenate(deal)), pa.array(np.repeat(np.array(doc, np.int64), n)), pa.array(np.concatenate(start).astype(np.int32)),
+            pa.array(list(chain.from_iterable(body)), pa.binary()), pa.array(np.repeat(np.array(kind, np.int32), n)),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, names=["deal", "doc_id", "start", "bytes", "kind"])
+        for i in range(0, whole.num_rows, most):
+            yield whole.slice(i, most)
 
 
 def _once(batches):
