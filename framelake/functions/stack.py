@@ -305,3 +305,34 @@ def pulse_filter(frame: np.ndarray, p: int) -> np.ndarray:
             if not touched[a] and not touched[b]:
                 value[a], touched[a], touched[b] = value[b], True, True
         v = value[flat]
+
+
+def counts(values: np.ndarray) -> list[np.ndarray]:
+    """The histogram of whole parts of each row: 256 bins, or more if a value needs them; values under 0 count as 0."""
+    return [np.bincount(v, minlength=256) for v in np.maximum(values, 0).astype(np.int64)]
+
+
+def match_lut(n: np.ndarray, ref: np.ndarray | None = None) -> np.ndarray:
+    """For each bin the first reference bin whose total passes what lies before the bin; ref: uniform by default."""
+    total = n.sum()
+    upto = np.floor(np.arange(1, 257) / 256.0 * total + 0.5) if ref is None else np.cumsum(ref)
+    return np.minimum(255, np.searchsorted(upto, np.cumsum(n) - n, "right"))
+
+
+def stretch_lut(n: np.ndarray, lo: float, hi: float) -> np.ndarray:
+    share, bins = (np.cumsum(n) - n) / max(1, n.sum()), np.arange(256)
+    a, z = (int(under[-1]) if len(under := np.flatnonzero(share < limit)) else default for limit, default in ((lo, 0), (hi, 255)))
+    line = np.floor((bins - a) / float(max(1, z - a)) * 255)
+    return np.where(bins < a, 0, np.where((bins > z) | (a == z), 255, line))
+
+
+def cdf_lut(n: np.ndarray) -> np.ndarray:
+    return np.floor(np.cumsum(n) * 255 / max(1, n.sum()))
+
+
+def spread_lut(n: np.ndarray) -> np.ndarray:
+    upto, total = np.cumsum(n), n.sum()
+    least = upto[np.argmax(upto > 0)]
+    if total == least:
+        return np.arange(256)
+    return np.maximum(0, np.floor((upto - least) * 255.0 / (total - least) + 0.5))

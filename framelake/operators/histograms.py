@@ -1,4 +1,4 @@
-"""Histograms, look-up tables and per-frame statistics: built-in functions; at most 256 rows a frame are shuffled."""
+"""Histograms, look-up tables and per-frame statistics: a frame's histogram and table are made inside its row."""
 
 from __future__ import annotations
 
@@ -6,22 +6,39 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType
 
 from ..frames import KEY, channels, peak, with_px
 from ..functions import stack
 from ..functions.let import let
 from .points import clamp, convert_format, each, palette_remap
 from .temporal import affine_scan
-from .vector import px_lists, shapes, small_batches, stacked
+from .vector import per_stack, px_lists, shapes, small_batches, stacked
 
 BINS = 256
 
 
+def frame_counts(df: DataFrame, pixel_stride: int = 1, image_stride: int = 1) -> DataFrame:
+    """(key, counts): the histogram of each picked frame as an array of 256 counts or more, made inside its row."""
+    small_batches(df)
+    picked = df.where(F.col("frame_no") % image_stride == 0).select(*KEY, "width", "height", "pix_fmt", "px")
+
+    def run(batches):
+        for batch in batches:
+            out: list = [None] * batch.num_rows
+            for shape, rows in shapes(batch).items():
+                first = stacked(batch.column("px"), rows, shape)[..., 0].reshape(len(rows), -1)[:, ::pixel_stride]
+                for i, n in zip(rows, stack.counts(first)):
+                    out[i] = n * pixel_stride
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(out, pa.list_(pa.int64()))], names=[*KEY, "counts"])
+
+    schema = picked.select(*KEY).schema.add("counts", ArrayType(LongType()))
+    return picked.mapInArrow(run, schema)
+
+
 def histogram(df: DataFrame, pixel_stride: int = 1, image_stride: int = 1) -> DataFrame:
     """(key, bin, n) of the first component; every pixel_stride-th pixel counts pixel_stride, every image_stride-th frame."""
-    picked = df.where(F.col("frame_no") % image_stride == 0).select(*KEY, channels().alias("ch"), F.posexplode("px").alias("i", "v"))
-    picked = picked.where(F.col("i") % (F.col("ch") * pixel_stride) == 0)
-    return picked.groupBy(*KEY, F.col("v").cast("int").alias("bin")).agg((F.count("*") * pixel_stride).alias("n"))
+    return frame_counts(df, pixel_stride, image_stride).select(*KEY, F.posexplode("counts").alias("bin", "n")).where("n > 0")
 
 
 def ref_hist(n: Column | int) -> Column:
@@ -33,45 +50,49 @@ def ref_hist(n: Column | int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: (total(i) - F.when(i > 0, total(i - 1)).otherwise(0)).cast("long"))
 
 
-def full(hist: DataFrame) -> DataFrame:
-    """(key, bin, n, cdf, total) with a row for each of a frame's 256 bins; cdf includes the bin."""
-    frames = hist.groupBy(*KEY).agg(F.sum("n").alias("total"))
-    every = frames.select(*KEY, "total", F.explode(F.sequence(F.lit(0), F.lit(255))).alias("bin"))
-    bins = every.join(hist, [*KEY, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
-    return bins.withColumn("cdf", F.sum("n").over(Window.partitionBy(*KEY).orderBy("bin")))
+def dense(hist: DataFrame) -> DataFrame:
+    """(key, counts) from (key, bin, n): one exchange of at most 256 rows a frame; a table that has counts passes."""
+    if "counts" in hist.columns:
+        return hist
+    n = F.map_from_entries(F.collect_list(F.struct(F.col("bin").cast("int").alias("bin"), "n")))  # 256 of them
+    return hist.groupBy(*KEY).agg(n.alias("n")).select(*KEY, F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.element_at("n", i), F.lit(0).cast("long"))).alias("counts"))
 
 
-def gathered(bins: DataFrame, lut: Column) -> DataFrame:
-    """(key, lut): the table of a frame as an array of 256 values."""
-    entries = F.array_sort(F.collect_list(F.struct("bin", lut.cast("int").alias("lut"))))  # 256 of them
-    return bins.groupBy(*KEY).agg(entries.alias("e")).select(*KEY, F.col("e.lut").alias("lut"))
+def _luts(counts: DataFrame, make, *more: str) -> DataFrame:
+    """(key, lut) with make(counts of a frame, further array columns) for each row."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("counts", *more)))
+            made = [make(*(np.array(x[:BINS], np.int64) for x in row)).astype(np.int32) for row in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(made, pa.list_(pa.int32()))], names=[*KEY, "lut"])
+
+    return counts.mapInArrow(run, counts.select(*KEY).schema.add("lut", ArrayType(IntegerType())))
 
 
 def match_map(hist: DataFrame, ref: Column | None = None) -> DataFrame:
     """(key, lut): a bin goes to the first reference bin whose inclusive total passes the bin's total before it, else 255.
 
-    ref: array of 256 counts; by default the uniform one of each frame's own total. Both sides are put in order of their
-    totals, and the reference totals that are not greater are counted by one window per frame.
+    hist: histogram() or frame_counts(); ref: array of 256 counts, by default the uniform one of each frame's own total.
     """
-    bins = full(hist)
     if ref is None:
-        ref_cdf = F.floor((F.col("bin") + 1) / 256.0 * F.col("total") + 0.5)
-    else:
-        ref_cdf = F.aggregate(F.slice(ref, F.lit(1), F.col("bin") + 1), F.lit(0).cast("long"), lambda x, y: x + y)
-    sides = bins.select(*KEY, "bin", F.explode(F.array(
-        F.struct((F.col("cdf") - F.col("n")).alias("at"), F.lit(1).alias("own")), F.struct(ref_cdf.alias("at"), F.lit(0).alias("own")),
-    )).alias("s")).select(*KEY, "bin", "s.*")
-    passed = F.sum(1 - F.col("own")).over(Window.partitionBy(*KEY).orderBy("at", "own").rowsBetween(Window.unboundedPreceding, 0))
-    return gathered(sides.withColumn("passed", passed).where("own = 1"), F.least(F.lit(255), F.col("passed")))
+        return _luts(dense(hist), stack.match_lut)
+    return _luts(dense(hist).withColumn("ref", ref.cast("array<bigint>")), stack.match_lut, "ref")
 
 
 def stretch_map(hist: DataFrame, lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """(key, lut): 0 below the last bin whose share before it is under lo, linear to 255 at the last one under hi."""
-    share, own = (F.col("cdf") - F.col("n")) / F.col("total"), Window.partitionBy(*KEY)
-    last = lambda limit, default: F.coalesce(F.max(F.when(share < limit, F.col("bin"))).over(own), F.lit(default))
-    bins = full(hist).withColumn("a", last(lo, 0)).withColumn("z", last(hi, 255))
-    line = F.floor((F.col("bin") - F.col("a")) / (F.col("z") - F.col("a")).cast("double") * 255)
-    return gathered(bins, F.when(F.col("bin") < F.col("a"), 0).when((F.col("bin") > F.col("z")) | (F.col("a") == F.col("z")), 255).otherwise(line))
+    return _luts(dense(hist), lambda n: stack.stretch_lut(n, lo, hi))
+
+
+def _remapped(df: DataFrame, make) -> DataFrame:
+    """Frames through the table that make(counts) gives for each, inside their rows."""
+
+    def remap(s: np.ndarray) -> np.ndarray:
+        luts = np.stack([make(n[:BINS]) for n in stack.counts(s[..., 0].reshape(len(s), -1))])
+        return luts[np.arange(len(s)), s.astype(np.int64).reshape(len(s), -1).T].T.reshape(s.shape)
+
+    return per_stack(df, remap)
 
 
 def with_lut(df: DataFrame, luts: DataFrame, every: int = 1) -> DataFrame:
@@ -82,21 +103,23 @@ def with_lut(df: DataFrame, luts: DataFrame, every: int = 1) -> DataFrame:
 
 
 def hist_equalise(df: DataFrame, pixel_stride: int = 1, image_stride: int = 1) -> DataFrame:
-    """Histogram, uniform reference, match map, remap: frames between two histograms use the earlier one."""
-    return with_lut(df, match_map(histogram(df, pixel_stride, image_stride)), image_stride)
+    """Histogram, uniform reference, match map, remap: frames between two histograms use the earlier one.
+
+    Without an image stride a frame needs its own table only, and nothing is shuffled.
+    """
+    if image_stride == 1 and pixel_stride == 1:
+        return _remapped(df, stack.match_lut)
+    return with_lut(df, match_map(frame_counts(df, pixel_stride, image_stride)), image_stride)
 
 
 def cdf_equalise(df: DataFrame) -> DataFrame:
     """trunc(255 * cdf(v) / N)."""
-    return with_lut(df, gathered(full(histogram(df)), F.floor(F.col("cdf") * 255 / F.col("total"))))
+    return _remapped(df, stack.cdf_lut)
 
 
 def equalize_hist(df: DataFrame) -> DataFrame:
     """Grey first; (cdf(v) - cdf_min) / (N - cdf_min) * 255, rounded; a flat frame stays."""
-    grey = convert_format(df, "Y_8")
-    bins = full(histogram(grey)).withColumn("least", F.min(F.when(F.col("cdf") > 0, F.col("cdf"))).over(Window.partitionBy(*KEY)))
-    spread = F.floor((F.col("cdf") - F.col("least")) * 255.0 / (F.col("total") - F.col("least")) + 0.5)
-    return with_lut(grey, gathered(bins, F.when(F.col("total") == F.col("least"), F.col("bin")).otherwise(F.greatest(F.lit(0), spread))))
+    return _remapped(convert_format(df, "Y_8"), stack.spread_lut)
 
 
 def frame_mean(df: DataFrame) -> Column:

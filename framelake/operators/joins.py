@@ -35,9 +35,9 @@ def masked_gain(a: DataFrame, mask: DataFrame, gain: float, on: list[str] = AT)
 def fuse(df: DataFrame, setup: DataFrame) -> DataFrame:
     """One colour frame per slot: each image moved, turned and scaled as its setup row says, times its RGB weights, summed.
 
-    setup(img_no, x, y, scale, angle, r, g, b): a row per camera of a slot, a handful; it is broadcast.
+    setup(img_no, x, y, scale, angle, r, g, b): a row per camera of a slot; Spark broadcasts it if its size is small.
     """
-    rows = df.join(F.broadcast(setup.withColumnsRenamed({"x": "s_x", "y": "s_y", "scale": "s_scale", "angle": "s_angle", "r": "s_r", "g": "s_g", "b": "s_b"})), "img_no")
+    rows = df.join(setup.withColumnsRenamed({"x": "s_x", "y": "s_y", "scale": "s_scale", "angle": "s_angle", "r": "s_r", "g": "s_g", "b": "s_b"}), "img_no")
     w, h = F.col("width"), F.col("height")
     turn = F.radians("s_angle")
 
@@ -83,19 +83,19 @@ def attach_metadata(df: DataFrame, meta: DataFrame) -> DataFrame:
 
 
 def label(dets: DataFrame, labels: DataFrame) -> DataFrame:
-    """class_id to class name; labels(class_id, name) is the labels file, broadcast."""
-    return dets.join(F.broadcast(labels), "class_id", "left")
+    """class_id to class name; labels(class_id, name) is the labels file; Spark broadcasts it if its size is small."""
+    return dets.join(labels, "class_id", "left")
 
 
 def in_roi(rects: DataFrame, roi: DataFrame) -> DataFrame:
-    """Rectangles that touch one of roi(l, r, t, b), a few rows that are broadcast."""
-    x, y = rects.alias("x"), F.broadcast(roi).alias("y")
+    """Rectangles that touch one of roi(l, r, t, b), which Spark broadcasts if they are few."""
+    x, y = rects.alias("x"), roi.alias("y")
     return x.join(y, F.expr("x.l <= y.r AND x.r >= y.l AND x.t <= y.b AND x.b >= y.t"), "left_semi")
 
 
 def record_between(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Frames inside a recording: intervals(start_no, stop_no), stop exclusive, a few rows that are broadcast."""
-    x, y = df.alias("x"), F.broadcast(intervals).alias("y")
+    """Frames inside a recording: intervals(start_no, stop_no), stop exclusive, which Spark broadcasts if they are few."""
+    x, y = df.alias("x"), intervals.alias("y")
     return x.join(y, F.expr("x.frame_no >= y.start_no AND x.frame_no < y.stop_no"), "left_semi")
 
 

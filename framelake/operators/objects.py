@@ -91,8 +91,11 @@ def overlaps(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> bool
     return near(0) and near(2)
 
 
-def merge_rects(rects: DataFrame, by: list[str] = BY) -> DataFrame:
-    """(by, rect_id, l, r, t, b) of merged rectangles per frame; frames pass through a task one after another."""
+def merge_rects(rects: DataFrame, by: list[str] = BY, max_area: int | None = None, max_width: int | None = None, max_height: int | None = None) -> DataFrame:
+    """(by, rect_id, l, r, t, b) of merged rectangles per frame; frames pass through a task one after another.
+
+    Unions above a maximum are dropped with all that went into them, once no rectangles overlap any more.
+    """
     sides = ["l", "r", "t", "b"]
     rows = rects.select(*by, *[F.col(c).cast("int").alias(c) for c in sides])
     schema = rows.select(*by).schema.add("rect_id", "long").add("l", "integer").add("r", "integer").add("t", "integer").add("b", "integer")
@@ -115,7 +118,8 @@ def merge_rects(rects: DataFrame, by: list[str] = BY) -> DataFrame:
         if boxes:
             yield batch_of([(*now, k, *box) for k, box in enumerate(sorted(merged(boxes)))])
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *sides).mapInArrow(run, schema)
+    whole = rows.repartition(*by).sortWithinPartitions(*by, *sides).mapInArrow(run, schema)
+    return size_filter(whole, max_area=max_area, max_width=max_width, max_height=max_height)
 
 
 def pa_schema(df: DataFrame) -> pa.Schema:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..frames import FORMATS, IMAGE, KEY, channels, with_px
 from ..functions import stack
 from ..functions.let import let
-from .vector import px_lists, small_batches
+from .vector import px_lists, shapes, small_batches, stacked
 
 #: Frames in a block.
 BLOCK = 64
@@ -176,12 +176,27 @@ def background_model(df: DataFrame, a: float = 0.01) -> DataFrame:
 
 
 def motion_cells(model: DataFrame, thr: float = 3.5, cell: int = 16) -> DataFrame:
-    """(key, cell_x, cell_y, marked) of every cell: some pixel lies over thr standard deviations from the mean."""
-    z = F.zip_with(F.zip_with("px", "bg_mean", lambda v, m: F.abs(v - m)), "bg_var", lambda d, s: d / F.sqrt(s) > thr)
-    flat = model.select(*KEY, "width", channels().alias("n"), F.posexplode(z).alias("i", "hit"))
-    pixel = F.floor(F.col("i") / F.col("n"))
-    x, y = pixel % F.col("width"), F.floor(pixel / F.col("width"))
-    return flat.groupBy(*KEY, F.floor(x / cell).cast("int").alias("cell_x"), F.floor(y / cell).cast("int").alias("cell_y")).agg(F.max(F.coalesce("hit", F.lit(False))).alias("marked"))
+    """(key, cell_x, cell_y, marked) of every cell: some pixel lies over thr standard deviations from the mean.
+
+    A frame is reduced to its cells inside its row.
+    """
+    small_batches(model)
+    columns = ("px", "bg_mean", "bg_var")
+    ready = model.select(*KEY, "width", "height", "pix_fmt", *columns)
+
+    def run(batches):
+        for batch in batches:
+            for shape, rows in shapes(batch).items():
+                v, mean, var = (stacked(batch.column(c), rows, shape) for c in columns)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    hit = (np.abs(v - mean) / np.sqrt(var) > thr).any(axis=3)
+                hit = np.logical_or.reduceat(hit, np.arange(0, shape[0], cell), axis=1)
+                hit = np.logical_or.reduceat(hit, np.arange(0, shape[1], cell), axis=2)
+                i, y, x = (a.ravel() for a in np.indices(hit.shape))
+                keys = [batch.column(c).take(pa.array(rows[i])) for c in KEY]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(hit.ravel())], names=[*KEY, "cell_x", "cell_y", "marked"])
+
+    return ready.mapInArrow(run, ready.select(*KEY).schema.add("cell_x", "integer").add("cell_y", "integer").add("marked", "boolean"))
 
 
 def persistent(cells: DataFrame, n: int = 2) -> DataFrame:

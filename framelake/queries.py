@@ -102,7 +102,11 @@ rounded("c5_translate_fraction", lambda d: geometry.translate(d, 0.5, 0.0), "r A
 text("c6_affine", lambda d: geometry.affine(d, [[2, 0], [0, 1]]), "r AS (SELECT o.stream_id, o.frame_no, o.x, o.y, p.v FROM p o JOIN p ON p.stream_id = o.stream_id AND p.frame_no = o.frame_no AND p.x = CAST(floor(o.x / 2::DOUBLE + 0.5::DOUBLE) AS INTEGER) AND p.y = o.y)")
 text("c7_resize_nearest", lambda d: geometry.resize_nearest(d, 5, 11), "o AS (SELECT i % 5 AS x, i // 5 AS y FROM (SELECT unnest(range(55)) AS i)), r AS (SELECT stream_id, frame_no, o.x, o.y, v FROM o JOIN p ON p.x = o.x * 8 // 5 AND p.y = o.y * 8 // 11)")
 rounded("c8_downsample_box", lambda d: geometry.downsample_box(d, 2), "r AS (SELECT stream_id, frame_no, x // 2 AS x, y // 2 AS y, avg(v) AS v FROM p GROUP BY stream_id, frame_no, x // 2, y // 2)")
-rounded("c9_downsample_gauss", lambda d: geometry.downsample_gauss(points.to_y_f32(d), 2.0, 4))
+# kernel of 4 with sigma 1 from twice the output place on; the result stands one further on, outside it is 0
+rounded("c9_downsample_gauss", lambda d: geometry.downsample_gauss(points.to_y_f32(d), 2.0, 4), """k AS (SELECT i, exp(-(i - 1.5::DOUBLE) * (i - 1.5::DOUBLE) / 2) AS w FROM (SELECT unnest(range(4)) AS i)), n AS (SELECT i, w / sum(w) OVER () AS w FROM k),
+  q AS (SELECT p.stream_id, p.frame_no, o.x, o.y, sum(a.w * b.w * p.v / 256::DOUBLE) AS v FROM (SELECT x, y FROM (SELECT unnest(range(1, 4)) AS x), (SELECT unnest(range(1, 4)) AS y)) AS o, n a, n b, p
+    WHERE p.x = 2 * (o.x - 1) + a.i AND p.y = 2 * (o.y - 1) + b.i GROUP BY p.stream_id, p.frame_no, o.x, o.y),
+  r AS (SELECT f.stream_id, f.frame_no, i % 4 AS x, i // 4 AS y, coalesce(q.v, 0) AS v FROM f CROSS JOIN (SELECT unnest(range(16)) AS i) LEFT JOIN q ON q.stream_id = f.stream_id AND q.frame_no = f.frame_no AND q.x = i % 4 AND q.y = i // 4)""")
 
 # --- neighbourhood filters
 _SIDE = "CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN {} ELSE {} END"
@@ -183,6 +187,9 @@ other("e13_num_frames", histograms.num_frames, lambda d: d, "SELECT stream_id, c
 # --- time
 rounded("f1_average", lambda d: temporal.average(d, 3), "r AS (SELECT stream_id, frame_no, x, y, sum(v) OVER (PARTITION BY stream_id, x, y ORDER BY frame_no ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) / 8::DOUBLE AS v FROM p)")
 rounded("f2_average_adaptive", lambda d: temporal.average_adaptive(d, 0.02))
+ORACLES["f2_average_adaptive"] = f"WITH RECURSIVE {_P}, " + """m AS (SELECT stream_id, frame_no, x, y, v, CAST(v AS DOUBLE) AS m FROM p WHERE frame_no = 0
+  UNION ALL SELECT stream_id, frame_no, x, y, v, (1 - t) * m + v * t FROM (SELECT p.*, m.m, least(1::DOUBLE, greatest(0.1::DOUBLE, abs(p.v - m.v) * 0.02::DOUBLE)) AS t
+    FROM m JOIN p ON p.stream_id = m.stream_id AND p.frame_no = m.frame_no + 1 AND p.x = m.x AND p.y = m.y)), r AS (SELECT stream_id, frame_no, x, y, m AS v FROM m) """ + _ROUND
 rounded("f3_beat", lambda d: temporal.beat(points.to_y_f32(d), 3), "s AS (SELECT stream_id, frame_no, x, y, sum(v / 256::DOUBLE * cos(pi() * frame_no / 2)) OVER w AS a, sum(v / 256::DOUBLE * sin(pi() * frame_no / 2)) OVER w AS b FROM p WINDOW w AS (PARTITION BY stream_id, x, y ORDER BY frame_no ROWS BETWEEN 7 PRECEDING AND CURRENT ROW)), r AS (SELECT stream_id, frame_no, x, y, 2.625::DOUBLE * (a * a + b * b) + 0.5::DOUBLE AS v FROM s)")
 text("f4_history", lambda d: temporal.history(d, 3).withColumn("px", F.col("past")), "r AS (SELECT a.stream_id, a.frame_no, a.x, a.y, b.v FROM p a JOIN p b ON a.stream_id = b.stream_id AND a.x = b.x AND a.y = b.y AND b.frame_no = greatest(0, a.frame_no - 3))")
 _PREV = "d AS (SELECT a.*, b.v AS pv FROM p a JOIN p b ON a.stream_id = b.stream_id AND a.frame_no = b.frame_no + 1 AND a.x = b.x AND a.y = b.y)"
@@ -190,7 +197,13 @@ rounded("f5_deinterlace_linear", lambda d: temporal.deinterlace(d, "linear"), _P
 text("f6_deinterlace_interframe", lambda d: temporal.deinterlace(d, "interframe"), _PREV + ", e AS (SELECT *, lag(v) OVER c AS t, lead(v) OVER c AS b FROM d WINDOW c AS (PARTITION BY stream_id, frame_no, x ORDER BY y)), r AS (SELECT stream_id, frame_no, x, y, CASE WHEN (y + 1) % 2 = frame_no % 2 OR y < 2 OR y = 7 THEN v ELSE t + b + pv - least(t, b, pv) - greatest(t, b, pv) END AS v FROM e)")
 rounded("f7_deinterlace_smooth", lambda d: temporal.deinterlace(d, "smooth"), _PREV + ", e AS (SELECT *, lag(v + pv) OVER c AS t, lead(v + pv) OVER c AS b, lag(v + pv) OVER h AS l, lead(v + pv) OVER h AS q FROM d WINDOW c AS (PARTITION BY stream_id, frame_no, x ORDER BY y), h AS (PARTITION BY stream_id, frame_no, y ORDER BY x)), r AS (SELECT stream_id, frame_no, x, y, CASE WHEN (y + 1) % 2 = frame_no % 2 OR x IN (0, 7) OR y IN (0, 7) THEN v ELSE (t + b + l + q) / 8::DOUBLE END AS v FROM e)")
 rounded("f8_background_mean", lambda d: temporal.background_model(d, 0.25).withColumn("px", F.col("bg_mean").cast("array<float>")), "r AS (SELECT a.stream_id, a.frame_no, a.x, a.y, sum(b.v * CASE WHEN b.frame_no = 0 THEN 1 ELSE 0.25::DOUBLE END * pow(0.75::DOUBLE, a.frame_no - b.frame_no)) AS v FROM p a JOIN p b ON a.stream_id = b.stream_id AND a.x = b.x AND a.y = b.y AND b.frame_no <= a.frame_no GROUP BY a.stream_id, a.frame_no, a.x, a.y)")
+_MODEL = """r AS (SELECT stream_id, frame_no, x, y, v, CAST(v AS DOUBLE) AS m, 100::DOUBLE AS s FROM p WHERE frame_no = 0
+  UNION ALL SELECT stream_id, frame_no, x, y, v, m, 0.95::DOUBLE * s + (v - floor(m)) * (v - floor(m)) * 0.05::DOUBLE FROM (
+    SELECT p.stream_id, p.frame_no, p.x, p.y, p.v, 0.95::DOUBLE * r.m + p.v * 0.05::DOUBLE AS m, r.s FROM r JOIN p ON p.stream_id = r.stream_id AND p.frame_no = r.frame_no + 1 AND p.x = r.x AND p.y = r.y))"""
+rounded("f8_background_variance", lambda d: temporal.background_model(d, 0.05).withColumn("px", F.col("bg_var").cast("array<float>")))
+ORACLES["f8_background_variance"] = f"WITH RECURSIVE {_P}, {_MODEL} SELECT stream_id, frame_no, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 4) AS v FROM r"
 other("f9_motion_cells", lambda d: temporal.motion_cells(temporal.background_model(d, 0.05), 2.5, 4), lambda d: d.select("stream_id", "frame_no", "cell_x", "cell_y", "marked"))
+ORACLES["f9_motion_cells"] = f"WITH RECURSIVE {_P}, {_MODEL} SELECT stream_id, frame_no, CAST(x // 4 AS INTEGER) AS cell_x, CAST(y // 4 AS INTEGER) AS cell_y, bool_or(abs(v - m) / sqrt(s) > 2.5::DOUBLE) AS marked FROM r GROUP BY ALL"
 
 
 def _simple_cells(d: DataFrame) -> DataFrame:

@@ -24,6 +24,10 @@ MAJOR, MINOR, INFO_SIZE = 0, 1, 20
 FRAME_START, FRAME_STOP = 0xBABEFACE, 0xDEADBEEF
 DTYPE = {"u8": "<u1", "u16": "<u2", "f32": "<f4"}
 NAMES = {f.id: name for name, f in FORMATS.items()}
+#: Frames of a part of a written file at most.
+PART = 256
+#: Bytes of the frames that one row of a read stands for, about.
+RANGE_BYTES = 16 << 20
 RAW_SCHEMA = "path string, frame_no bigint, width int, height int, pix_fmt string, px array<float>"
 
 
@@ -47,14 +51,30 @@ def frame_bytes(width: int, height: int, fmt: str) -> int:
 
 
 def parse(content: bytes) -> tuple[int, int, str, list[np.ndarray]]:
+    """A whole file."""
     height, width, fmt, _, frames, at = parse_header(content)
+    return height, width, fmt, parse_frames(content[at:], width, height, fmt, 0, frames)
+
+
+def parse_frames(content: bytes, width: int, height: int, fmt: str, first: int, n: int) -> list[np.ndarray]:
+    """n frames from number `first` on, with their markers."""
     size, out = frame_bytes(width, height, fmt), []
-    for k in range(frames):
-        first = at + k * (size + 8)
-        if struct.unpack_from("<I", content, first)[0] != FRAME_START or struct.unpack_from("<I", content, first + 4 + size)[0] != FRAME_STOP:
-            raise ValueError(f"frame {k} has no markers")
-        out.append(np.frombuffer(content, DTYPE[FORMATS[fmt].kind], size // FORMATS[fmt].bytes_per_channel, first + 4))
-    return height, width, fmt, out
+    for k in range(n):
+        at = k * (size + 8)
+        if len(content) < at + size + 8 or struct.unpack_from("<I", content, at)[0] != FRAME_START or struct.unpack_from("<I", content, at + 4 + size)[0] != FRAME_STOP:
+            raise ValueError(f"frame {first + k} has no markers")
+        out.append(np.frombuffer(content, DTYPE[FORMATS[fmt].kind], size // FORMATS[fmt].bytes_per_channel, at + 4))
+    return out
+
+
+def bytes_at(path: str, start: int, n: int) -> bytes:
+    """n bytes of a file at any place that PyArrow has a file system for: local and mounted paths, HDFS, object stores."""
+    from pyarrow import fs
+
+    plain = re.sub(r"^file:/+", "/", path)
+    system, name = (fs.LocalFileSystem(), plain) if plain.startswith("/") else fs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as f:
+        return f.read_at(n, start)
 
 
 def header(width: int, height: int, fmt: str, rate: int, frames: int) -> bytes:
@@ -64,20 +84,29 @@ def header(width: int, height: int, fmt: str, rate: int, frames: int) -> bytes:
 
 def read_raw_video(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """FRAMES of one file or folder of files: stream_id is the file's name without ending, img_no 0."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    small_batches(files)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a file is a row
+    # the names alone: a file's header says where its frames lie, and each range of frames is a row of its own
+    files = spark.read.format("binaryFile").load(path).select("path")
+
+    def ranges(batches):
+        for batch in batches:
+            rows = []
+            for name in batch.column("path").to_pylist():
+                height, width, fmt, _, frames, at = parse_header(bytes_at(name, 0, 4096))
+                step = max(1, RANGE_BYTES // (frame_bytes(width, height, fmt) + 8))
+                rows += [(name, width, height, fmt, at, k, min(step, frames - k)) for k in range(0, frames, step)]
+            columns = list(zip(*rows)) or [[]] * 7
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["path", "width", "height", "pix_fmt", "at", "first", "n"])
 
     def run(batches):
         for batch in batches:
-            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-                height, width, fmt, found = parse(content)
-                for k in range(0, len(found), 64):
-                    some = found[k : k + 64]
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(k, k + n), pa.int64()), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array([fmt] * n), px_lists(some)], names=["path", "frame_no", "width", "height", "pix_fmt", "px"])
-
-    raw = files.mapInArrow(run, RAW_SCHEMA)
+            for name, width, height, fmt, at, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                size = frame_bytes(width, height, fmt) + 8
+                some = parse_frames(bytes_at(name, at + first * size, n * size), width, height, fmt, first, n)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(first, first + n), pa.int64()), pa.array([width] * n, pa.int32()), pa.array([height] * n, pa.int32()), pa.array([fmt] * n), px_lists(some)], names=["path", "frame_no", "width", "height", "pix_fmt", "px"])
+
+    parts = files.mapInArrow(ranges, "path string, width int, height int, pix_fmt string, at bigint, first bigint, n bigint")
+    raw = parts.repartition("path", "first").mapInArrow(run, RAW_SCHEMA)
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
     return raw.select(stem.alias("stream_id"), "frame_no", F.lit(0).alias("img_no"), F.lit(None).cast("timestamp").alias("ts"), "width", "height", "pix_fmt", "px", F.lit(None).cast("struct<ts_ns: bigint>").alias("meta")).to(spark.createDataFrame([], SCHEMA).schema)
 
@@ -97,7 +126,7 @@ def _file_name(stream: str, img_no: int) -> str:
 
 
 def encoded(df: DataFrame, rate: int = 20) -> DataFrame:
-    """(stream_id, img_no, part, data): the bytes of each image stream's file, in parts of up to 256 frames.
+    """(stream_id, img_no, part, data): the bytes of each image stream's file, in parts of up to PART frames.
 
     Parts are made by (stream, image, run of frames), so a long video is many tasks; part -1 is the header, written with
     the true number of frames, and the last part is the end byte.
@@ -113,7 +142,7 @@ def encoded(df: DataFrame, rate: int = 20) -> DataFrame:
             body += struct.pack("<I", FRAME_START) + pixels + struct.pack("<I", FRAME_STOP)
         return pa.table({c: table[c].slice(0, 1) for c in (*by, "part")} | {"data": pa.array([body], pa.binary())})
 
-    parts = df.withColumn("part", F.floor(F.col("frame_no") / 256)).groupBy(*by, "part").applyInArrow(run, "stream_id string, img_no int, part bigint, data binary")
+    parts = df.withColumn("part", F.floor(F.col("frame_no") / PART)).groupBy(*by, "part").applyInArrow(run, "stream_id string, img_no int, part bigint, data binary")
     ends = df.groupBy(*by).agg(F.first("width").alias("w"), F.first("height").alias("h"), F.first("pix_fmt").alias("f"), F.count("*").alias("n"))
 
     def edges(batches):
@@ -134,9 +163,15 @@ def write_raw_video(df: DataFrame, folder: str, rate: int = 20, suffix: str = ".
     import os
 
     os.makedirs(folder, exist_ok=True)
-    parts = encoded(df, rate)
-    sizes = Window.partitionBy("stream_id", "img_no").orderBy("part")
-    placed = parts.withColumn("at", F.coalesce(F.sum(F.octet_length("data")).over(sizes.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    by = ["stream_id", "img_no", "part"]
+    # places follow from how many frames lie before; no pixels are read for that
+    frames = df.groupBy("stream_id", "img_no", F.floor(F.col("frame_no") / PART).alias("part")).agg(F.count("*").alias("n"), F.first("width").alias("w"), F.first("height").alias("h"), F.first("pix_fmt").alias("f"))
+    size = F.col("n") * (F.col("w") * F.col("h") * F.element_at(F.create_map(*[F.lit(x) for k, v in FORMATS.items() for x in (k, v.channels * v.bytes_per_channel)]), F.col("f")) + 8)
+    head, tail = F.lit(-1).cast("long"), F.lit(1 << 62)
+    ends = df.select("stream_id", "img_no").distinct().select("stream_id", "img_no", F.explode(F.array(F.struct(head.alias("part"), F.lit(10 + INFO_SIZE).cast("long").alias("size")), F.struct(tail.alias("part"), F.lit(1).cast("long").alias("size")))).alias("e")).select("stream_id", "img_no", "e.*")
+    before = Window.partitionBy("stream_id", "img_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    at = frames.select(*by, size.cast("long").alias("size")).unionByName(ends).select(*by, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at"))
+    placed = encoded(df, rate).join(at, by)
 
     def write(batches):
         for batch in batches:
