@@ -16,41 +16,52 @@ from pyspark.sql import functions as F
 from ..frames import FORMATS, IMAGE, KEY, channels, with_px
 from ..functions import stack
 from ..functions.let import let
-from .vector import px_lists, shapes, small_batches, stacked
+from .vector import px_lists, shapes, small_batches, stacked, utc
 
-#: Frames in a block.
-BLOCK = 64
+#: Frames in a block at most, and bytes of pixels that it holds, about.
+BLOCK, BLOCK_BYTES = 64, 64 << 20
+#: Values of a frame whose carries one task scans over all blocks of a stream.
+TILE = 4096
 
 
-def with_context(df: DataFrame, before: int, size: int = BLOCK) -> DataFrame:
+def block_frames(size: int | None = None) -> Column:
+    """Frames in a block: BLOCK, or fewer where frames are large; all frames of an image stream have one size."""
+    if size:
+        return F.lit(size)
+    frame = F.greatest(F.lit(1), F.col("width") * F.col("height") * channels() * 4)
+    return F.greatest(F.lit(4), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / frame)))
+
+
+def with_context(df: DataFrame, before: int, size: int | None = None) -> DataFrame:
     """df with block; the last `before` frames of each block also stand in the next ones that need them."""
+    size = block_frames(size)
     own = F.floor(F.col("frame_no") / size)
     return df.withColumn("own_block", own).withColumn("block", F.explode(F.sequence(own, F.floor((F.col("frame_no") + before) / size))))
 
 
-def with_previous(df: DataFrame, name: str = "prev", size: int = BLOCK) -> DataFrame:
+def with_previous(df: DataFrame, name: str = "prev", size: int | None = None) -> DataFrame:
     """df with the pixels of the frame before, null for the first: one exchange by block, not by stream."""
     order = Window.partitionBy(*IMAGE, "block").orderBy("frame_no")
     return with_context(df, 1, size).withColumn(name, F.lag("px").over(order)).where("block = own_block").drop("block", "own_block")
 
 
-def _stacks(table: pa.Table) -> np.ndarray:
-    """A block's pixel arrays as rows, in order of frame_no (equal sizes within an image stream)."""
-    column = table["px"].combine_chunks()
-    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(table.num_rows, -1)
+def over_blocks(df: DataFrame, before: int, fn: Callable[[np.ndarray], np.ndarray], size: int | None = None) -> DataFrame:
+    """Pixels from windows of before + 1 frames: fn maps a block's rows (its context first) to as many rows.
 
-
-def over_blocks(df: DataFrame, before: int, fn: Callable[[np.ndarray], np.ndarray], size: int = BLOCK) -> DataFrame:
-    """Pixels from windows of before + 1 frames: fn maps a block's rows (its context first) to as many rows."""
+    A pixel's result depends on that pixel alone, so a block goes through fn some columns at a time.
+    """
     small_batches(df)
     spread = with_context(df, before, size)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("frame_no")
-        made = fn(_stacks(table))
+        flat = table["px"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        made = np.empty(flat.shape, np.float32)
+        for i in range(0, flat.shape[1], 1 << 16):
+            made[:, i : i + (1 << 16)] = fn(flat[:, i : i + (1 << 16)].astype(np.float64))
         keep = np.flatnonzero(table["own_block"].to_numpy() == table["block"].to_numpy())
         kept = table.take(pa.array(keep)).drop_columns(["block", "own_block"])
-        return kept.set_column(kept.schema.get_field_index("px"), "px", px_lists([made[i] for i in keep]))
+        return utc(kept.set_column(kept.schema.get_field_index("px"), "px", px_lists([made[i] for i in keep])))
 
     return spread.groupBy(*IMAGE, "block").applyInArrow(run, df.schema).select(*df.columns)
 
@@ -117,14 +128,15 @@ def deinterlace(df: DataFrame, method: str = "linear") -> DataFrame:
     return with_px(rows, let(made, "px", "prev", F.col("width") * channels(), channels())).select(*df.columns)
 
 
-def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int = BLOCK) -> DataFrame:
+def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int | None = None) -> DataFrame:
     """df with name = x_n, where x_n = a_n * x_(n-1) + b_n per (stream_id, img_no) in order of frame_no; x before is 0.
 
     a, b: arrays of doubles of one length (or of length 1, for all). Each block gives its product of a and local result
-    (one row), the rows of blocks are scanned, and each block is replayed with what it takes over.
+    (one row), the rows of blocks are scanned, TILE values by themselves, and each block is replayed with what it takes
+    over. So a task holds a block, or TILE values of each block of a stream.
     """
     small_batches(df)
-    rows = df.withColumn("__a", a.cast("array<double>")).withColumn("__b", b.cast("array<double>")).withColumn("block", F.floor(F.col("frame_no") / size))
+    rows = df.withColumn("__a", a.cast("array<double>")).withColumn("__b", b.cast("array<double>")).withColumn("block", F.floor(F.col("frame_no") / block_frames(size)))
 
     def arrays(table: pa.Table, column: str) -> list[np.ndarray]:
         return [np.asarray(x.values.to_numpy(zero_copy_only=False), float) for x in table[column].combine_chunks()]
@@ -145,9 +157,9 @@ def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int = BLOC
     def carry(table: pa.Table) -> pa.Table:
         table, x, taken = table.sort_by("block"), np.zeros(1), []
         for p, q in zip(arrays(table, "a"), arrays(table, "b")):
-            taken.append(x)
+            taken.append(np.broadcast_to(x, q.shape))
             x = p * x + q
-        return pa.table({c: table[c] for c in (*IMAGE, "block")} | {"x0": doubles(taken)})
+        return pa.table({c: table[c] for c in (*IMAGE, "tile", "block")} | {"x0": doubles(taken)})
 
     def replay(table: pa.Table, taken: pa.Table) -> pa.Table:
         table = table.sort_by("frame_no")
@@ -155,12 +167,15 @@ def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int = BLOC
         for p, q in zip(arrays(table, "__a"), arrays(table, "__b")):
             x = p * x + q
             out.append(x)
-        return table.drop_columns(["__a", "__b", "block"]).append_column(name, doubles(out))
+        return utc(table.drop_columns(["__a", "__b", "block"]).append_column(name, doubles(out)))
 
     by = [*IMAGE, "block"]
     summary = "stream_id string, img_no int, block bigint, "
     ends = rows.select(*by, "frame_no", "__a", "__b").groupBy(*by).applyInArrow(local, summary + "a array<double>, b array<double>")
-    starts = ends.groupBy(*IMAGE).applyInArrow(carry, summary + "x0 array<double>")  # a row a block
+    part = lambda c: F.when(F.size(c) == 1, F.col(c)).otherwise(F.slice(c, F.col("tile") * TILE + 1, F.lit(TILE)))
+    tiles = ends.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.lit(1), F.size("b")) / TILE).cast("int") - 1))).select(*IMAGE, "tile", "block", part("a").alias("a"), part("b").alias("b"))
+    scanned = tiles.groupBy(*IMAGE, "tile").applyInArrow(carry, "stream_id string, img_no int, tile int, block bigint, x0 array<double>")
+    starts = scanned.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tile", "x0"))).alias("t")).select(*by, F.flatten("t.x0").alias("x0"))
     return rows.groupBy(*by).cogroup(starts.groupBy(*by)).applyInArrow(replay, df.withColumn(name, F.lit(None).cast("array<double>")).schema)
 
 

@@ -20,6 +20,14 @@ def small_batches(df: DataFrame) -> None:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def utc(table: pa.Table) -> pa.Table:
+    """Times in UTC, as Spark wants the results of grouped functions; in a session of another zone it gives them in that."""
+    for i, field in enumerate(table.schema):
+        if pa.types.is_timestamp(field.type) and field.type.tz:
+            table = table.set_column(i, field.name, table.column(i).cast(pa.timestamp("us", "UTC")))
+    return table
+
+
 def shapes(batch: pa.RecordBatch | pa.Table) -> dict[tuple[int, int, int], np.ndarray]:
     """Row numbers by (height, width, channels)."""
     width, height = (np.asarray(batch.column(c).to_numpy(zero_copy_only=False) if isinstance(batch, pa.RecordBatch) else batch.column(c).to_numpy()) for c in ("width", "height"))

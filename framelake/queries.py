@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .frames import from_embeddings, pixels, tiled, to_rgb
 from .operators import filters, geometry, histograms, joins, objects, points, registration, temporal, user
 from .jobs import workloads
+from .sources import raw_video
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,6 +63,36 @@ def other(name, op, shape, sql=None, colour=False):
 _RGB_TEXT = "SELECT stream_id, frame_no, string_agg(CAST(CAST({a} AS BIGINT) AS VARCHAR) || ',' || CAST(CAST({b} AS BIGINT) AS VARCHAR) || ',' || CAST(CAST({c} AS BIGINT) AS VARCHAR), ',' ORDER BY y, x) AS px FROM p GROUP BY stream_id, frame_no"
 _V = "r AS (SELECT stream_id, frame_no, x, y, {} AS v FROM p)"
 
+# --- sources: what is written comes back
+
+
+def _named(d: DataFrame) -> DataFrame:
+    """A file's name without the number of its image is the stream."""
+    return d.withColumn("stream_id", F.regexp_replace("stream_id", r"_01$", ""))
+
+
+def _raw_video(d: DataFrame) -> DataFrame:
+    folder = raw_video.shared_folder(d.sparkSession, "raw")
+    raw_video.write_raw_video(d, folder)
+    return _named(raw_video.read_raw_video(d.sparkSession, folder))
+
+
+def _side_files(d: DataFrame) -> DataFrame:
+    folder = raw_video.shared_folder(d.sparkSession, "meta")
+    raw_video.write_metadata(points.with_metadata(d, F.struct((F.col("frame_no") * 1001).alias("ts_ns"))), folder)
+    return _named(raw_video.read_metadata(d.sparkSession, folder))
+
+
+def _multi(d: DataFrame) -> DataFrame:
+    folder = raw_video.shared_folder(d.sparkSession, "multi")
+    raw_video.write_multi(d.unionByName(d.withColumn("img_no", F.lit(1))), folder, [0])
+    return d.sparkSession.read.schema(d.schema).parquet(folder)
+
+
+text("a1_raw_video", _raw_video, _V.format("v"))
+text("a4_write_multi", _multi, _V.format("v"))
+other("a5_metadata", _side_files, lambda d: d.select("stream_id", "frame_no", "meta.ts_ns"), "SELECT stream_id, frame_no, frame_no * 1001 AS ts_ns FROM f")
+
 # --- point operators
 text("b1_rgb8_to_y8", lambda d: points.convert_format(d, "Y_8"), _V.format("(r0 + g0 + b0) // 3"), True)
 text("b1_y8_to_y16", lambda d: points.convert_format(d, "Y_16"), _V.format("v * 256"))

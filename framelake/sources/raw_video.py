@@ -189,6 +189,17 @@ def write_raw_video(df: DataFrame, folder: str, rate: int = 20, suffix: str = ".
     return df.sparkSession.createDataFrame(rows, "path string, bytes long")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, as a mounted path; a temporary one in local mode where it is unset."""
+    import tempfile
+    import uuid
+
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{re.sub(r'^file:/+', '/', named.rstrip('/')) if named else tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def write_multi(df: DataFrame, path: str, images: list[int] | None = None) -> None:
     """Parquet by stream and image; images not listed are left out."""
     kept = df if images is None else df.where(F.col("img_no").isin(images))

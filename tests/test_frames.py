@@ -102,6 +102,88 @@ def test_blocked_scan_equals_loop(spark, size):
         assert np.allclose(row.x, x, atol=1e-9)
 
 
+def test_scan_in_tiles_equals_loop(spark, monkeypatch):
+    monkeypatch.setattr(temporal, "TILE", 5)
+    source = ramp(20, 4, 3)
+    df = frames(spark, source)
+    rate = F.transform("px", lambda v: 0.25 + (v.cast("int") % 3) / 8)
+    out = temporal.affine_scan(df, rate, F.col("px").cast("array<double>"), "x", 4).orderBy("frame_no").collect()
+    x = np.zeros(12)
+    for row, frame in zip(out, np.array(source).reshape(20, 12).astype(float)):
+        x = (0.25 + frame.astype(int) % 3 / 8) * x + frame
+        assert np.allclose(row.x, x)
+
+
+def test_blocks_hold_bounded_bytes(spark, monkeypatch):
+    source = ramp(30, 4, 3)
+    whole = px(temporal.average(frames(spark, source), 3))
+    monkeypatch.setattr(temporal, "BLOCK_BYTES", 6 * 4 * 12)  # six frames a block
+    assert same(px(temporal.average(frames(spark, source), 3)), whole)
+
+
+def test_frames_keep_their_rows_in_histogram_equalisation(spark):
+    df = frames(spark, ramp(4, 5, 6))
+    for op in (histograms.hist_equalise, histograms.cdf_equalise, histograms.equalize_hist):
+        assert "Exchange" not in op(df)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("session", ["UTC", "Europe/Berlin"])
+def test_times_survive_grouped_functions(spark, session):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", session)
+    try:
+        df = frames(spark, ramp(9, 2, 2)).withColumn("ts", F.timestamp_seconds("frame_no"))
+        for out in (temporal.average(df, 1), temporal.background_model(df)):
+            assert out.where(F.unix_timestamp("ts") == F.col("frame_no")).count() == 9
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_raw_video_in_ranges(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(raw_video, "RANGE_BYTES", 14 * 7)  # seven frames a range
+    monkeypatch.setattr(raw_video, "PART", 16)
+    source = ramp(100, 2, 3)
+    files = raw_video.write_raw_video(frames(spark, source), str(tmp_path / "raw")).collect()
+    assert raw_video.parse(open(files[0].path, "rb").read())[3][99].tolist() == source[99].ravel().tolist()
+    assert same(px(raw_video.read_raw_video(spark, files[0].path)), source)
+
+
+def test_large_unions_are_dropped(spark):
+    rects = spark.createDataFrame([("s", 0, i, *r) for i, r in enumerate([(0, 4, 0, 4), (3, 8, 3, 8), (20, 22, 20, 22)])], "stream_id string, frame_no long, rect_id long, l int, r int, t int, b int")
+    assert [(r.l, r.r) for r in objects.merge_rects(rects, ["stream_id", "frame_no"], max_width=6).collect()] == [(20, 22)]
+
+
+def test_retinex_equals_its_formula():
+    rng = np.random.default_rng(4)
+    v = rng.uniform(0.05, 1, (24, 24))
+    g, total = 4, np.zeros((24, 24))
+    for scale in range(2):
+        k = int(24 / (g * 2**scale)) | 1
+        h = k >> 1
+        w = np.exp(-((np.arange(k) - h) ** 2) / (2 * (k / 4) ** 2))
+        w /= w.sum()
+        wide = np.pad(v, h, mode="edge")
+        blur = np.array([[sum(w[a] * w[b] * wide[y + a, x + b] for a in range(k) for b in range(k)) for x in range(24)] for y in range(24)])
+        r = 3 * (np.log10(v) - np.log10(blur))
+        # fewer than 10,000 pixels: no bin is dropped, so the range is that of the centre half, to a bin of 2e-4
+        centre = np.clip(r[6:18, 6:18], -1, 1)
+        low, high = np.floor((centre.min() + 1) / 2e-4) * 2e-4 - 1, np.floor((centre.max() + 1) / 2e-4) * 2e-4 - 1 + 2e-4
+        total += (r - low) / (high - low)
+    expected = total / 2 * v / (v + 2.5 / 255)
+    assert np.abs(stack.retinex(v[None, :, :, None], g, 2)[0, :, :, 0] - expected).max() < 1e-3
+
+
+def test_adaptive_average_equals_loop(spark):
+    source = np.array(ramp(70, 5, 4))
+    out = px(temporal.average_adaptive(frames(spark, source), 0.02))
+    x = source[0].astype(float)
+    assert np.allclose(out[0], x.reshape(out[0].shape))
+    for prev, v, got in zip(source[:-1].astype(float), source[1:].astype(float), out[1:]):
+        t = np.clip(np.abs(v - prev) * 0.02, 0.1, 1)
+        x = x * (1 - t) + v * t
+        assert np.allclose(got, x.reshape(got.shape), atol=1e-3)
+
+
 def test_average_over_block_borders(spark):
     source = ramp(9, 2, 3)
     out = px(temporal.over_blocks(frames(spark, source), 3, lambda r: np.stack([r[max(0, i - 3) : i + 1].sum(0) / 4 for i in range(len(r))]), size=3))
