@@ -68,8 +68,8 @@ def _level(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sign, name, text, first = sign[start], name[start], text[start], first[start]
         name[long] = spans.mix(name[long] + run[long].astype(np.uint64) * np.uint64(spans.BASE))
     label = _toss(_toss(_toss(sign, first), first), first)
-    opens = first
-    opens[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:])
+    opens = first.copy()  # a text's last name opens nothing: what follows it is another text
+    opens[1:-1] |= (label[1:-1] > label[:-2]) & (label[1:-1] > label[2:]) & ~first[2:]
     start = np.flatnonzero(opens)
     return _names(name, start), text[start]
 

@@ -301,6 +301,13 @@ def test_fingerprints(docs, none):
     assert Counter((r.doc_id, r.edited_sha256) for r in out) == expected
 
 
+def test_fingerprints_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(11)
+    made = ["".join(rng.choice(list("abcde ."), n)) for n in rng.integers(0, 60, 400)]
+    many = fingerprints.fingerprint(*spans.utf8(pa.array(made)))
+    assert many == [fingerprints.fingerprint(*spans.utf8(pa.array([t])))[0] for t in made]
+
+
 def test_equal_substrings_share_phrases():
     body = " ".join(t for t in texts()[5:11])
     mark = fingerprints.fingerprint(*spans.utf8(pa.array([body, "some other start: " + body, body[::-1]])))
