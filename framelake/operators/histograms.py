@@ -146,6 +146,11 @@ def equalise_drift(df: DataFrame, t0: float, speed: float) -> DataFrame:
     rows = df.withColumn("_mean", frame_mean(df))
     start = F.when(first, F.lit(t0 * (1 - speed))).otherwise(0.0)
     scanned = affine_scan(rows, F.array(F.when(first, 0.0).otherwise(1 - speed)), F.array(start + F.col("_mean") * speed), "_t")
+    return to_drifting_target(scanned)
+
+
+def to_drifting_target(scanned: DataFrame) -> DataFrame:
+    """Pixels brought from _mean to _t[0], rounded; both columns go. A frame of mean 0 stays."""
     moved = let(lambda t, mean: each(lambda v: F.least(F.lit(255.0), F.floor(v * t / mean + 0.5).cast("double"))), F.col("_t")[0], "_mean")
     return with_px(scanned, F.when(F.col("_mean") == 0, F.col("px").cast("array<double>")).otherwise(moved)).drop("_mean", "_t")
 

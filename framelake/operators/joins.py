@@ -14,22 +14,33 @@ AT = ["frame_no", "img_no"]
 
 def _paired(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """a with the other stream's pixels; a row whose formats or sizes differ fails the query."""
-    other = b.select(*on, F.col("px").alias("px_b"), F.struct("pix_fmt", "width", "height").alias("shape_b"))
-    both = a.join(other, on)
+    return of_one_format(a.join(b.select(*on, F.col("px").alias("px_b"), F.struct("pix_fmt", "width", "height").alias("shape_b")), on))
+
+
+def of_one_format(both: DataFrame) -> DataFrame:
+    """both without shape_b, which has to be the row's own format and size."""
     same = F.struct("pix_fmt", "width", "height") == F.col("shape_b")
     return both.withColumn("px_b", F.when(same, F.col("px_b")).otherwise(F.raise_error("the streams' formats differ"))).drop("shape_b")
 
 
+def difference(both: DataFrame, scale: float) -> DataFrame:
+    """|(px - px_b) * scale| of joined rows."""
+    return with_px(both, F.zip_with("px", "px_b", lambda x, y: F.abs((x.cast("double") - y) * scale)))
+
+
+def gained(both: DataFrame, gain: float) -> DataFrame:
+    """(px - px_b) * gain + px_b of joined rows."""
+    return with_px(both, F.zip_with("px", "px_b", lambda x, m: (x.cast("double") - m) * gain + m))
+
+
 def diff_and_scale(a: DataFrame, b: DataFrame, scale: float, on: list[str] = AT) -> DataFrame:
     """|(a - b) * scale|, slot by slot."""
-    rows = _paired(a, b, on)
-    return with_px(rows, F.zip_with("px", "px_b", lambda x, y: F.abs((x.cast("double") - y) * scale))).select(*a.columns)
+    return difference(_paired(a, b, on), scale).select(*a.columns)
 
 
 def masked_gain(a: DataFrame, mask: DataFrame, gain: float, on: list[str] = AT) -> DataFrame:
     """(a - mask) * gain + mask."""
-    rows = _paired(a, mask, on)
-    return with_px(rows, F.zip_with("px", "px_b", lambda x, m: (x.cast("double") - m) * gain + m)).select(*a.columns)
+    return gained(_paired(a, mask, on), gain).select(*a.columns)
 
 
 def fuse(df: DataFrame, setup: DataFrame) -> DataFrame:

@@ -95,6 +95,13 @@ def dewarp(df: DataFrame, longevity: float = 0.95, border: float = 0.0) -> DataF
     keep = F.when(F.col("frame_no") < 3, 0.0).otherwise(longevity)
     before = F.coalesce(F.col("prev"), F.col("px"))
     ref = affine_scan(rows.drop("prev").join(rows.select(*KEY, before.alias("prev")), KEY), F.array(keep), F.transform("prev", lambda v: v.cast("double") * (1 - keep)), "ref").drop("prev")
+    return to_reference(ref, border).select(*names)
+
+
+def to_reference(df: DataFrame, border: float = 0.0) -> DataFrame:
+    """Each frame warped by its flow towards its column ref; no state, so it works on streams too."""
+    small_batches(df)
+    names = df.columns
 
     def run(batches):
         for batch in batches:
@@ -105,6 +112,6 @@ def dewarp(df: DataFrame, longevity: float = 0.95, border: float = 0.0) -> DataF
                 out.append(motion.warp(frame, *motion.dense_flow(frame.mean(-1), goal.mean(-1)), border))
             yield pa.RecordBatch.from_arrays([px_lists(out) if c == "px" else batch.column(c) for c in names], names=names)
 
-    return ref.mapInArrow(run, df.schema)
+    return df.mapInArrow(run, df.schema)
 
 

@@ -39,10 +39,10 @@ def with_context(df: DataFrame, before: int, size: int | None = None) -> DataFra
     return df.withColumn("own_block", own).withColumn("block", F.explode(F.sequence(own, F.floor((F.col("frame_no") + before) / size))))
 
 
-def with_previous(df: DataFrame, name: str = "prev", size: int | None = None) -> DataFrame:
-    """df with the pixels of the frame before, null for the first: one exchange by block, not by stream."""
+def with_previous(df: DataFrame, name: str = "prev", size: int | None = None, of: str = "px") -> DataFrame:
+    """df with the pixels (or another column) of the frame before, null for the first: one exchange by block, not by stream."""
     order = Window.partitionBy(*IMAGE, "block").orderBy("frame_no")
-    return with_context(df, 1, size).withColumn(name, F.lag("px").over(order)).where("block = own_block").drop("block", "own_block")
+    return with_context(df, 1, size).withColumn(name, F.lag(of).over(order)).where("block = own_block").drop("block", "own_block")
 
 
 def over_blocks(df: DataFrame, before: int, fn: Callable[[np.ndarray], np.ndarray], size: int | None = None) -> DataFrame:
@@ -255,33 +255,35 @@ def subtract_reference(df: DataFrame, n: int, t: float = 70.0) -> DataFrame:
     return with_px(rows, F.zip_with("px", "ref", lambda a, b: F.when(F.abs(a - b) > t, 255.0).otherwise(0.0))).select(*df.columns)
 
 
-def average_adaptive(df: DataFrame, control: float, k: int | None = None) -> DataFrame:
-    """Recursive average whose rate follows the blurred difference of consecutive frames, between 0.1 and 1.
-
-    The rate is |blur(frame) - blur(frame before)| * control, clamped; the first frame is taken as it is.
-    """
+def with_blur(df: DataFrame, k: int | None = None) -> DataFrame:
+    """df with blur: the frame's mean component after two box means of k (a 75th of the width), for each component."""
     small_batches(df)
-    rows = with_previous(df)
-    with_rate = rows.withColumn("__t", F.lit(None).cast("array<double>"))
+    schema = df.withColumn("blur", F.lit(None).cast("array<double>")).schema
 
     def run(batches):
         for batch in batches:
-            rates = []
-            prevs = batch.column("prev")
-            for i, (px, w, h, fmt) in enumerate(zip(*(batch.column(c) for c in ("px", "width", "height", "pix_fmt")))):
-                n = FORMATS[fmt.as_py()].channels
-                if not prevs[i].is_valid:
-                    rates.append([1.0] * (w.as_py() * h.as_py() * n))
-                    continue
-                size = stack.odd(k or max(1, w.as_py() // 75))
-                both = np.stack([np.asarray(x.values.to_numpy(zero_copy_only=False), float).reshape(h.as_py(), w.as_py(), n).mean(-1, keepdims=True) for x in (px, prevs[i])])
+            made: list = [None] * batch.num_rows
+            for shape, rows in shapes(batch).items():
+                size = stack.odd(k or max(1, shape[1] // 75))
+                plane = stacked(batch.column("px"), rows, shape).mean(-1, keepdims=True)
                 for _ in range(2):
-                    both = stack._padded(both, size, lambda s: stack.box(s, size), 1)
-                t = np.clip(np.abs(both[0] - both[1]) * control, 0.1, 1.0)
-                rates.append(np.repeat(t, n, axis=-1).ravel().tolist())
-            yield batch.append_column("__t", pa.array(rates, pa.list_(pa.float64())))
+                    plane = stack._padded(plane, size, lambda s: stack.box(s, size), 1)
+                for i, x in zip(rows, np.repeat(plane, shape[2], axis=-1)):
+                    made[i] = x.ravel()
+            yield batch.append_column("blur", pa.array(made, pa.list_(pa.float64())))
+
+    return df.mapInArrow(run, schema)
 
-    rated = rows.mapInArrow(run, with_rate.schema).drop("prev")
+
+def average_adaptive(df: DataFrame, control: float, k: int | None = None) -> DataFrame:
+    """Recursive average whose rate follows the blurred difference of consecutive frames, between 0.1 and 1.
+
+    The rate is |blur(frame) - blur(frame before)| * control, clamped; the first frame is taken as it is.
+    """
+    rows = with_previous(with_blur(df, k), "blur_before", of="blur")
+    rate = F.zip_with("blur", "blur_before", lambda x, y: F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.abs(x - y) * control)))
+    first = F.transform("px", lambda v: F.lit(1.0))
+    rated = rows.withColumn("__t", F.coalesce(rate, first)).drop("blur", "blur_before")
     a = F.transform("__t", lambda t: 1 - t)
     b = F.zip_with("px", "__t", lambda v, t: v.cast("double") * t)
     return with_px(affine_scan(rated, a, b, "__x"), F.col("__x")).select(*df.columns)

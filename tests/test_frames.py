@@ -65,7 +65,6 @@ def test_null_border_and_flat_frames(spark):
 
 
 def test_pulse_filter_leaves_no_small_region():
-    rng = np.random.default_rng(3)
     frame = rng.integers(0, 4, (10, 10)) * 10.0
     out = stack.pulse_filter(frame, 4)
     _, size = np.unique(stack.label_regions(out[:, :-1] == out[:, 1:], out[:-1] == out[1:]), return_counts=True)
@@ -274,6 +273,98 @@ def test_stream_equals_batch(spark, tmp_path):
     assert len(seen) == 4 and max(seen) == 7
 
 
+def fed(spark, folder, parts):
+    """A stream that brings each of parts as one micro-batch."""
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    return lambda: spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+
+
+def all_of(stream, folder, name, sink=None):
+    made = stream.writeStream.foreachBatch(sink) if sink else stream.writeStream.format("memory").queryName(name).outputMode("append")
+    made.trigger(availableNow=True).option("checkpointLocation", f"{folder}/{name}").start().awaitTermination()
+    return None if sink else stream.sparkSession.table(name)
+
+
+@pytest.fixture(scope="module")
+def scene(spark, tmp_path_factory):
+    y, x = np.mgrid[:24, :24].astype(float)
+    df = frames(spark, [np.floor(120 + 50 * np.sin((x - k) / 3) + 40 * np.cos(y / 4 + k)) for k in range(8)])
+    folder = tmp_path_factory.mktemp("scene")
+    return df, fed(spark, folder, [df.where(f"frame_no div 3 = {k}") for k in range(3)]), folder
+
+
+@pytest.mark.parametrize("name", ["average", "adaptive", "drift", "dewarp"])
+def test_stateful_streams_equal_batch(scene, name):
+    df, source, folder = scene
+    live_form, batch = {
+        "average": (lambda d: live.stream_average(d, 2), lambda d: temporal.average(d, 2)),
+        "adaptive": (lambda d: live.stream_average_adaptive(d, 0.05, 3), lambda d: temporal.average_adaptive(d, 0.05, 3)),
+        "drift": (lambda d: live.stream_equalise_drift(d, 100.0, 0.2), lambda d: histograms.equalise_drift(d, 100.0, 0.2)),
+        "dewarp": (lambda d: live.stream_dewarp(d, 0.8), lambda d: registration.dewarp(d, 0.8)),
+    }[name]
+    found, expected = px(all_of(live_form(source()), folder, f"live_{name}")), px(batch(df))
+    assert len(found) == 8 and all(np.allclose(a, b, atol=1e-3) for a, b in zip(found, expected, strict=True))
+    assert not np.allclose(expected[7], px(df)[7])
+
+
+@pytest.mark.parametrize("name, columns", [("average", ["px"]), ("adaptive", ["px"]), ("background", ["px", "bg_mean", "bg_var"]), ("reference", ["px", "ref"])])
+def test_streams_in_runs_equal_streams_of_frames(scene, name, columns):
+    _, source, folder = scene
+    form = {
+        "average": lambda d, n: live.stream_average(d, 1, n), "adaptive": lambda d, n: live.stream_average_adaptive(d, 0.05, 3, n),
+        "background": lambda d, n: live.stream_background(d, 0.1, n), "reference": lambda d, n: live.stream_reference(d, 0.8, n),
+    }[name]
+    rows, sizes = [], []
+
+    def sink(batch, number):
+        sizes.extend(r.n for r in batch.select(F.size("px").alias("n")).collect())
+        rows.extend(live.whole(batch, *columns).collect())
+
+    all_of(form(source(), 100), folder, f"runs_{name}", sink)
+    frames_of = all_of(form(source(), 0), folder, f"frames_{name}").orderBy("frame_no").collect()
+    assert max(sizes) == 100 and len(sizes) == 8 * 6
+    for a, b in zip(sorted(rows, key=lambda r: r.frame_no), frames_of, strict=True):
+        assert a.asDict().keys() == b.asDict().keys() and all(np.allclose(a[c], b[c]) for c in columns)
+
+
+def test_streams_of_cells_and_shifts_equal_batch(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [("s", k, 0, x, y, bool(rng.random() < 0.7)) for k in range(9) for x in range(5) for y in range(3)]
+    cells = spark.createDataFrame(rows, "stream_id string, frame_no long, img_no int, cell_x int, cell_y int, marked boolean")
+    source = fed(spark, tmp_path / "cells", [cells.where(f"frame_no div 4 = {k}") for k in range(3)])
+    order = ["frame_no", "cell_x", "cell_y", "run", "detected"]
+    found = all_of(live.stream_persistent(source(), 2), tmp_path, "live_cells").select(*order).collect()
+    expected = temporal.persistent(cells, 2).select(*order).collect()
+    assert sorted(found) == sorted(expected) and any(r.detected for r in found)
+    shifts = spark.createDataFrame([("s", k, 0, float(rng.normal()), float(rng.normal())) for k in range(9)], "stream_id string, frame_no long, img_no int, hx double, hy double")
+    source = fed(spark, tmp_path / "shifts", [shifts.where(f"frame_no div 2 = {k}") for k in range(5)])
+    found = all_of(live.stream_accumulate_shift(source(), 0.9, 0.5), tmp_path, "live_shifts").orderBy("frame_no").collect()
+    expected = registration.accumulate_shift(shifts, 0.9, 0.5).orderBy("frame_no").collect()
+    assert all(np.allclose(tuple(a[3:]), tuple(b[3:])) for a, b in zip(found, expected, strict=True)) and found[8].cum_hx != 0
+
+
+def test_late_and_repeated_frames_are_dropped(spark, tmp_path):
+    df = frames(spark, ramp(5, 2, 2))
+    at = lambda d, hours: d.withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {hours} HOURS"))
+    parts = [df.where("frame_no < 2"), at(df.where("frame_no = 2"), 3), at(df.where("frame_no = 3"), 3), df.where("frame_no = 4").unionByName(at(df.where("frame_no = 2"), 3))]
+    source = fed(spark, tmp_path, parts)
+    found = all_of(live.ordered(source(), "1 hour"), tmp_path, "live_late").collect()
+    assert sorted(r.frame_no for r in found) == [0, 1, 2, 3]  # 4 came three hours late, 2 twice
+
+
+def test_streams_of_two_cameras_equal_batch(spark, tmp_path):
+    a, b = frames(spark, ramp(6, 3, 3)), frames(spark, [255 - f for f in ramp(6, 3, 3)], stream="other")
+    one = fed(spark, tmp_path / "a", [a.where("frame_no < 3"), a.where("frame_no >= 3")])
+    two = fed(spark, tmp_path / "b", [b.where("frame_no < 2"), b.where("frame_no >= 2")])
+    found = all_of(live.diff_streams(one(), two(), 0.5, "10 seconds"), tmp_path, "live_diff")
+    assert same(px(found), px(joins.diff_and_scale(a, b, 0.5)))
+    found = all_of(live.gain_streams(one(), two(), 1.5, "10 seconds"), tmp_path, "live_gain")
+    assert same(px(found), px(joins.masked_gain(a, b, 1.5)))
+    with pytest.raises(Exception, match="formats differ"):
+        all_of(live.gain_streams(one(), two().withColumn("pix_fmt", F.lit("Y_16")), 1.5, "10 seconds"), tmp_path, "live_other")
+
+
 @pytest.fixture(scope="module")
 def moving(spark, tmp_path_factory):
     """An embeddings table whose vectors are the 8 x 8 tiles of a smooth scene that moves by (1.5, -1) a frame."""
