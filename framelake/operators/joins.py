@@ -77,9 +77,15 @@ def multiplex(sources: list[DataFrame], w: int, h: int, fmt: str, source: int =
     union = ready[0]
     for df in ready[1:]:
         union = union.unionByName(df)
+    return in_turn(union, len(sources))
+
+
+def in_turn(union: DataFrame, n: int | None = None) -> DataFrame:
+    """Frames of sources 0 to n - 1 (source_no) numbered in turn, up to the end of the shortest; no n: the sources there are."""
     ends = union.groupBy("source_no").agg(F.max("frame_no").alias("last")).agg(F.min("last").alias("last"), F.count("*").alias("n"))
-    cut = union.crossJoin(F.broadcast(ends)).where((F.col("frame_no") <= F.col("last")) & (F.col("n") == len(sources))).drop("last", "n")  # one row
-    return cut.withColumn("frame_no", F.col("frame_no") * len(sources) + F.col("source_no"))
+    all_there = F.lit(True) if n is None else F.col("n") == n
+    cut = union.crossJoin(F.broadcast(ends)).where((F.col("frame_no") <= F.col("last")) & all_there)  # one row
+    return cut.withColumn("frame_no", F.col("frame_no") * F.col("n") + F.col("source_no")).drop("last", "n")
 
 
 def slots(df: DataFrame, images: int) -> DataFrame:
@@ -110,8 +116,14 @@ def record_between(df: DataFrame, intervals: DataFrame) -> DataFrame:
     return x.join(y, F.expr("x.frame_no >= y.start_no AND x.frame_no < y.stop_no"), "left_semi")
 
 
-def latest_frame(df: DataFrame) -> DataFrame:
-    """The newest frame of each image stream, and how many there were."""
+def latest_frame(df: DataFrame, holds: DataFrame | None = None) -> DataFrame:
+    """The newest frame of each image stream, and how many there were.
+
+    Frames that come while the buffer is held, in holds(start_no, stop_no), stop exclusive, change neither.
+    """
+    if holds is not None:
+        x, y = df.alias("x"), holds.alias("y")
+        df = x.join(y, F.expr("x.frame_no >= y.start_no AND x.frame_no < y.stop_no"), "left_anti")
     rest = [c for c in df.columns if c not in ("stream_id", "img_no")]
     return df.groupBy("stream_id", "img_no").agg(F.max_by(F.struct(*rest), "frame_no").alias("f"), F.count("*").alias("seq")).select("stream_id", "img_no", *[F.col(f"f.{c}").alias(c) for c in rest], "seq")
 

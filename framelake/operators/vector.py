@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,16 @@ def small_batches(df: DataFrame) -> None:
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def switchable(op: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """op with a further parameter: enabled=False gives the input as it is."""
+
+    @wraps(op)
+    def run(df: DataFrame, *args, enabled: bool = True, **named) -> DataFrame:
+        return op(df, *args, **named) if enabled else df
+
+    return run
+
+
 def utc(table: pa.Table) -> pa.Table:
     """Times in UTC, as Spark wants the results of grouped functions; in a session of another zone it gives them in that."""
     for i, field in enumerate(table.schema):

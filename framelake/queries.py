@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import from_embeddings, pixels, tiled, to_rgb
@@ -84,13 +84,16 @@ def _side_files(d: DataFrame) -> DataFrame:
 
 
 def _multi(d: DataFrame) -> DataFrame:
+    """Two images a slot, the second upside down; the first isn't recorded. Capture times come from the side files."""
     folder = raw_video.shared_folder(d.sparkSession, "multi")
-    raw_video.write_multi(d.unionByName(d.withColumn("img_no", F.lit(1))), folder, [0])
-    return d.sparkSession.read.schema(d.schema).parquet(folder)
+    raw_video.write_multi(d.unionByName(geometry.flip(d, tb=True).withColumn("img_no", F.lit(1))), folder, ["", "low"])
+    back = joins.attach_metadata(raw_video.read_raw_video(d.sparkSession, f"{folder}/*.fvf"), raw_video.read_metadata(d.sparkSession, f"{folder}/*.meta"))
+    return back.withColumn("stream_id", F.regexp_replace("stream_id", r"_low$", ""))
 
 
 text("a1_raw_video", _raw_video, _V.format("v"))
-text("a4_write_multi", _multi, _V.format("v"))
+other("a4_write_multi", _multi, lambda d: d.select("stream_id", "frame_no", F.array_join(F.transform("px", lambda v: v.cast("long").cast("string")), ",").alias("px"), "meta.ts_ns"))
+ORACLES["a4_write_multi"] = f"WITH {_P}, r AS (SELECT stream_id, frame_no, x, 7 - y AS y, v FROM p), t AS (SELECT stream_id, frame_no, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x) AS px FROM r GROUP BY stream_id, frame_no) SELECT t.*, s.ts_ns FROM t JOIN (SELECT CAST(label AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_no, vec_id * 50000000 AS ts_ns FROM embeddings) s USING (stream_id, frame_no)"
 other("a5_metadata", _side_files, lambda d: d.select("stream_id", "frame_no", "meta.ts_ns"), "SELECT stream_id, frame_no, frame_no * 1001 AS ts_ns FROM f")
 
 # --- point operators
@@ -268,21 +271,29 @@ other("w2_enhancement", lambda d: points.channel(workloads.enhancement(to_rgb(ti
 # --- several streams
 
 
+def _places(d: DataFrame) -> DataFrame:
+    """(stream_id, source_no, before): streams by number from 0, and the one before (of the first, the last)."""
+    every = d.select("stream_id").distinct()  # a row a stream
+    order = Window.orderBy(F.col("stream_id").cast("int"))
+    return every.select("stream_id", (F.row_number().over(order) - 1).alias("source_no"), F.coalesce(F.lag("stream_id").over(order), F.last("stream_id").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+
+
 def _pair(d: DataFrame) -> DataFrame:
-    """The next stream (label + 1, the last with the first) under this stream's name."""
-    return d.withColumn("stream_id", ((F.col("stream_id").cast("int") + 9) % 10).cast("string"))
+    """The next stream (after the last comes the first) under this stream's name."""
+    return d.join(_places(d), "stream_id").withColumn("stream_id", F.col("before")).select(*d.columns)
 
 
-_TWO = "s AS (SELECT a.*, b.v AS o FROM p a JOIN p b ON CAST(b.stream_id AS INTEGER) = (CAST(a.stream_id AS INTEGER) + 1) % 10 AND a.frame_no = b.frame_no AND a.x = b.x AND a.y = b.y)"
+_PLACES = "w AS (SELECT stream_id, row_number() OVER (ORDER BY CAST(stream_id AS INTEGER)) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT stream_id FROM f))"
+_TWO = _PLACES + ", s AS (SELECT a.*, b.v AS o FROM p a JOIN w ON w.stream_id = a.stream_id JOIN w z ON z.place = (w.place + 1) % w.n JOIN p b ON b.stream_id = z.stream_id AND a.frame_no = b.frame_no AND a.x = b.x AND a.y = b.y)"
 _ON = ["stream_id", "frame_no", "img_no"]
 rounded("g1_diff_and_scale", lambda d: joins.diff_and_scale(d, _pair(d), 0.5, _ON), _TWO + ", r AS (SELECT stream_id, frame_no, x, y, abs((v - o) * 0.5::DOUBLE) AS v FROM s)")
 rounded("g2_masked_gain", lambda d: joins.masked_gain(d, _pair(d), 1.5, _ON), _TWO + ", r AS (SELECT stream_id, frame_no, x, y, (v - o) * 1.5::DOUBLE + o AS v FROM s)")
 
 
 def _cameras(d: DataFrame) -> DataFrame:
-    """Streams 3k, 3k + 1, 3k + 2 as the images of one slot."""
+    """Streams 3k, 3k + 1, 3k + 2 as the images of one slot; the last slot may have fewer."""
     n = F.col("stream_id").cast("int")
-    return d.where(n < 9).withColumn("img_no", n % 3).withColumn("stream_id", F.floor(n / 3).cast("string"))
+    return d.withColumn("img_no", n % 3).withColumn("stream_id", F.floor(n / 3).cast("string"))
 
 
 def _setup(d: DataFrame) -> DataFrame:
@@ -290,16 +301,17 @@ def _setup(d: DataFrame) -> DataFrame:
 
 
 other("g3_fuse", lambda d: points.channel(joins.fuse(_cameras(d), _setup(d)), 0), as_pixels)
-ORACLES["g3_fuse"] = f"WITH {_P}, q AS (SELECT CAST(CAST(stream_id AS INTEGER) // 3 AS VARCHAR) AS stream_id, CAST(stream_id AS INTEGER) % 3 AS img, frame_no, x, y, v FROM p WHERE CAST(stream_id AS INTEGER) < 9), g AS (SELECT DISTINCT stream_id, frame_no, x, y FROM q), r AS (SELECT g.stream_id, g.frame_no, g.x, g.y, coalesce(a.v, 0) + 0.25::DOUBLE * coalesce(c.v, 0) AS v FROM g LEFT JOIN q a ON a.img = 0 AND a.stream_id = g.stream_id AND a.frame_no = g.frame_no AND a.x = g.x AND a.y = g.y LEFT JOIN q c ON c.img = 2 AND c.stream_id = g.stream_id AND c.frame_no = g.frame_no AND c.x = g.x AND c.y = g.y + 1) {_ROUND}"
+ORACLES["g3_fuse"] = f"WITH {_P}, q AS (SELECT CAST(CAST(stream_id AS INTEGER) // 3 AS VARCHAR) AS stream_id, CAST(stream_id AS INTEGER) % 3 AS img, frame_no, x, y, v FROM p), g AS (SELECT DISTINCT stream_id, frame_no, x, y FROM q), r AS (SELECT g.stream_id, g.frame_no, g.x, g.y, coalesce(a.v, 0) + 0.25::DOUBLE * coalesce(c.v, 0) AS v FROM g LEFT JOIN q a ON a.img = 0 AND a.stream_id = g.stream_id AND a.frame_no = g.frame_no AND a.x = g.x AND a.y = g.y LEFT JOIN q c ON c.img = 2 AND c.stream_id = g.stream_id AND c.frame_no = g.frame_no AND c.x = g.x AND c.y = g.y + 1) {_ROUND}"
 
 
-def _one(d: DataFrame, stream: str) -> DataFrame:
-    return d.where(F.col("stream_id") == stream).withColumn("stream_id", F.lit("mux"))
+def _all_in_turn(d: DataFrame) -> DataFrame:
+    ready = points.convert_format(geometry.resize_nearest(d, 4, 4), "Y_8").join(_places(d).drop("before"), "stream_id")
+    return joins.in_turn(ready).withColumn("stream_id", F.lit("mux"))
 
 
-text("g4_multiplex", lambda d: joins.multiplex([_one(d, "0"), _one(d, "1"), _one(d, "2")], 4, 4, "Y_8"), "n AS (SELECT min(m) AS last FROM (SELECT max(frame_no) AS m FROM f WHERE stream_id IN ('0', '1', '2') GROUP BY stream_id)), r AS (SELECT 'mux' AS stream_id, frame_no * 3 + CAST(stream_id AS INTEGER) AS frame_no, x // 2 AS x, y // 2 AS y, v FROM p, n WHERE stream_id IN ('0', '1', '2') AND frame_no <= last AND x % 2 = 0 AND y % 2 = 0)")
+text("g4_multiplex", _all_in_turn, _PLACES + ", l AS (SELECT min(m) AS last FROM (SELECT max(frame_no) AS m FROM f GROUP BY stream_id)), r AS (SELECT 'mux' AS stream_id, frame_no * n + place AS frame_no, x // 2 AS x, y // 2 AS y, v FROM p JOIN w USING (stream_id), l WHERE frame_no <= last AND x % 2 = 0 AND y % 2 = 0)")
 other("g5_slots", lambda d: joins.slots(_cameras(d), 3), lambda d: d.select("stream_id", "frame_no", F.size("images").alias("n"), F.aggregate(F.col("images")[2]["px"], F.lit(0.0), lambda a, v: a + v).cast("long").alias("third")))
-ORACLES["g5_slots"] = f"WITH {_F}, q AS (SELECT CAST(CAST(stream_id AS INTEGER) // 3 AS VARCHAR) AS stream_id, CAST(stream_id AS INTEGER) % 3 AS img, frame_no, list_sum(px) AS total FROM f WHERE CAST(stream_id AS INTEGER) < 9) SELECT stream_id, frame_no, CAST(count(*) AS INTEGER) AS n, CAST(sum(CASE WHEN img = 2 THEN total ELSE 0 END) AS BIGINT) AS third FROM q GROUP BY stream_id, frame_no HAVING count(*) = 3"
+ORACLES["g5_slots"] = f"WITH {_F}, q AS (SELECT CAST(CAST(stream_id AS INTEGER) // 3 AS VARCHAR) AS stream_id, CAST(stream_id AS INTEGER) % 3 AS img, frame_no, list_sum(px) AS total FROM f) SELECT stream_id, frame_no, CAST(count(*) AS INTEGER) AS n, CAST(sum(CASE WHEN img = 2 THEN total ELSE 0 END) AS BIGINT) AS third FROM q GROUP BY stream_id, frame_no HAVING count(*) = 3"
 
 
 def _meta(d: DataFrame) -> DataFrame:
@@ -316,6 +328,13 @@ def _intervals(d: DataFrame) -> DataFrame:
 text("a10_record_between", lambda d: joins.record_between(d, _intervals(d)), "r AS (SELECT * FROM p WHERE frame_no >= 3 AND frame_no < 9 OR frame_no >= 20 AND frame_no < 25)")
 other("a11_latest_frame", joins.latest_frame, lambda d: d.select("stream_id", "frame_no", "seq", F.array_join(F.transform("px", lambda v: v.cast("long").cast("string")), ",").alias("px")), "SELECT stream_id, max(frame_no) AS frame_no, count(*) AS seq, array_to_string(arg_max(px, frame_no), ',') AS px FROM f GROUP BY stream_id")
 
+
+def _holds(d: DataFrame) -> DataFrame:
+    return d.sparkSession.createDataFrame([(3, 9), (40, 1 << 62)], "start_no long, stop_no long")
+
+
+other("a11_latest_frame_held", lambda d: joins.latest_frame(d, _holds(d)), lambda d: d.select("stream_id", "frame_no", "seq", F.array_join(F.transform("px", lambda v: v.cast("long").cast("string")), ",").alias("px")), "SELECT stream_id, max(frame_no) AS frame_no, count(*) AS seq, array_to_string(arg_max(px, frame_no), ',') AS px FROM f WHERE NOT (frame_no >= 3 AND frame_no < 9 OR frame_no >= 40) GROUP BY stream_id")
+
 # --- objects
 text("h1_edge_pixels", lambda d: objects.edge_pixels(points.threshold_ge(d, 128), border=True), "m AS (SELECT stream_id, frame_no, x, y, CASE WHEN v >= 128 THEN 1 ELSE 0 END AS v FROM p), " + _NEAR.format(src="m") + ", r AS (SELECT stream_id, frame_no, x, y, CASE WHEN v = 1 AND coalesce(l, 0) * coalesce(q, 0) * coalesce(t, 0) * coalesce(b, 0) = 0 THEN 255 ELSE 0 END AS v FROM n)")
 other("h2_components", lambda d: objects.components(points.threshold_ge(d, 150)), lambda d: d.select("stream_id", "frame_no", "l", "r", "t", "b"))
@@ -443,19 +462,28 @@ def h5_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["h5_size_filter"] = _REC + " SELECT * FROM x WHERE (r - l) * (b - t) BETWEEN 50 AND 900 AND r - l >= 5"
 
 
-@_query
-def a7_stack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, chunk = F.col("event_id"), F.col("event_id") % 3
     rows = _events(spark, sf_dir).select("event_id", F.concat(F.lit("/data/"), F.col("event_type"), F.when(chunk == 0, ".tif").otherwise(F.concat(F.lit("_X"), (chunk + 1).cast("string"), F.lit(".tif")))).alias("path"))
-    from pyspark.sql import Window
-
     pages = rows.withColumn("page", F.row_number().over(Window.partitionBy("path").orderBy(e)) - 1)
-    from .sources.raw_video import stack_pages
+    return raw_video.stack_pages(pages).select("event_id", "base", "chunk", F.col("frame_no").cast("long").alias("frame_no"))
+
 
-    return stack_pages(pages).select("event_id", "base", "chunk", F.col("frame_no").cast("long").alias("frame_no"))
+@_query
+def a7_stack_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir)
+
+
+@_query
+def a7_pages_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event asks its type's stack for the page of its number, which for most lies past the end."""
+    wanted = _events(spark, sf_dir).select(F.col("event_id").alias("asked"), F.col("event_type").alias("base"), F.col("event_id").cast("long").alias("position"))
+    return raw_video.pages_at(_pages(spark, sf_dir), wanted).select("asked", "base", "frame_no", "event_id")
 
 
-ORACLES["a7_stack_pages"] = "WITH r AS (SELECT event_id, event_type AS base, event_id % 3 + 1 AS chunk, row_number() OVER (PARTITION BY event_type, event_id % 3 ORDER BY event_id) - 1 AS page FROM events), n AS (SELECT base, chunk, count(*) AS pages FROM r GROUP BY base, chunk), o AS (SELECT base, chunk, coalesce(sum(pages) OVER (PARTITION BY base ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n) SELECT event_id, r.base, CAST(r.chunk AS INTEGER) AS chunk, CAST(page + off AS BIGINT) AS frame_no FROM r JOIN o ON r.base = o.base AND r.chunk = o.chunk"
+_PAGES = "WITH r AS (SELECT event_id, event_type AS base, event_id % 3 + 1 AS chunk, row_number() OVER (PARTITION BY event_type, event_id % 3 ORDER BY event_id) - 1 AS page FROM events), n AS (SELECT base, chunk, count(*) AS pages FROM r GROUP BY base, chunk), o AS (SELECT base, chunk, coalesce(sum(pages) OVER (PARTITION BY base ORDER BY chunk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM n) SELECT event_id, r.base, CAST(r.chunk AS INTEGER) AS chunk, CAST(page + off AS BIGINT) AS frame_no FROM r JOIN o ON r.base = o.base AND r.chunk = o.chunk"
+ORACLES["a7_stack_pages"] = _PAGES
+ORACLES["a7_pages_at"] = f"WITH z AS ({_PAGES}), y AS (SELECT base, max(frame_no) AS last FROM z GROUP BY base) SELECT e.event_id AS asked, z.base, z.frame_no, z.event_id FROM events e JOIN y ON y.base = e.event_type JOIN z ON z.base = y.base AND z.frame_no = least(e.event_id, y.last)"
 
 _DRIFT = "m AS (SELECT stream_id, frame_no, sum(v) / 64::DOUBLE AS m FROM p GROUP BY stream_id, frame_no), t AS (SELECT a.stream_id, a.frame_no, any_value(a.m) AS m, 128::DOUBLE * pow(0.9::DOUBLE, a.frame_no + 1) + sum(b.m * 0.1::DOUBLE * pow(0.9::DOUBLE, a.frame_no - b.frame_no)) AS t FROM m a JOIN m b ON a.stream_id = b.stream_id AND b.frame_no <= a.frame_no GROUP BY a.stream_id, a.frame_no)"
 ORACLES["e4_equalise_drift"] = f"WITH {_P}, {_DRIFT}, r AS (SELECT stream_id, frame_no, x, y, CASE WHEN m = 0 THEN v ELSE least(255, floor(v * t / m + 0.5::DOUBLE)) END AS v FROM p JOIN t USING (stream_id, frame_no)) {_TEXT}"

@@ -121,8 +121,8 @@ def read_multi(spark: SparkSession, paths: list[str]) -> DataFrame:
     return every.join(whole, "frame_no", "left_semi")
 
 
-def _file_name(stream: str, img_no: int) -> str:
-    return re.sub(r"[^\w.-]", "_", f"{stream}_{img_no + 1:02d}")
+def _file_name(stream: str, img_no: int, numbered: bool = True) -> str:
+    return re.sub(r"[^\w.-]", "_", f"{stream}_{img_no + 1:02d}" if numbered else stream)
 
 
 def encoded(df: DataFrame, rate: int = 20) -> DataFrame:
@@ -154,9 +154,11 @@ def encoded(df: DataFrame, rate: int = 20) -> DataFrame:
     return parts.unionByName(ends.mapInArrow(edges, "stream_id string, img_no int, part bigint, data binary"))
 
 
-def write_raw_video(df: DataFrame, folder: str, rate: int = 20, suffix: str = ".fvf") -> DataFrame:
+def write_raw_video(df: DataFrame, folder: str, rate: int = 20, suffix: str = ".fvf", numbered: bool = True) -> DataFrame:
     """Writes one file per image stream into a folder that all executors share; returns (path, bytes).
 
+    A file is called stream_NN by its image, or as its stream alone (numbered=False).
+
     Tasks write their parts at places that follow from frame numbers, so the order of tasks doesn't matter and a task
     that runs again writes the same bytes.
     """
@@ -176,13 +178,13 @@ def write_raw_video(df: DataFrame, folder: str, rate: int = 20, suffix: str = ".
     def write(batches):
         for batch in batches:
             for s, i, data, at in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "img_no", "data", "at"))):
-                path = os.path.join(folder, _file_name(s, i) + suffix)
+                path = os.path.join(folder, _file_name(s, i, numbered) + suffix)
                 handle = os.open(path, os.O_RDWR | os.O_CREAT)
                 try:
                     os.pwrite(handle, data, at)
                 finally:
                     os.close(handle)
-            yield pa.RecordBatch.from_arrays([pa.array([os.path.join(folder, _file_name(s, i) + suffix) for s, i in zip(batch.column("stream_id").to_pylist(), batch.column("img_no").to_pylist())], pa.string()), pa.array([len(d) for d in batch.column("data").to_pylist()], pa.int64())], names=["path", "bytes"])
+            yield pa.RecordBatch.from_arrays([pa.array([os.path.join(folder, _file_name(s, i, numbered) + suffix) for s, i in zip(batch.column("stream_id").to_pylist(), batch.column("img_no").to_pylist())], pa.string()), pa.array([len(d) for d in batch.column("data").to_pylist()], pa.int64())], names=["path", "bytes"])
 
     done = placed.select("stream_id", "img_no", "data", "at").mapInArrow(write, "path string, bytes long")
     rows = done.groupBy("path").agg(F.sum("bytes").alias("bytes")).collect()  # a row a file
@@ -200,10 +202,19 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{re.sub(r'^file:/+', '/', named.rstrip('/')) if named else tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
 
 
-def write_multi(df: DataFrame, path: str, images: list[int] | None = None) -> None:
-    """Parquet by stream and image; images not listed are left out."""
-    kept = df if images is None else df.where(F.col("img_no").isin(images))
-    kept.write.partitionBy("stream_id", "img_no").parquet(path)
+def write_multi(df: DataFrame, folder: str, names: list[str] | None = None, rate: int = 20) -> DataFrame:
+    """A recording: for each image a raw video and beside it its .meta file of capture times; gives (path, bytes) of the videos.
+
+    Image i goes to stream_NN with NN = i + 1 in two digits, or to stream_name for its name in names; an image with an
+    empty name, or with none, isn't recorded.
+    """
+    if names is not None:
+        named = F.create_map(*[F.lit(x) for i, name in enumerate(names) if name for x in (i, name)]) if any(names) else F.lit(None).cast("map<int,string>")
+        df = df.withColumn("name", F.element_at(named, F.col("img_no"))).where("name IS NOT NULL")
+        df = df.withColumn("stream_id", F.concat_ws("_", "stream_id", "name")).drop("name")
+    numbered = names is None
+    write_metadata(df, folder, numbered)
+    return write_raw_video(df, folder, rate, numbered=numbered)
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
@@ -223,7 +234,7 @@ def metadata_bytes(df: DataFrame) -> DataFrame:
     return parts.select("stream_id", "img_no", "part", F.unhex(F.concat_ws("", F.transform("rows", lambda r: r["h"]))).alias("data"))
 
 
-def write_metadata(df: DataFrame, folder: str) -> None:
+def write_metadata(df: DataFrame, folder: str, numbered: bool = True) -> None:
     """One .meta file per image stream in a shared folder."""
     import os
 
@@ -231,7 +242,7 @@ def write_metadata(df: DataFrame, folder: str) -> None:
 
     def write(rows):
         for r in rows:
-            handle = os.open(os.path.join(folder, _file_name(r.stream_id, r.img_no) + ".meta"), os.O_RDWR | os.O_CREAT)
+            handle = os.open(os.path.join(folder, _file_name(r.stream_id, r.img_no, numbered) + ".meta"), os.O_RDWR | os.O_CREAT)
             try:
                 os.pwrite(handle, bytes(r.data), r.part * 65536 * 8)
             finally:
@@ -251,6 +262,13 @@ def stack_pages(chunks: DataFrame) -> DataFrame:
     return rows.join(offsets, ["base", "chunk"]).withColumn("frame_no", F.col("offset") + F.col("page")).drop("offset")
 
 
+def pages_at(stacked: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The page at each position of wanted(base, position) in the rows of stack_pages; past the end it is the last page."""
+    last = stacked.groupBy("base").agg(F.max("frame_no").alias("last_no"))
+    asked = wanted.join(last, "base").withColumn("frame_no", F.least("position", "last_no")).drop("last_no")
+    return asked.join(stacked, ["base", "frame_no"])
+
+
 def read_channel_setup(spark: SparkSession, path: str, tag: str = "channel_setup") -> DataFrame:
     """One row per element of an XML file; attributes are the columns."""
     table = spark.read.format("xml").option("rowTag", tag).option("attributePrefix", "").load(path)

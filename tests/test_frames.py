@@ -209,6 +209,35 @@ def test_raw_video_round_trip(spark, tmp_path):
     assert two.count() == 600 and joins.slots(two, 2).count() == 300
 
 
+def test_recording_of_numbered_images(spark, tmp_path):
+    df = frames(spark, ramp(3))
+    slots = df.unionByName(df.withColumn("img_no", F.lit(1))).unionByName(df.withColumn("img_no", F.lit(2)))
+    names = lambda folder: sorted(p.name for p in folder.iterdir())
+    raw_video.write_multi(slots, str(tmp_path / "all"))
+    assert names(tmp_path / "all") == [f"s_0{i}.{end}" for i in (1, 2, 3) for end in ("fvf", "meta")]
+    raw_video.write_multi(slots, str(tmp_path / "some"), ["left", "", "right"])
+    assert names(tmp_path / "some") == ["s_left.fvf", "s_left.meta", "s_right.fvf", "s_right.meta"]
+    assert same(px(raw_video.read_raw_video(spark, str(tmp_path / "some" / "s_right.fvf"))), ramp(3))
+    assert raw_video.write_multi(slots, str(tmp_path / "none"), ["", "", ""]).count() == 0
+
+
+def test_pages_past_the_end_and_held_buffer(spark):
+    rows = [(f"/d/a{part}.tif", page) for part, n in (("", 2), ("_X2", 3)) for page in range(n)]
+    stacked = raw_video.stack_pages(spark.createDataFrame(rows, "path string, page long"))
+    wanted = spark.createDataFrame([("a", 1), ("a", 3), ("a", 99)], "base string, position long")
+    found = raw_video.pages_at(stacked, wanted).orderBy("position").collect()
+    assert [(r.position, r.chunk, r.page) for r in found] == [(1, 1, 1), (3, 2, 1), (99, 2, 2)]
+    holds = spark.createDataFrame([(2, 3), (4, 9)], "start_no long, stop_no long")
+    last = joins.latest_frame(frames(spark, ramp(6)), holds).collect()
+    assert [(r.frame_no, r.seq) for r in last] == [(3, 3)]
+
+
+def test_disabled_passes_give_their_input(spark):
+    df = frames(spark, ramp(1))
+    assert filters.box(df, 3, enabled=False) is df and geometry.rotate90(df, enabled=False) is df
+    assert same(px(filters.box(df, 3, enabled=True)), px(filters.box(df, 3)))
+
+
 def test_channel_setup(spark, tmp_path):
     (tmp_path / "c.xml").write_text('<config><channel_setup filename="a" x="1" r="0.5"/><channel_setup filename="b" x="2" r="1"/></config>')
     rows = raw_video.read_channel_setup(spark, str(tmp_path / "c.xml")).orderBy("filename").collect()
