@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fingerprints, langid, mixing, neardup, packing, quality, sharding, suffix_dedup, token_counts
+from . import ann, codes, exact_dedup, fingerprints, langid, mixing, neardup, packing, quality, sharding, suffix_dedup, token_counts, trie
 from .common import documents, fold, scratch
 
 
@@ -63,8 +63,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, _ = codes.compressed(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicated(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_suffix_dedup, op4_best_fit_packing, op5_fingerprints, op6_sharding, op7_near_duplicates, op8_token_counts, op9_language_id, op10_nearest_neighbours)
+    f.__name__: f for f in (op1_quality_classifier, op2_mixing, op3_suffix_dedup, op4_best_fit_packing, op5_fingerprints, op6_sharding, op7_near_duplicates, op8_token_counts, op9_language_id, op10_nearest_neighbours, op11_vector_codes, op12_exact_dedup, op13_conversation_trie)
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_mixing": mixing.ORACLE_SQL, "op6_sharding": sharding.ORACLE_SQL, "op11_vector_codes": codes.ORACLE_SQL, "op12_exact_dedup": exact_dedup.ORACLE_SQL, "op13_conversation_trie": trie.ORACLE_SQL}
