@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .frames import from_embeddings, pixels, tiled, to_rgb
 from .operators import filters, geometry, histograms, joins, objects, points, registration, temporal, user
 from .jobs import workloads
-from .sources import raw_video
+from .sources import raw_video, video_format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,10 +91,27 @@ def _multi(d: DataFrame) -> DataFrame:
     return back.withColumn("stream_id", F.regexp_replace("stream_id", r"_low$", ""))
 
 
+def _frame_range(d: DataFrame) -> DataFrame:
+    """Frames 5 to 24 of each file, through the data source: other bytes of the files aren't read."""
+    folder = raw_video.shared_folder(d.sparkSession, "range")
+    raw_video.write_raw_video(d.withColumn("stream_id", F.concat(F.lit("cam "), "stream_id")).unionByName(d.withColumn("stream_id", F.concat(F.lit("cam_"), "stream_id"))), folder)
+    back = video_format.read_video(d.sparkSession, folder, 5, 25)
+    return _named(back.where("stream_id LIKE 'cam %' AND frame_no BETWEEN 5 AND 24")).withColumn("stream_id", F.regexp_extract("stream_id", r"(\d+)$", 1))
+
+
+def _records(d: DataFrame) -> DataFrame:
+    """Side files of two fields."""
+    folder = raw_video.shared_folder(d.sparkSession, "records")
+    raw_video.write_metadata(d.withColumn("meta", F.struct((F.col("frame_no") * 3).alias("tick"), (F.col("frame_no") / 4).alias("gain"))), folder, layout="tick:u32,gain:f64")
+    return _named(raw_video.read_metadata(d.sparkSession, folder, "tick:u32,gain:f64"))
+
+
 text("a1_raw_video", _raw_video, _V.format("v"))
 other("a4_write_multi", _multi, lambda d: d.select("stream_id", "frame_no", F.array_join(F.transform("px", lambda v: v.cast("long").cast("string")), ",").alias("px"), "meta.ts_ns"))
 ORACLES["a4_write_multi"] = f"WITH {_P}, r AS (SELECT stream_id, frame_no, x, 7 - y AS y, v FROM p), t AS (SELECT stream_id, frame_no, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x) AS px FROM r GROUP BY stream_id, frame_no) SELECT t.*, s.ts_ns FROM t JOIN (SELECT CAST(label AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_no, vec_id * 50000000 AS ts_ns FROM embeddings) s USING (stream_id, frame_no)"
 other("a5_metadata", _side_files, lambda d: d.select("stream_id", "frame_no", "meta.ts_ns"), "SELECT stream_id, frame_no, frame_no * 1001 AS ts_ns FROM f")
+text("a1_frame_range", _frame_range, "r AS (SELECT * FROM p WHERE frame_no BETWEEN 5 AND 24)")
+other("a6_records", _records, lambda d: d.select("stream_id", "frame_no", "meta.tick", "meta.gain"), "SELECT stream_id, frame_no, frame_no * 3 AS tick, frame_no / 4 AS gain FROM f")
 
 # --- point operators
 text("b1_rgb8_to_y8", lambda d: points.convert_format(d, "Y_8"), _V.format("(r0 + g0 + b0) // 3"), True)

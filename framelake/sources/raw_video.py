@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..frames import FORMATS, SCHEMA
-from ..operators.vector import px_lists, small_batches
+from ..functions.ordered import running
+from ..operators.vector import px_lists
 
 # Fixed values of the file format.
 START, INFO_START, INFO_STOP, HEADER_STOP, FILE_STOP = 0xAA, 0xAB, 0x5B, 0xFF, 0x55
@@ -24,8 +25,6 @@ MAJOR, MINOR, INFO_SIZE = 0, 1, 20
 FRAME_START, FRAME_STOP = 0xBABEFACE, 0xDEADBEEF
 DTYPE = {"u8": "<u1", "u16": "<u2", "f32": "<f4"}
 NAMES = {f.id: name for name, f in FORMATS.items()}
-#: Frames of a part of a written file at most.
-PART = 256
 #: Bytes of the frames that one row of a read stands for, about.
 RANGE_BYTES = 16 << 20
 RAW_SCHEMA = "path string, frame_no bigint, width int, height int, pix_fmt string, px array<float>"
@@ -108,6 +107,7 @@ def read_raw_video(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parts = files.mapInArrow(ranges, "path string, width int, height int, pix_fmt string, at bigint, first bigint, n bigint")
     raw = parts.repartition("path", "first").mapInArrow(run, RAW_SCHEMA)
     stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
+    stem = F.url_decode(F.replace(stem, F.lit("+"), F.lit("%2B")))  # escapes of the name are undone
     return raw.select(stem.alias("stream_id"), "frame_no", F.lit(0).alias("img_no"), F.lit(None).cast("timestamp").alias("ts"), "width", "height", "pix_fmt", "px", F.lit(None).cast("struct<ts_ns: bigint>").alias("meta")).to(spark.createDataFrame([], SCHEMA).schema)
 
 
@@ -121,74 +121,38 @@ def read_multi(spark: SparkSession, paths: list[str]) -> DataFrame:
     return every.join(whole, "frame_no", "left_semi")
 
 
-def _file_name(stream: str, img_no: int, numbered: bool = True) -> str:
-    return re.sub(r"[^\w.-]", "_", f"{stream}_{img_no + 1:02d}" if numbered else stream)
-
-
-def encoded(df: DataFrame, rate: int = 20) -> DataFrame:
-    """(stream_id, img_no, part, data): the bytes of each image stream's file, in parts of up to PART frames.
-
-    Parts are made by (stream, image, run of frames), so a long video is many tasks; part -1 is the header, written with
-    the true number of frames, and the last part is the end byte.
-    """
-    small_batches(df)
-    by = ["stream_id", "img_no"]
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("frame_no")
-        body = b""
-        for px, fmt in zip(table["px"].combine_chunks(), table["pix_fmt"].to_pylist()):
-            pixels = np.asarray(px.values.to_numpy(zero_copy_only=False)).astype(DTYPE[FORMATS[fmt].kind]).tobytes()
-            body += struct.pack("<I", FRAME_START) + pixels + struct.pack("<I", FRAME_STOP)
-        return pa.table({c: table[c].slice(0, 1) for c in (*by, "part")} | {"data": pa.array([body], pa.binary())})
-
-    parts = df.withColumn("part", F.floor(F.col("frame_no") / PART)).groupBy(*by, "part").applyInArrow(run, "stream_id string, img_no int, part bigint, data binary")
-    ends = df.groupBy(*by).agg(F.first("width").alias("w"), F.first("height").alias("h"), F.first("pix_fmt").alias("f"), F.count("*").alias("n"))
-
-    def edges(batches):
-        for batch in batches:
-            rows = [x for s, i, w, h, f, n in zip(*(c.to_pylist() for c in batch.columns)) for x in ((s, i, -1, header(w, h, f, rate, n)), (s, i, (1 << 62), bytes([FILE_STOP])))]
-            columns = list(zip(*rows)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.binary()))], names=[*by, "part", "data"])
-
-    return parts.unionByName(ends.mapInArrow(edges, "stream_id string, img_no int, part bigint, data binary"))
-
-
 def write_raw_video(df: DataFrame, folder: str, rate: int = 20, suffix: str = ".fvf", numbered: bool = True) -> DataFrame:
     """Writes one file per image stream into a folder that all executors share; returns (path, bytes).
 
-    A file is called stream_NN by its image, or as its stream alone (numbered=False).
-
-    Tasks write their parts at places that follow from frame numbers, so the order of tasks doesn't matter and a task
-    that runs again writes the same bytes.
+    A file is called stream_NN by its image, stream_name by the column `name` if there is one, or as its stream alone
+    (numbered=False); see video_format.file_name. Frames get consecutive numbers in their order. Files appear when all are
+    whole; other files of the folder stay.
     """
-    import os
-
-    os.makedirs(folder, exist_ok=True)
-    by = ["stream_id", "img_no", "part"]
-    # places follow from how many frames lie before; no pixels are read for that
-    frames = df.groupBy("stream_id", "img_no", F.floor(F.col("frame_no") / PART).alias("part")).agg(F.count("*").alias("n"), F.first("width").alias("w"), F.first("height").alias("h"), F.first("pix_fmt").alias("f"))
-    size = F.col("n") * (F.col("w") * F.col("h") * F.element_at(F.create_map(*[F.lit(x) for k, v in FORMATS.items() for x in (k, v.channels * v.bytes_per_channel)]), F.col("f")) + 8)
-    head, tail = F.lit(-1).cast("long"), F.lit(1 << 62)
-    ends = df.select("stream_id", "img_no").distinct().select("stream_id", "img_no", F.explode(F.array(F.struct(head.alias("part"), F.lit(10 + INFO_SIZE).cast("long").alias("size")), F.struct(tail.alias("part"), F.lit(1).cast("long").alias("size")))).alias("e")).select("stream_id", "img_no", "e.*")
-    before = Window.partitionBy("stream_id", "img_no").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    at = frames.select(*by, size.cast("long").alias("size")).unionByName(ends).select(*by, F.coalesce(F.sum("size").over(before), F.lit(0)).alias("at"))
-    placed = encoded(df, rate).join(at, by)
-
-    def write(batches):
+    from . import video_format
+
+    video_format.mounted(folder)
+    video_format.register(df.sparkSession)
+    columns = ["stream_id", "img_no", "frame_no", "width", "height", "pix_fmt", *(["name"] if "name" in df.columns else [])]
+    order = df.select("stream_id", "img_no", "frame_no")
+    placed = running(order, ["stream_id", "img_no"], ["frame_no"], number="at")
+    px_type = dict(df.dtypes)["px"]
+    rows = df.select(*columns, "px").join(placed, ["stream_id", "img_no", "frame_no"]).drop("frame_no").withColumnRenamed("at", "frame_no")
+    rows = rows.select(*columns, "px") if px_type == "array<float>" else rows.select(*columns, F.col("px").cast("array<float>").alias("px"))
+    # frames of a file come in order, so a task opens each file once
+    rows.sortWithinPartitions("stream_id", "img_no", "frame_no").write.format("rawvideo").option("rate", rate).option("numbered", numbered).option("suffix", suffix).mode("append").save(folder)
+    by = ["stream_id", "img_no", *(["name"] if "name" in df.columns else [])]
+    unit = F.element_at(F.create_map(*[F.lit(x) for k, v in FORMATS.items() for x in (k, v.channels * v.bytes_per_channel)]), F.first("pix_fmt"))
+    size = F.count("*") * (F.first("width") * F.first("height") * unit + 8) + 10 + INFO_SIZE + 1
+    files = df.groupBy(*by).agg(size.cast("long").alias("bytes"))
+    top = video_format.mounted(folder)
+
+    def paths(batches):
         for batch in batches:
-            for s, i, data, at in zip(*(batch.column(c).to_pylist() for c in ("stream_id", "img_no", "data", "at"))):
-                path = os.path.join(folder, _file_name(s, i, numbered) + suffix)
-                handle = os.open(path, os.O_RDWR | os.O_CREAT)
-                try:
-                    os.pwrite(handle, data, at)
-                finally:
-                    os.close(handle)
-            yield pa.RecordBatch.from_arrays([pa.array([os.path.join(folder, _file_name(s, i, numbered) + suffix) for s, i in zip(batch.column("stream_id").to_pylist(), batch.column("img_no").to_pylist())], pa.string()), pa.array([len(d) for d in batch.column("data").to_pylist()], pa.int64())], names=["path", "bytes"])
+            col = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            found = [f"{top}/{video_format.file_name(s, i, numbered, n)}{suffix}" for s, i, n in zip(col["stream_id"], col["img_no"], col.get("name", [None] * batch.num_rows))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), batch.column("bytes")], names=["path", "bytes"])
 
-    done = placed.select("stream_id", "img_no", "data", "at").mapInArrow(write, "path string, bytes long")
-    rows = done.groupBy("path").agg(F.sum("bytes").alias("bytes")).collect()  # a row a file
-    return df.sparkSession.createDataFrame(rows, "path string, bytes long")
+    return files.mapInArrow(paths, "path string, bytes long")
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -211,44 +175,58 @@ def write_multi(df: DataFrame, folder: str, names: list[str] | None = None, rate
     if names is not None:
         named = F.create_map(*[F.lit(x) for i, name in enumerate(names) if name for x in (i, name)]) if any(names) else F.lit(None).cast("map<int,string>")
         df = df.withColumn("name", F.element_at(named, F.col("img_no"))).where("name IS NOT NULL")
-        df = df.withColumn("stream_id", F.concat_ws("_", "stream_id", "name")).drop("name")
-    numbered = names is None
-    write_metadata(df, folder, numbered)
-    return write_raw_video(df, folder, rate, numbered=numbered)
+    write_metadata(df, folder)
+    return write_raw_video(df, folder, rate)
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """(stream_id, frame_no, meta) of side files of u64 capture times: fixed-width slices of the file's bytes."""
-    files = spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("stream_id"), "content", F.floor(F.length("content") / 8).cast("int").alias("n"))
-    records = files.where("n > 0").select("stream_id", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    swapped = F.concat(*[F.substring(F.hex(F.expr("substring(content, k * 8 + 1, 8)")), 15 - 2 * i, 2) for i in range(8)])
-    return records.select("stream_id", F.col("k").cast("long").alias("frame_no"), F.struct(F.conv(swapped, 16, 10).cast("long").alias("ts_ns")).alias("meta"))
+#: Fields of a metadata record: NumPy type and Spark type of each name in a layout.
+RECORD_TYPES = {**{f"{k}{8 * n}": (f"<{k}{n}", "bigint") for k in "iu" for n in (1, 2, 4, 8)}, "f32": ("<f4", "double"), "f64": ("<f8", "double")}
+#: The layout of the capture times alone.
+TIMES = "ts_ns:u64"
 
 
-def metadata_bytes(df: DataFrame) -> DataFrame:
-    """(stream_id, img_no, part, data) of side files: eight little-endian bytes for each frame, in parts of 65536 frames."""
-    hexed = F.lpad(F.hex(F.coalesce(F.col("meta.ts_ns"), F.lit(0))), 16, "0")
-    little = F.unhex(F.concat(*[F.substring(hexed, 15 - 2 * i, 2) for i in range(8)]))
-    rows = df.select("stream_id", "img_no", "frame_no", F.floor(F.col("frame_no") / 65536).alias("part"), little.alias("record"))
-    parts = rows.groupBy("stream_id", "img_no", "part").agg(F.array_sort(F.collect_list(F.struct("frame_no", F.hex("record").alias("h")))).alias("rows"))
-    return parts.select("stream_id", "img_no", "part", F.unhex(F.concat_ws("", F.transform("rows", lambda r: r["h"]))).alias("data"))
+def record_type(layout: str) -> np.dtype:
+    """The packed record of a layout such as "ts_ns:u64,lat:f64"."""
+    return np.dtype([(name, RECORD_TYPES[kind][0]) for name, kind in (f.split(":") for f in layout.split(","))])
 
 
-def write_metadata(df: DataFrame, folder: str, numbered: bool = True) -> None:
-    """One .meta file per image stream in a shared folder."""
-    import os
+def read_metadata(spark: SparkSession, path: str, layout: str = TIMES) -> DataFrame:
+    """(stream_id, frame_no, meta) of side files: record i of fixed size is frame i's; meta is a struct of the layout's fields.
 
-    os.makedirs(folder, exist_ok=True)
+    Files are read in ranges of records. A last record that isn't whole is left out. u64 values from 2**63 on wrap.
+    """
+    from urllib.parse import unquote
 
-    def write(rows):
-        for r in rows:
-            handle = os.open(os.path.join(folder, _file_name(r.stream_id, r.img_no, numbered) + ".meta"), os.O_RDWR | os.O_CREAT)
-            try:
-                os.pwrite(handle, bytes(r.data), r.part * 65536 * 8)
-            finally:
-                os.close(handle)
+    record = record_type(layout)
+    meta = "struct<" + ", ".join(f"{name}: {RECORD_TYPES[kind][1]}" for name, kind in (f.split(":") for f in layout.split(","))) + ">"
+    files = spark.read.format("binaryFile").load(path).select("path", F.floor(F.col("length") / record.itemsize).alias("n"))
+    step = max(1, RANGE_BYTES // record.itemsize)
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(step).cast("long")))
+    parts = files.where("n > 0").select("path", starts.alias("first"), "n").repartition("path", "first")
 
-    metadata_bytes(df).foreachPartition(write)
+    def run(batches):
+        for batch in batches:
+            for name, first, n in zip(*(c.to_pylist() for c in batch.columns)):
+                k = min(step, n - first)
+                rows = np.frombuffer(bytes_at(name, first * record.itemsize, k * record.itemsize), record)
+                values = [pa.array(rows[f].astype(np.float64 if rows[f].dtype.kind == "f" else np.int64)) for f in record.names]
+                stream = unquote(re.sub(r"\.[^./]*$", "", name.rsplit("/", 1)[-1]))
+                yield pa.RecordBatch.from_arrays([pa.array([stream] * k), pa.array(np.arange(first, first + k)), pa.StructArray.from_arrays(values, names=record.names)], names=["stream_id", "frame_no", "meta"])
+
+    return parts.mapInArrow(run, f"stream_id string, frame_no bigint, meta {meta}")
+
+
+def write_metadata(df: DataFrame, folder: str, numbered: bool = True, layout: str = TIMES) -> None:
+    """One .meta file per image stream beside its video: records of the layout's fields of `meta`, null as 0, in order of frames."""
+    from . import video_format
+
+    video_format.mounted(folder)
+    video_format.register(df.sparkSession)
+    name = ["name"] if "name" in df.columns else []
+    fields = [F.coalesce(F.col(f"meta.{f}"), F.lit(0)).cast(RECORD_TYPES[kind][1]).alias(f"record_{f}") for f, kind in (x.split(":") for x in layout.split(","))]
+    rows = df.select("stream_id", "img_no", "frame_no", *name, *fields)
+    placed = running(rows, ["stream_id", "img_no"], ["frame_no"], number="at").drop("frame_no").withColumnRenamed("at", "frame_no")
+    placed.write.format("rawvideo").option("layout", layout).option("numbered", numbered).option("suffix", ".meta").mode("append").save(folder)
 
 
 def stack_pages(chunks: DataFrame) -> DataFrame:

@@ -141,7 +141,6 @@ def test_times_survive_grouped_functions(spark, session):
 
 def test_raw_video_in_ranges(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(raw_video, "RANGE_BYTES", 14 * 7)  # seven frames a range
-    monkeypatch.setattr(raw_video, "PART", 16)
     source = ramp(100, 2, 3)
     files = raw_video.write_raw_video(frames(spark, source), str(tmp_path / "raw")).collect()
     assert raw_video.parse(open(files[0].path, "rb").read())[3][99].tolist() == source[99].ravel().tolist()
