@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..frames import floats, with_px
 from .geometry import remap, resize_nearest
 from .points import convert_format
+from .ranges import BOX, covered, touching
 
 AT = ["frame_no", "img_no"]
 
@@ -105,15 +106,13 @@ def label(dets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def in_roi(rects: DataFrame, roi: DataFrame) -> DataFrame:
-    """Rectangles that touch one of roi(l, r, t, b), which Spark broadcasts if they are few."""
-    x, y = rects.alias("x"), roi.alias("y")
-    return x.join(y, F.expr("x.l <= y.r AND x.r >= y.l AND x.t <= y.b AND x.b >= y.t"), "left_semi")
+    """Rectangles that touch one of roi(l, r, t, b); either side may have any number of rows."""
+    return rects.join(touching(rects, roi), BOX, "left_semi")
 
 
-def record_between(df: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Frames inside a recording: intervals(start_no, stop_no), stop exclusive, which Spark broadcasts if they are few."""
-    x, y = df.alias("x"), intervals.alias("y")
-    return x.join(y, F.expr("x.frame_no >= y.start_no AND x.frame_no < y.stop_no"), "left_semi")
+def record_between(df: DataFrame, intervals: DataFrame, at: str = "frame_no") -> DataFrame:
+    """Frames inside a recording: intervals(start_no, stop_no), stop exclusive, any number of them; `at` may be a time."""
+    return df.join(covered(df, intervals, at, "start_no", "stop_no"), at, "left_semi")
 
 
 def latest_frame(df: DataFrame, holds: DataFrame | None = None) -> DataFrame:
@@ -122,9 +121,6 @@ def latest_frame(df: DataFrame, holds: DataFrame | None = None) -> DataFrame:
     Frames that come while the buffer is held, in holds(start_no, stop_no), stop exclusive, change neither.
     """
     if holds is not None:
-        x, y = df.alias("x"), holds.alias("y")
-        df = x.join(y, F.expr("x.frame_no >= y.start_no AND x.frame_no < y.stop_no"), "left_anti")
+        df = df.join(covered(df, holds, "frame_no", "start_no", "stop_no"), "frame_no", "left_anti")
     rest = [c for c in df.columns if c not in ("stream_id", "img_no")]
     return df.groupBy("stream_id", "img_no").agg(F.max_by(F.struct(*rest), "frame_no").alias("f"), F.count("*").alias("seq")).select("stream_id", "img_no", *[F.col(f"f.{c}").alias(c) for c in rest], "seq")
-
-

@@ -458,6 +458,47 @@ def g8_in_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLES["g8_in_roi"] = _REC + " SELECT * FROM x WHERE l <= 30 AND r >= 10 AND t <= 30 AND b >= 10 OR l <= 90 AND r >= 80 AND t <= 70 AND b >= 60"
 
 
+_ROI = "SELECT CAST(user_id % 120 AS INTEGER) AS l, CAST(user_id % 120 + event_id % 9 AS INTEGER) AS r, CAST(event_id % 140 AS INTEGER) AS t, CAST(event_id % 140 + user_id % 7 AS INTEGER) AS b FROM {}"
+
+
+@_query
+def g8_in_many_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region of interest for each event; the places where items' boxes and regions lie are the same."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    small = F.expr("l + 3 * t < 60")
+    return joins.in_roi(_rects(spark, sf_dir), spark.sql(_ROI.format("{e}"), e=events).where(small)).select(*_RECT)
+
+
+ORACLES["g8_in_many_rois"] = _REC + f", o AS (SELECT DISTINCT * FROM ({_ROI.format('events')}) WHERE l + 3 * t < 60) SELECT * FROM x WHERE EXISTS (SELECT 1 FROM o WHERE x.l <= o.r AND x.r >= o.l AND x.t <= o.b AND x.b >= o.t)"
+
+_SPANS = "SELECT l_partkey * 3 + l_linenumber AS start_no, l_partkey * 3 + l_linenumber + l_suppkey % 4 AS stop_no FROM {} WHERE l_quantity < 4"
+
+
+def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as frames of streams by type, without pixels."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("stream_id"), F.lit(0).alias("img_no"), F.col("event_id").alias("frame_no"))
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(_SPANS.format("{items}"), items=spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+
+
+@_query
+def a10_record_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.record_between(_captures(spark, sf_dir), _spans(spark, sf_dir)).select("stream_id", "frame_no")
+
+
+ORACLES["a10_record_many"] = f"WITH s AS ({_SPANS.format('lineitem')}) SELECT event_type AS stream_id, event_id AS frame_no FROM events WHERE EXISTS (SELECT 1 FROM s WHERE event_id >= start_no AND event_id < stop_no)"
+
+
+@_query
+def a11_held_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return joins.latest_frame(_captures(spark, sf_dir), _spans(spark, sf_dir)).select("stream_id", "frame_no", "seq")
+
+
+ORACLES["a11_held_many"] = f"WITH s AS ({_SPANS.format('lineitem')}) SELECT event_type AS stream_id, max(event_id) AS frame_no, count(*) AS seq FROM events WHERE NOT EXISTS (SELECT 1 FROM s WHERE event_id >= start_no AND event_id < stop_no) GROUP BY event_type"
+
+
 @_query
 def h3_grow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.grow(_rects(spark, sf_dir), 0.1, 128, 128).select(*_RECT)
