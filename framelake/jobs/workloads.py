@@ -12,7 +12,7 @@ def motion_detection(df: DataFrame, target: float = 0.6, window: int = 128, thr:
     ready = filters.equalise_local(points.to_y_f32(df), target, window)
     shifts = registration.accumulate_shift(registration.register_pairs(ready), 0.95, 0.95)
     still = points.to_y8(registration.stabilise(ready, shifts), 0.99)
-    cells = temporal.persistent(temporal.motion_cells(temporal.background_model(still), thr, cell), run)
+    cells = temporal.persistent(temporal.motion(still, thr=thr, cell=cell), run)
     return temporal.motion_overlay(still, cells, cell), cells
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..frames import FORMATS, KEY
 from ..functions import motion
 from .geometry import remap
-from .temporal import affine_scan, with_previous
-from .vector import px_lists, small_batches
+from .temporal import Block, affine_scan, block_scan, with_previous
+from .vector import px_lists, small_batches, utc
 
 
 def _grey(px: pa.Scalar, h: int, w: int, n: int) -> np.ndarray:
@@ -88,14 +88,27 @@ def stabilise(df: DataFrame, hvect: DataFrame, mode: str = "integer", border: fl
 
 
 def dewarp(df: DataFrame, longevity: float = 0.95, border: float = 0.0) -> DataFrame:
-    """Frames drawn towards a running mean of the frames before: the reference is an affine scan, the flow per frame."""
-    small_batches(df)
+    """Frames drawn towards a running mean of the frames before: the reference is a scan over blocks, the flow per frame."""
     names = df.columns
-    rows = with_previous(df)
-    keep = F.when(F.col("frame_no") < 3, 0.0).otherwise(longevity)
-    before = F.coalesce(F.col("prev"), F.col("px"))
-    ref = affine_scan(rows.drop("prev").join(rows.select(*KEY, before.alias("prev")), KEY), F.array(keep), F.transform("prev", lambda v: v.cast("double") * (1 - keep)), "ref").drop("prev")
-    return to_reference(ref, border).select(*names)
+
+    def step(block: Block, some: slice, held, done: list):
+        keep = np.where(block.no < 3, 0.0, longevity)[:, None]
+        return keep, block.prev(some) * (1 - keep)
+
+    def finish(block: Block, chunks) -> pa.Table:
+        ref = np.empty((len(block.rows), block.all.shape[1]))
+        for some, done in chunks:
+            ref[:, some] = done[0]
+        out = [drawn(block.all[i].astype(float).reshape(block.shape), goal.reshape(block.shape), border) for i, goal in zip(block.rows, ref)]
+        own = block.table.take(pa.array(block.rows)).select(names)
+        return utc(own.set_column(names.index("px"), "px", px_lists(out)))
+
+    return block_scan(df, [step], finish, df.schema, before=1)
+
+
+def drawn(frame: np.ndarray, goal: np.ndarray, border: float) -> np.ndarray:
+    """frame warped by its flow towards goal."""
+    return motion.warp(frame, *motion.dense_flow(frame.mean(-1), goal.mean(-1)), border)
 
 
 def to_reference(df: DataFrame, border: float = 0.0) -> DataFrame:
@@ -109,7 +122,7 @@ def to_reference(df: DataFrame, border: float = 0.0) -> DataFrame:
             for px, ref, w, h, fmt in zip(*(batch.column(c) for c in ("px", "ref", "width", "height", "pix_fmt"))):
                 shape = h.as_py(), w.as_py(), FORMATS[fmt.as_py()].channels
                 frame, goal = (np.asarray(a.values.to_numpy(zero_copy_only=False), float).reshape(shape) for a in (px, ref))
-                out.append(motion.warp(frame, *motion.dense_flow(frame.mean(-1), goal.mean(-1)), border))
+                out.append(drawn(frame, goal, border))
             yield pa.RecordBatch.from_arrays([px_lists(out) if c == "px" else batch.column(c) for c in names], names=names)
 
     return df.mapInArrow(run, df.schema)

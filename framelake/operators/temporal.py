@@ -1,7 +1,7 @@
 """Operators over frames in time. A stream is split in blocks of consecutive frames, so one long stream is many tasks.
 
 Finite windows copy the last frames of a block into the next (with_context); recursive filters are affine recurrences and
-are scanned in three passes (affine_scan). frame_no counts the frames of (stream_id, img_no) without gaps.
+are scanned in three passes (affine_scan), nested ones over blocks that are shuffled once (block_scan). frame_no counts the frames of (stream_id, img_no) without gaps.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..frames import FORMATS, IMAGE, KEY, channels, with_px
 from ..functions import stack
 from ..functions.let import let
+from ..functions.shared import bucketed, written
 from .vector import px_lists, shapes, small_batches, stacked, utc
 
 #: Frames in a block at most, and bytes of pixels that it holds, about.
@@ -128,6 +129,34 @@ def deinterlace(df: DataFrame, method: str = "linear") -> DataFrame:
     return with_px(rows, let(made, "px", "prev", F.col("width") * channels(), channels())).select(*df.columns)
 
 
+def arrays(table: pa.Table, column: str) -> list[np.ndarray]:
+    return [np.asarray(x.values.to_numpy(zero_copy_only=False), float) for x in table[column].combine_chunks()]
+
+
+def doubles(found: list[np.ndarray] | np.ndarray) -> pa.Array:
+    at = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(found.ravel() if isinstance(found, np.ndarray) else np.concatenate(found)))
+
+
+def _starts(ends: DataFrame) -> DataFrame:
+    """ends(image, block, a, b): product and local result of each block -> (image, block, x0), what it takes over.
+
+    A task scans TILE values of each block of a stream.
+    """
+
+    def carry(table: pa.Table) -> pa.Table:
+        table, x, taken = table.sort_by("block"), np.zeros(1), []
+        for p, q in zip(arrays(table, "a"), arrays(table, "b")):
+            taken.append(np.broadcast_to(x, q.shape))
+            x = p * x + q
+        return pa.table({c: table[c] for c in (*IMAGE, "tile", "block")} | {"x0": doubles(taken)})
+
+    part = lambda c: F.when(F.size(c) == 1, F.col(c)).otherwise(F.slice(c, F.col("tile") * TILE + 1, F.lit(TILE)))
+    tiles = ends.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.lit(1), F.size("b")) / TILE).cast("int") - 1))).select(*IMAGE, "tile", "block", part("a").alias("a"), part("b").alias("b"))
+    scanned = tiles.groupBy(*IMAGE, "tile").applyInArrow(carry, "stream_id string, img_no int, tile int, block bigint, x0 array<double>")
+    return scanned.groupBy(*IMAGE, "block").agg(F.array_sort(F.collect_list(F.struct("tile", "x0"))).alias("t")).select(*IMAGE, "block", F.flatten("t.x0").alias("x0"))
+
+
 def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int | None = None) -> DataFrame:
     """df with name = x_n, where x_n = a_n * x_(n-1) + b_n per (stream_id, img_no) in order of frame_no; x before is 0.
 
@@ -138,13 +167,6 @@ def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int | None
     small_batches(df)
     rows = df.withColumn("__a", a.cast("array<double>")).withColumn("__b", b.cast("array<double>")).withColumn("block", F.floor(F.col("frame_no") / block_frames(size)))
 
-    def arrays(table: pa.Table, column: str) -> list[np.ndarray]:
-        return [np.asarray(x.values.to_numpy(zero_copy_only=False), float) for x in table[column].combine_chunks()]
-
-    def doubles(found: list[np.ndarray]) -> pa.Array:
-        at = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(found)))
-
     def head(table: pa.Table) -> dict:
         return {c: table[c].slice(0, 1) for c in (*IMAGE, "block")}
 
@@ -155,13 +177,6 @@ def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int | None
             product, x = p * product, p * x + q
         return pa.table(head(table) | {"a": doubles([product]), "b": doubles([x])})
 
-    def carry(table: pa.Table) -> pa.Table:
-        table, x, taken = table.sort_by("block"), np.zeros(1), []
-        for p, q in zip(arrays(table, "a"), arrays(table, "b")):
-            taken.append(np.broadcast_to(x, q.shape))
-            x = p * x + q
-        return pa.table({c: table[c] for c in (*IMAGE, "tile", "block")} | {"x0": doubles(taken)})
-
     def replay(table: pa.Table, taken: pa.Table) -> pa.Table:
         table = table.sort_by("frame_no")
         x, out = (arrays(taken, "x0")[0] if taken.num_rows else np.zeros(1)), []
@@ -173,22 +188,157 @@ def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int | None
     by = [*IMAGE, "block"]
     summary = "stream_id string, img_no int, block bigint, "
     ends = rows.select(*by, "frame_no", "__a", "__b").groupBy(*by).applyInArrow(local, summary + "a array<double>, b array<double>")
-    part = lambda c: F.when(F.size(c) == 1, F.col(c)).otherwise(F.slice(c, F.col("tile") * TILE + 1, F.lit(TILE)))
-    tiles = ends.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.lit(1), F.size("b")) / TILE).cast("int") - 1))).select(*IMAGE, "tile", "block", part("a").alias("a"), part("b").alias("b"))
-    scanned = tiles.groupBy(*IMAGE, "tile").applyInArrow(carry, "stream_id string, img_no int, tile int, block bigint, x0 array<double>")
-    starts = scanned.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("tile", "x0"))).alias("t")).select(*by, F.flatten("t.x0").alias("x0"))
+    starts = _starts(ends)
     return rows.groupBy(*by).cogroup(starts.groupBy(*by)).applyInArrow(replay, df.withColumn(name, F.lit(None).cast("array<double>")).schema)
 
 
+class Block:
+    """The frames of a block and, with context, the frame before each: rows of values; `some` are those that a pass works on."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table = table.sort_by("frame_no")
+        flat = table["px"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.all = flat.reshape(table.num_rows, -1) if table.num_rows else flat.reshape(0, 0)
+        self.rows = np.flatnonzero(table["own_block"].to_numpy() == table["block"].to_numpy())
+        self.no = table["frame_no"].to_numpy()[self.rows]
+        #: The row of the frame before; a stream's first frame stands for itself.
+        self.before = np.maximum(self.rows - 1, 0)
+        if table.num_rows:
+            self.shape = (table["height"][0].as_py(), table["width"][0].as_py(), FORMATS[table["pix_fmt"][0].as_py()].channels)
+
+    def px(self, some: slice) -> np.ndarray:
+        return self.all[self.rows, some].astype(np.float64)
+
+    def prev(self, some: slice) -> np.ndarray:
+        return self.all[self.before, some].astype(np.float64)
+
+
+#: Values of all frames of a block that are worked on at once.
+SOME = 1 << 16
+
+
+def block_scan(df: DataFrame, steps: list[Callable], finish: Callable[[Block, list], pa.Table], schema, before: int = 0, prepare: Callable | None = None, size: int | None = None) -> DataFrame:
+    """Nested recursions x_n = a_n * x_(n-1) + b_n in order of frame_no, whose frames are shuffled once.
+
+    steps: (a, b) = step(block, some, held, done) for the values `some` of the block's frames, with what prepare(block) gives and the
+    results of the steps before. finish(block, chunks) makes the rows; chunks gives (some, results of all steps) in turn.
+    Frames are written in blocks, bucketed by block. Each step is a pass that gives one row a block; those are scanned
+    (_starts) and meet the blocks where they lie. The last pass runs all steps at once.
+    """
+    by = [*IMAGE, "block"]
+    size_of = block_frames(size)
+    spread = with_context(df, before, size) if before else df.withColumn("block", F.floor(F.col("frame_no") / size_of)).withColumn("own_block", F.col("block"))
+    rows = bucketed(spread, by, "frame_blocks")
+    read = rows.select(*by, "own_block", "frame_no", "width", "height", "pix_fmt", "px")
+    names = [f"x{k}" for k in range(len(steps))]
+
+    def chunks(block: Block, taken: pa.Table | None, upto: int):
+        """(some, results of the first steps, a and b of the next)."""
+        held = prepare(block) if prepare else None
+        starts = [arrays(taken, n)[0] for n in names[:upto]] if taken is not None and taken.num_rows else [np.zeros(1)] * upto
+        width = block.all.shape[1]
+        for k in range(0, width, SOME):
+            some, done = slice(k, min(k + SOME, width)), []
+            for step, x in zip(steps, starts):
+                a, b = step(block, some, held, done)
+                out, x = np.empty(b.shape), x if len(x) == 1 else x[some]
+                for i in range(len(b)):
+                    x = a[i] * x + b[i]
+                    out[i] = x
+                done.append(out)
+            yield some, done, step_of(block, some, held, done, upto)
+
+    def step_of(block: Block, some: slice, held, done: list, k: int):
+        return steps[k](block, some, held, done) if k < len(steps) else None
+
+    def end(k: int, table: pa.Table, taken: pa.Table | None) -> pa.Table:
+        block = Block(table)
+        head = {c: table[c].slice(0, 1 if len(block.rows) else 0) for c in by}
+        products, results = [], []
+        for _, _, (a, b) in chunks(block, taken, k) if len(block.rows) else ():
+            product, x = np.ones(1), np.zeros(1)
+            for i in range(len(b)):
+                product, x = a[i] * product, a[i] * x + b[i]
+            products.append(product)
+            results.append(x)
+        if not results:
+            return pa.table(head | {"a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
+        one = len(products[0]) == 1
+        return pa.table(head | {"a": doubles([products[0] if one else np.concatenate(products)]), "b": doubles([np.concatenate(results)])})
+
+    def last(table: pa.Table, taken: pa.Table) -> pa.Table:
+        block = Block(table)
+        return finish(block, ((some, done) for some, done, _ in chunks(block, taken, len(steps)))) if len(block.rows) else finish(block, iter(()))
+
+    summary = "stream_id string, img_no int, block bigint, a array<double>, b array<double>"
+    carried = None
+    for k, name in enumerate(names):
+        if carried is None:
+            found = read.groupBy(*by).applyInArrow(lambda table: end(0, table, None), summary)
+        else:
+            found = read.groupBy(*by).cogroup(carried.groupBy(*by)).applyInArrow(lambda table, taken: end(k, table, taken), summary)  # noqa: B023 (runs before the loop goes on)
+        starts = _starts(written(found, "block-ends")).withColumnRenamed("x0", name)
+        same = F.expr("x.stream_id <=> y.stream_id AND x.img_no <=> y.img_no AND x.block <=> y.block")
+        both = starts if carried is None else carried.alias("x").join(starts.alias("y"), same).select("x.*", f"y.{name}")
+        carried = written(both, "block-starts")
+    return rows.groupBy(*by).cogroup(carried.groupBy(*by)).applyInArrow(last, schema)
+
+
+def _own(block: Block) -> pa.Table:
+    return block.table.take(pa.array(block.rows)).drop_columns(["block", "own_block"])
+
+
+def _model(a: float) -> list[Callable]:
+    """Steps of the background model: running mean, and running square of the whole-number difference from it."""
+
+    def mean(block: Block, some: slice, held, done: list):
+        first, v = (block.no == 0)[:, None], block.px(some)
+        return np.where(first, 0.0, 1 - a), np.where(first, v, v * a)
+
+    def variance(block: Block, some: slice, held, done: list):
+        first = (block.no == 0)[:, None]
+        return np.where(first, 0.0, 1 - a), np.where(first, 100.0, (np.floor(block.px(some)) - np.floor(done[0])) ** 2 * a)
+
+    return [mean, variance]
+
+
 def background_model(df: DataFrame, a: float = 0.01) -> DataFrame:
     """df with bg_mean and bg_var: running mean, and running square of the whole-number difference from it."""
-    first = F.col("frame_no") == 0
-    v = F.col("px").cast("array<double>")
-    decay = F.array(F.when(first, 0.0).otherwise(1 - a))
-    mean = affine_scan(df, decay, F.when(first, v).otherwise(F.transform(v, lambda x: x * a)), "bg_mean")
-    step = F.zip_with("px", "bg_mean", lambda x, m: F.pow(F.floor(x.cast("double")) - F.floor(m), F.lit(2.0)) * a)
-    start = F.transform("px", lambda x: F.lit(100.0))
-    return affine_scan(mean, decay, F.when(first, start).otherwise(step), "bg_var")
+
+    def finish(block: Block, chunks) -> pa.Table:
+        out = np.empty((2, len(block.rows), block.all.shape[1]))
+        for some, done in chunks:
+            out[0, :, some], out[1, :, some] = done
+        return utc(_own(block).append_column("bg_mean", doubles(out[0])).append_column("bg_var", doubles(out[1])))
+
+    none = F.lit(None).cast("array<double>")
+    return block_scan(df, _model(a), finish, df.withColumns({"bg_mean": none, "bg_var": none}).schema)
+
+
+CELLS = "stream_id string, frame_no bigint, img_no int, cell_x int, cell_y int, marked boolean"
+
+
+def motion(df: DataFrame, a: float = 0.01, thr: float = 3.5, cell: int = 16) -> DataFrame:
+    """motion_cells(background_model(df, a), thr, cell) without the models as columns: a block goes to its cells at once."""
+
+    def finish(block: Block, chunks) -> pa.Table:
+        hit = np.zeros((len(block.rows), block.all.shape[1]), bool)
+        for some, (mean, var) in chunks:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                hit[:, some] = np.abs(block.px(some) - mean) / np.sqrt(var) > thr
+        hit = hit.reshape(len(block.rows), *block.shape).any(3) if len(block.rows) else hit.reshape(0, 1, 1)
+        return cells_of(hit, cell, [_own(block)[c] for c in KEY])
+
+    return block_scan(df, _model(a), finish, CELLS)
+
+
+def cells_of(hit: np.ndarray, cell: int, keys: list) -> pa.Table:
+    """One row a cell of stacked marks (frames, height, width), with the frames' keys."""
+    if len(hit):
+        hit = np.logical_or.reduceat(hit, np.arange(0, hit.shape[1], cell), axis=1)
+        hit = np.logical_or.reduceat(hit, np.arange(0, hit.shape[2], cell), axis=2)
+    i, y, x = (v.ravel() for v in np.indices(hit.shape))
+    return pa.table([*(k.take(pa.array(i)) for k in keys), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(hit.ravel())], names=[*KEY, "cell_x", "cell_y", "marked"])
 
 
 def motion_cells(model: DataFrame, thr: float = 3.5, cell: int = 16) -> DataFrame:
@@ -206,13 +356,9 @@ def motion_cells(model: DataFrame, thr: float = 3.5, cell: int = 16) -> DataFram
                 v, mean, var = (stacked(batch.column(c), rows, shape) for c in columns)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     hit = (np.abs(v - mean) / np.sqrt(var) > thr).any(axis=3)
-                hit = np.logical_or.reduceat(hit, np.arange(0, shape[0], cell), axis=1)
-                hit = np.logical_or.reduceat(hit, np.arange(0, shape[1], cell), axis=2)
-                i, y, x = (a.ravel() for a in np.indices(hit.shape))
-                keys = [batch.column(c).take(pa.array(rows[i])) for c in KEY]
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(hit.ravel())], names=[*KEY, "cell_x", "cell_y", "marked"])
+                yield from cells_of(hit, cell, [batch.column(c).take(pa.array(rows)) for c in KEY]).to_batches()
 
-    return ready.mapInArrow(run, ready.select(*KEY).schema.add("cell_x", "integer").add("cell_y", "integer").add("marked", "boolean"))
+    return ready.mapInArrow(run, CELLS)
 
 
 def persistent(cells: DataFrame, n: int = 2) -> DataFrame:
@@ -264,10 +410,7 @@ def with_blur(df: DataFrame, k: int | None = None) -> DataFrame:
         for batch in batches:
             made: list = [None] * batch.num_rows
             for shape, rows in shapes(batch).items():
-                size = stack.odd(k or max(1, shape[1] // 75))
-                plane = stacked(batch.column("px"), rows, shape).mean(-1, keepdims=True)
-                for _ in range(2):
-                    plane = stack._padded(plane, size, lambda s: stack.box(s, size), 1)
+                plane = blurred(stacked(batch.column("px"), rows, shape), k)
                 for i, x in zip(rows, np.repeat(plane, shape[2], axis=-1)):
                     made[i] = x.ravel()
             yield batch.append_column("blur", pa.array(made, pa.list_(pa.float64())))
@@ -275,18 +418,38 @@ def with_blur(df: DataFrame, k: int | None = None) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def blurred(stacks: np.ndarray, k: int | None) -> np.ndarray:
+    """Mean component of frames (frames, height, width, channels) after two box means of k, or of a 75th of the width."""
+    size = stack.odd(k or max(1, stacks.shape[2] // 75))
+    plane = stacks.mean(-1, keepdims=True)
+    for _ in range(2):
+        plane = stack._padded(plane, size, lambda s: stack.box(s, size), 1)
+    return plane
+
+
 def average_adaptive(df: DataFrame, control: float, k: int | None = None) -> DataFrame:
     """Recursive average whose rate follows the blurred difference of consecutive frames, between 0.1 and 1.
 
     The rate is |blur(frame) - blur(frame before)| * control, clamped; the first frame is taken as it is.
     """
-    rows = with_previous(with_blur(df, k), "blur_before", of="blur")
-    rate = F.zip_with("blur", "blur_before", lambda x, y: F.least(F.lit(1.0), F.greatest(F.lit(0.1), F.abs(x - y) * control)))
-    first = F.transform("px", lambda v: F.lit(1.0))
-    rated = rows.withColumn("__t", F.coalesce(rate, first)).drop("blur", "blur_before")
-    a = F.transform("__t", lambda t: 1 - t)
-    b = F.zip_with("px", "__t", lambda v, t: v.cast("double") * t)
-    return with_px(affine_scan(rated, a, b, "__x"), F.col("__x")).select(*df.columns)
+
+    def rates(block: Block) -> np.ndarray:
+        blur = np.concatenate([blurred(f.astype(np.float64).reshape(1, *block.shape), k) for f in block.all])
+        rate = np.clip(np.abs(blur[block.rows] - blur[block.before]) * control, 0.1, 1.0)
+        rate[block.no == 0] = 1.0
+        return np.repeat(rate, block.shape[2], axis=-1).reshape(len(block.rows), -1)
+
+    def step(block: Block, some: slice, held: np.ndarray, done: list):
+        return 1 - held[:, some], block.px(some) * held[:, some]
+
+    def finish(block: Block, chunks) -> pa.Table:
+        out = np.empty((len(block.rows), block.all.shape[1]), np.float32)
+        for some, done in chunks:
+            out[:, some] = done[0]
+        own = _own(block)
+        return utc(own.set_column(own.schema.get_field_index("px"), "px", px_lists(list(out))))
+
+    return block_scan(df, [step], finish, df.schema, before=1, prepare=rates)
 
 
 def top_n(preds: DataFrame, n: int, by: list[str] = KEY) -> DataFrame:

@@ -254,7 +254,8 @@ _MODEL = """r AS (SELECT stream_id, frame_no, x, y, v, CAST(v AS DOUBLE) AS m, 1
 rounded("f8_background_variance", lambda d: temporal.background_model(d, 0.05).withColumn("px", F.col("bg_var").cast("array<float>")))
 ORACLES["f8_background_variance"] = f"WITH RECURSIVE {_P}, {_MODEL} SELECT stream_id, frame_no, CAST(x AS INTEGER) AS x, CAST(y AS INTEGER) AS y, round(CAST(CAST(s AS FLOAT) AS DOUBLE), 4) AS v FROM r"
 other("f9_motion_cells", lambda d: temporal.motion_cells(temporal.background_model(d, 0.05), 2.5, 4), lambda d: d.select("stream_id", "frame_no", "cell_x", "cell_y", "marked"))
-ORACLES["f9_motion_cells"] = f"WITH RECURSIVE {_P}, {_MODEL} SELECT stream_id, frame_no, CAST(x // 4 AS INTEGER) AS cell_x, CAST(y // 4 AS INTEGER) AS cell_y, bool_or(abs(v - m) / sqrt(s) > 2.5::DOUBLE) AS marked FROM r GROUP BY ALL"
+other("f9_motion", lambda d: temporal.motion(d, 0.05, 2.5, 4), lambda d: d.select("stream_id", "frame_no", "cell_x", "cell_y", "marked"))
+ORACLES["f9_motion"] = ORACLES["f9_motion_cells"] = f"WITH RECURSIVE {_P}, {_MODEL} SELECT stream_id, frame_no, CAST(x // 4 AS INTEGER) AS cell_x, CAST(y // 4 AS INTEGER) AS cell_y, bool_or(abs(v - m) / sqrt(s) > 2.5::DOUBLE) AS marked FROM r GROUP BY ALL"
 
 
 def _simple_cells(d: DataFrame) -> DataFrame:
