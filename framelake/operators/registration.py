@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..frames import FORMATS, KEY
 from ..functions import motion
 from .geometry import remap
-from .temporal import Block, affine_scan, block_scan, with_previous
+from .temporal import Block, affine_scan, block_scan, own_frames, with_previous
 from .vector import px_lists, small_batches, utc
 
 
@@ -100,8 +100,7 @@ def dewarp(df: DataFrame, longevity: float = 0.95, border: float = 0.0) -> DataF
         for some, done in chunks:
             ref[:, some] = done[0]
         out = [drawn(block.all[i].astype(float).reshape(block.shape), goal.reshape(block.shape), border) for i, goal in zip(block.rows, ref)]
-        own = block.table.take(pa.array(block.rows)).select(names)
-        return utc(own.set_column(names.index("px"), "px", px_lists(out)))
+        return utc(own_frames(block, out).select(names))
 
     return block_scan(df, [step], finish, df.schema, before=1)
 

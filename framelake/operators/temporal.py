@@ -10,12 +10,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import FORMATS, IMAGE, KEY, channels, with_px
 from ..functions import stack
 from ..functions.let import let
+from ..functions.ordered import running
 from ..functions.shared import bucketed, written
 from .vector import px_lists, shapes, small_batches, stacked, utc
 
@@ -138,23 +140,32 @@ def doubles(found: list[np.ndarray] | np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(found.ravel() if isinstance(found, np.ndarray) else np.concatenate(found)))
 
 
-def _starts(ends: DataFrame) -> DataFrame:
-    """ends(image, block, a, b): product and local result of each block -> (image, block, x0), what it takes over.
+def lists(found: list[np.ndarray]) -> pa.Array:
+    return doubles(found) if found else pa.array([], pa.list_(pa.float64()))
+
+
+def _carried(tiles: DataFrame, onward: bool = False) -> DataFrame:
+    """tiles(image, block, tile, a, b): product and local result of each block -> (image, block, tile, x0), what it takes over.
 
-    A task scans TILE values of each block of a stream.
+    onward: a row gives what the next block takes over; so the last block of a stream needs none. A task scans one tile of each block of a stream.
     """
 
     def carry(table: pa.Table) -> pa.Table:
         table, x, taken = table.sort_by("block"), np.zeros(1), []
         for p, q in zip(arrays(table, "a"), arrays(table, "b")):
-            taken.append(np.broadcast_to(x, q.shape))
-            x = p * x + q
-        return pa.table({c: table[c] for c in (*IMAGE, "tile", "block")} | {"x0": doubles(taken)})
+            before, x = np.broadcast_to(x, q.shape), p * x + q
+            taken.append(x if onward else before)
+        block = pc.add(table["block"], 1) if onward else table["block"]
+        return pa.table({c: table[c] for c in (*IMAGE, "tile")} | {"block": block, "x0": doubles(taken)})
+
+    return tiles.groupBy(*IMAGE, "tile").applyInArrow(carry, "stream_id string, img_no int, tile int, block bigint, x0 array<double>")
+
 
+def _starts(ends: DataFrame) -> DataFrame:
+    """ends(image, block, a, b) of whole frames -> (image, block, x0)."""
     part = lambda c: F.when(F.size(c) == 1, F.col(c)).otherwise(F.slice(c, F.col("tile") * TILE + 1, F.lit(TILE)))
     tiles = ends.withColumn("tile", F.explode(F.sequence(F.lit(0), F.ceil(F.greatest(F.lit(1), F.size("b")) / TILE).cast("int") - 1))).select(*IMAGE, "tile", "block", part("a").alias("a"), part("b").alias("b"))
-    scanned = tiles.groupBy(*IMAGE, "tile").applyInArrow(carry, "stream_id string, img_no int, tile int, block bigint, x0 array<double>")
-    return scanned.groupBy(*IMAGE, "block").agg(F.array_sort(F.collect_list(F.struct("tile", "x0"))).alias("t")).select(*IMAGE, "block", F.flatten("t.x0").alias("x0"))
+    return _carried(tiles).groupBy(*IMAGE, "block").agg(F.array_sort(F.collect_list(F.struct("tile", "x0"))).alias("t")).select(*IMAGE, "block", F.flatten("t.x0").alias("x0"))
 
 
 def affine_scan(df: DataFrame, a: Column, b: Column, name: str, size: int | None = None) -> DataFrame:
@@ -196,8 +207,11 @@ class Block:
     """The frames of a block and, with context, the frame before each: rows of values; `some` are those that a pass works on."""
 
     def __init__(self, table: pa.Table):
-        self.table = table = table.sort_by("frame_no")
-        flat = table["px"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        ahead = table["own_block"].to_numpy() > table["block"].to_numpy()
+        #: Whether the stream goes on in a further block, whose first frame has sent a row without pixels.
+        self.goes_on = bool(ahead.any())
+        self.table = table = table.filter(pa.array(~ahead)).sort_by("frame_no")
+        flat = np.frombuffer(b"".join(table["px"].to_pylist()), np.float32)
         self.all = flat.reshape(table.num_rows, -1) if table.num_rows else flat.reshape(0, 0)
         self.rows = np.flatnonzero(table["own_block"].to_numpy() == table["block"].to_numpy())
         self.no = table["frame_no"].to_numpy()[self.rows]
@@ -213,6 +227,17 @@ class Block:
         return self.all[self.before, some].astype(np.float64)
 
 
+def _packed(batches):
+    """px as the bytes of its float32 values, null as NaN: a block's frames are read and moved without looking at values."""
+    for batch in batches:
+        at = batch.schema.get_field_index("px")
+        px = batch.column(at)
+        flat = px.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+        ends = np.cumsum([0, *(px.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        body = pa.array([flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        yield pa.RecordBatch.from_arrays([body if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+
+
 #: Values of all frames of a block that are worked on at once.
 SOME = 1 << 16
 
@@ -227,15 +252,21 @@ def block_scan(df: DataFrame, steps: list[Callable], finish: Callable[[Block, li
     """
     by = [*IMAGE, "block"]
     size_of = block_frames(size)
-    spread = with_context(df, before, size) if before else df.withColumn("block", F.floor(F.col("frame_no") / size_of)).withColumn("own_block", F.col("block"))
-    rows = bucketed(spread, by, "frame_blocks")
+    own = F.floor(F.col("frame_no") / size_of)
+    here = F.sequence(own, F.floor((F.col("frame_no") + before) / size_of))
+    back = F.when((F.col("frame_no") % size_of == 0) & (own > 0), F.array(own - 1)).otherwise(F.array().cast("array<bigint>"))
+    spread = df.withColumn("own_block", own).withColumn("block", F.explode(F.concat(here, back)))
+    spread = spread.withColumn("px", F.when(F.col("own_block") <= F.col("block"), F.col("px")))
+    packed = spread.mapInArrow(_packed, spread.withColumn("px", F.lit(None).cast("binary")).schema)
+    rows = bucketed(packed, by, "frame_blocks")
     read = rows.select(*by, "own_block", "frame_no", "width", "height", "pix_fmt", "px")
-    names = [f"x{k}" for k in range(len(steps))]
 
     def chunks(block: Block, taken: pa.Table | None, upto: int):
         """(some, results of the first steps, a and b of the next)."""
         held = prepare(block) if prepare else None
-        starts = [arrays(taken, n)[0] for n in names[:upto]] if taken is not None and taken.num_rows else [np.zeros(1)] * upto
+        starts = [np.zeros(1)] * upto  # a stream's first block takes nothing over
+        if upto and taken.num_rows:
+            starts = [np.concatenate(arrays(taken.filter(pc.equal(taken["step"], k)).sort_by("tile"), "x0")) for k in range(upto)]
         width = block.all.shape[1]
         for k in range(0, width, SOME):
             some, done = slice(k, min(k + SOME, width)), []
@@ -252,40 +283,42 @@ def block_scan(df: DataFrame, steps: list[Callable], finish: Callable[[Block, li
         return steps[k](block, some, held, done) if k < len(steps) else None
 
     def end(k: int, table: pa.Table, taken: pa.Table | None) -> pa.Table:
+        """Product and local result of the block, a row a tile; nothing if no block follows."""
         block = Block(table)
-        head = {c: table[c].slice(0, 1 if len(block.rows) else 0) for c in by}
         products, results = [], []
-        for _, _, (a, b) in chunks(block, taken, k) if len(block.rows) else ():
+        for _, _, (a, b) in chunks(block, taken, k) if block.goes_on else ():
             product, x = np.ones(1), np.zeros(1)
             for i in range(len(b)):
                 product, x = a[i] * product, a[i] * x + b[i]
             products.append(product)
             results.append(x)
-        if not results:
-            return pa.table(head | {"a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
-        one = len(products[0]) == 1
-        return pa.table(head | {"a": doubles([products[0] if one else np.concatenate(products)]), "b": doubles([np.concatenate(results)])})
+        made = np.concatenate(results) if results else np.zeros(0)
+        cuts = range(0, len(made), TILE)
+        a = [products[0]] * len(cuts) if results and len(products[0]) == 1 else [np.concatenate(products)[i : i + TILE] for i in cuts]
+        head = {c: table[c].take(pa.array([0] * len(cuts), pa.int64())) for c in by}
+        return pa.table(head | {"tile": pa.array(range(len(cuts)), pa.int32()), "a": lists(a), "b": lists([made[i : i + TILE] for i in cuts])})
 
     def last(table: pa.Table, taken: pa.Table) -> pa.Table:
         block = Block(table)
         return finish(block, ((some, done) for some, done, _ in chunks(block, taken, len(steps)))) if len(block.rows) else finish(block, iter(()))
 
-    summary = "stream_id string, img_no int, block bigint, a array<double>, b array<double>"
+    summary = "stream_id string, img_no int, block bigint, tile int, a array<double>, b array<double>"
     carried = None
-    for k, name in enumerate(names):
+    for k in range(len(steps)):
         if carried is None:
             found = read.groupBy(*by).applyInArrow(lambda table: end(0, table, None), summary)
         else:
             found = read.groupBy(*by).cogroup(carried.groupBy(*by)).applyInArrow(lambda table, taken: end(k, table, taken), summary)  # noqa: B023 (runs before the loop goes on)
-        starts = _starts(written(found, "block-ends")).withColumnRenamed("x0", name)
-        same = F.expr("x.stream_id <=> y.stream_id AND x.img_no <=> y.img_no AND x.block <=> y.block")
-        both = starts if carried is None else carried.alias("x").join(starts.alias("y"), same).select("x.*", f"y.{name}")
-        carried = written(both, "block-starts")
+        starts = written(_carried(found, onward=True).withColumn("step", F.lit(k)), "block-starts")
+        carried = starts if carried is None else carried.unionByName(starts)
     return rows.groupBy(*by).cogroup(carried.groupBy(*by)).applyInArrow(last, schema)
 
 
-def _own(block: Block) -> pa.Table:
-    return block.table.take(pa.array(block.rows)).drop_columns(["block", "own_block"])
+def own_frames(block: Block, px: np.ndarray | list | None = None) -> pa.Table:
+    """The block's frames as they came, or with other pixels."""
+    own = block.table.drop_columns(["block", "own_block", "px"]).take(pa.array(block.rows))
+    values = px_lists(list(block.all[block.rows]) if px is None else list(px))
+    return own.add_column(block.table.schema.get_field_index("px"), "px", values)
 
 
 def _model(a: float) -> list[Callable]:
@@ -304,12 +337,13 @@ def _model(a: float) -> list[Callable]:
 
 def background_model(df: DataFrame, a: float = 0.01) -> DataFrame:
     """df with bg_mean and bg_var: running mean, and running square of the whole-number difference from it."""
+    names = df.columns
 
     def finish(block: Block, chunks) -> pa.Table:
         out = np.empty((2, len(block.rows), block.all.shape[1]))
         for some, done in chunks:
             out[0, :, some], out[1, :, some] = done
-        return utc(_own(block).append_column("bg_mean", doubles(out[0])).append_column("bg_var", doubles(out[1])))
+        return utc(own_frames(block).select(names).append_column("bg_mean", lists(list(out[0]))).append_column("bg_var", lists(list(out[1]))))
 
     none = F.lit(None).cast("array<double>")
     return block_scan(df, _model(a), finish, df.withColumns({"bg_mean": none, "bg_var": none}).schema)
@@ -327,7 +361,7 @@ def motion(df: DataFrame, a: float = 0.01, thr: float = 3.5, cell: int = 16) ->
             with np.errstate(divide="ignore", invalid="ignore"):
                 hit[:, some] = np.abs(block.px(some) - mean) / np.sqrt(var) > thr
         hit = hit.reshape(len(block.rows), *block.shape).any(3) if len(block.rows) else hit.reshape(0, 1, 1)
-        return cells_of(hit, cell, [_own(block)[c] for c in KEY])
+        return cells_of(hit, cell, [block.table[c].take(pa.array(block.rows)) for c in KEY])
 
     return block_scan(df, _model(a), finish, CELLS)
 
@@ -362,12 +396,16 @@ def motion_cells(model: DataFrame, thr: float = 3.5, cell: int = 16) -> DataFram
 
 
 def persistent(cells: DataFrame, n: int = 2) -> DataFrame:
-    """cells with run (marked frames in a row so far) and detected (run > n): gaps and islands per cell."""
-    own = Window.partitionBy(*IMAGE, "cell_x", "cell_y")
-    misses = F.sum((~F.col("marked")).cast("int")).over(own.orderBy("frame_no"))
-    rows = cells.withColumn("island", misses)
-    run = F.sum(F.col("marked").cast("int")).over(Window.partitionBy(*IMAGE, "cell_x", "cell_y", "island").orderBy("frame_no"))
-    return rows.withColumn("run", run.cast("long")).withColumn("detected", F.col("run") > n).drop("island")
+    """cells with run (marked frames in a row so far) and detected (run > n).
+
+    Unmarked frames number the islands of a cell, and marked ones are counted in their island; both are running sums over ranges of
+    cells and frames, so a long history is many tasks.
+    """
+    own = [*IMAGE, "cell_x", "cell_y"]
+    on = F.coalesce("marked", F.lit(False))
+    rows = cells.withColumn("island", (~on).cast("long")).withColumn("run", on.cast("long"))
+    counted = running(running(rows, own, ["frame_no"], sums=["island"]), [*own, "island"], ["frame_no"], sums=["run"])
+    return counted.withColumn("detected", F.col("run") > n).drop("island")
 
 
 def motion_overlay(df: DataFrame, cells: DataFrame, cell: int = 16) -> DataFrame:
@@ -433,6 +471,8 @@ def average_adaptive(df: DataFrame, control: float, k: int | None = None) -> Dat
     The rate is |blur(frame) - blur(frame before)| * control, clamped; the first frame is taken as it is.
     """
 
+    names = df.columns
+
     def rates(block: Block) -> np.ndarray:
         blur = np.concatenate([blurred(f.astype(np.float64).reshape(1, *block.shape), k) for f in block.all])
         rate = np.clip(np.abs(blur[block.rows] - blur[block.before]) * control, 0.1, 1.0)
@@ -446,8 +486,7 @@ def average_adaptive(df: DataFrame, control: float, k: int | None = None) -> Dat
         out = np.empty((len(block.rows), block.all.shape[1]), np.float32)
         for some, done in chunks:
             out[:, some] = done[0]
-        own = _own(block)
-        return utc(own.set_column(own.schema.get_field_index("px"), "px", px_lists(list(out))))
+        return utc(own_frames(block, out).select(names))
 
     return block_scan(df, [step], finish, df.schema, before=1, prepare=rates)
 

@@ -76,3 +76,16 @@ def test_dewarp_of_a_moving_scene_equals_a_loop(spark, pieces):
     found = px(registration.dewarp(frames(spark, source)))
     assert all(np.abs(a - b).max() < 1e-3 for a, b in zip(found, expected, strict=True))
     assert any(np.abs(a - v).max() > 1 for a, v in zip(expected[3:], source[3:]))  # the scene is drawn somewhere
+
+
+def test_runs_of_marks_equal_a_loop(spark):
+    rng = np.random.default_rng(6)
+    rows = [("s" if c < 3 else None, n, 0, c, 1, bool(m) if m < 2 else None) for c in range(5) for n, m in enumerate(rng.choice(3, 120, p=[0.15, 0.8, 0.05]))]
+    cells = spark.createDataFrame(rows, temporal.CELLS)
+    found = {(r.cell_x, r.frame_no): (r.run, r.detected) for r in temporal.persistent(cells.repartition(5), 3).collect()}
+    for c in range(5):
+        run = 0
+        for _, n, _, _, _, marked in (r for r in rows if r[3] == c):
+            run = run + 1 if marked else 0
+            assert found[c, n] == (run, run > 3)
+    assert temporal.persistent(cells.where("false")).count() == 0
