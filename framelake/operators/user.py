@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..frames import FORMATS, with_px
 from .vector import per_stack, small_batches
@@ -23,9 +24,18 @@ def apply_pixels(df: DataFrame, fn: Callable[[Column], Column]) -> DataFrame:
     return with_px(df, F.transform("px", lambda v: fn(v.cast("double"))))
 
 
-def consume(df: DataFrame, fn: Callable[[Iterator[Row]], None]) -> None:
-    """fn gets the rows of each partition of a batch table."""
-    df.foreachPartition(fn)
+def consume(df: DataFrame, fn: Callable[[Iterator[Row]], None], checkpoint: str | None = None, **trigger) -> StreamingQuery | None:
+    """fn gets the rows of each partition of a table, or of each micro-batch of a stream.
+
+    A stream needs a checkpoint folder and gives its query; trigger as in writeStream.trigger. Batches come in order, each at
+    least once: after a failure the last may come again, so what fn stores should be keyed by frame.
+    """
+    if not df.isStreaming:
+        return df.foreachPartition(fn)
+    if not checkpoint:
+        raise ValueError("a stream is consumed with a checkpoint folder")
+    writer = df.writeStream.foreachBatch(lambda batch, _: batch.foreachPartition(fn)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()
 
 
 def frames_to_rows(df: DataFrame, fn: Callable[[np.ndarray], list[tuple]], schema: str, keys: tuple[str, ...] = ("stream_id", "frame_no", "img_no")) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .frames import from_embeddings, pixels, tiled, to_rgb
 from .operators import filters, geometry, histograms, joins, objects, points, registration, temporal, user
 from .jobs import workloads
-from .sources import raw_video, video_format
+from .sources import page_stacks, raw_video, video_format
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,6 +106,14 @@ def _records(d: DataFrame) -> DataFrame:
     return _named(raw_video.read_metadata(d.sparkSession, folder, "tick:u32,gain:f64"))
 
 
+def _page_stacks(d: DataFrame) -> DataFrame:
+    """16-bit pages in chunks of seven, and back."""
+    folder = raw_video.shared_folder(d.sparkSession, "pages")
+    page_stacks.write_stack(points.convert_format(d, "Y_16"), folder, 7)
+    return page_stacks.read_stack(d.sparkSession, folder)
+
+
+text("a7_read_pages", _page_stacks, _V.format("v * 256"))
 text("a1_raw_video", _raw_video, _V.format("v"))
 other("a4_write_multi", _multi, lambda d: d.select("stream_id", "frame_no", F.array_join(F.transform("px", lambda v: v.cast("long").cast("string")), ",").alias("px"), "meta.ts_ns"))
 ORACLES["a4_write_multi"] = f"WITH {_P}, r AS (SELECT stream_id, frame_no, x, 7 - y AS y, v FROM p), t AS (SELECT stream_id, frame_no, string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY y, x) AS px FROM r GROUP BY stream_id, frame_no) SELECT t.*, s.ts_ns FROM t JOIN (SELECT CAST(label AS VARCHAR) AS stream_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame_no, vec_id * 50000000 AS ts_ns FROM embeddings) s USING (stream_id, frame_no)"

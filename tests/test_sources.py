@@ -96,3 +96,62 @@ def test_videos_arrive_as_a_stream(spark, tmp_path):
     assert run() == first
     raw_video.write_raw_video(frames(spark, ramp(2), stream="t"), str(tmp_path / "v"))
     assert run() == first + [("t_01", i, float(np.asarray(a)[0, 1])) for i, a in enumerate(ramp(2))]
+
+
+def hand_made(order, pages, rows_per_strip=2):
+    """A stack with several strips a page, directories after the pixels, the second page's first in the file."""
+    from framelake.sources.page_stacks import VERSION
+
+    body, places = bytearray((b"II" if order == "<" else b"MM") + np.array([VERSION], order + "u2").tobytes() + bytes(4)), {}
+    for k in reversed(range(len(pages))):
+        h, w = pages[k].shape
+        strips = [pages[k][i : i + rows_per_strip] for i in range(0, h, rows_per_strip)]
+        offsets = []
+        for s in strips:
+            offsets.append(len(body))
+            body += s.astype(order + "u2").tobytes()
+        tables = []
+        for values in (offsets, [2 * s.size for s in strips]):
+            tables.append((len(body) if len(values) > 1 else values[0], len(values)))
+            if len(values) > 1:
+                body += np.array(values, order + "u4").tobytes()
+        short = lambda v: np.array([v, 0], order + "u2").tobytes()
+        long = lambda v: np.array([v], order + "u4").tobytes()
+        fields = [(256, 3, 1, short(w)), (257, 4, 1, long(h)), (258, 3, 1, short(16)), (270, 2, 3, b"ab\x00\x00"), (273, 4, tables[0][1], long(tables[0][0])), (278, 3, 1, short(rows_per_strip)), (279, 4, tables[1][1], long(tables[1][0]))]
+        places[k] = len(body)
+        body += np.array([len(fields)], order + "u2").tobytes()
+        for tag, kind, n, value in fields:
+            body += np.array([tag, kind], order + "u2").tobytes() + long(n) + value
+        body += long(places[k + 1] if k + 1 < len(pages) else 0)
+    body[4:8] = np.array([places[0]], order + "u4").tobytes()
+    return bytes(body)
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_pages_of_both_byte_orders(spark, tmp_path, order):
+    from framelake.sources import page_stacks
+
+    pages = [np.arange(15).reshape(5, 3) * 4000 + k for k in range(5)]
+    (tmp_path / "night.tif").write_bytes(hand_made(order, pages[:2]))
+    (tmp_path / "night_X2.tif").write_bytes(hand_made(order, pages[2:4], 5))
+    (tmp_path / "night_X10.tif").write_bytes(hand_made(order, pages[4:]))
+    found = page_stacks.read_stack(spark, str(tmp_path))
+    assert same(px(found), pages) and {(r.stream_id, r.pix_fmt) for r in found.collect()} == {("night", "Y_16")}
+    past = raw_video.pages_at(raw_video.stack_pages(page_stacks.page_table(spark, str(tmp_path))), spark.createDataFrame([("night", 77)], "base string, position long")).collect()
+    assert [(r.chunk, r.page) for r in past] == [(10, 0)]
+    broken = bytearray(hand_made(order, pages[:1]))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "x.tif").write_bytes(b"XX" + broken[2:])
+    with pytest.raises(Exception, match="not a stack"):
+        page_stacks.read_stack(spark, str(tmp_path / "b")).count()
+
+
+def test_written_pages_come_back(spark, tmp_path):
+    from framelake.sources import page_stacks
+
+    source = [a * 200 for a in ramp(10)]
+    df = frames(spark, source, "Y_16", "a b").unionByName(frames(spark, source[:3], "Y_16", "c")).withColumn("frame_no", F.col("frame_no") * 3 + 5)
+    page_stacks.write_stack(df, str(tmp_path / "s"), 4)
+    assert sorted(os.listdir(tmp_path / "s")) == ["a%20b.tif", "a%20b_X2.tif", "a%20b_X3.tif", "c.tif"]
+    back = page_stacks.read_stack(spark, str(tmp_path / "s"))
+    assert same(px(back.where("stream_id = 'a b'")), source) and same(px(back.where("stream_id = 'c'")), source[:3])
