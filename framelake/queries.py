@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .frames import from_embeddings, pixels, tiled, to_rgb
-from .operators import filters, geometry, histograms, joins, objects, points, registration, temporal, user
+from .functions import stack
+from .operators import filters, geometry, histograms, joins, objects, points, registration, temporal, tiles, user
 from .jobs import workloads
 from .sources import page_stacks, raw_video, video_format
 
@@ -361,14 +362,23 @@ def _holds(d: DataFrame) -> DataFrame:
 
 other("a11_latest_frame_held", lambda d: joins.latest_frame(d, _holds(d)), lambda d: d.select("stream_id", "frame_no", "seq", F.array_join(F.transform("px", lambda v: v.cast("long").cast("string")), ",").alias("px")), "SELECT stream_id, max(frame_no) AS frame_no, count(*) AS seq, array_to_string(arg_max(px, frame_no), ',') AS px FROM f WHERE NOT (frame_no >= 3 AND frame_no < 9 OR frame_no >= 40) GROUP BY stream_id")
 
+# --- tiles of 4 x 4 with halos: the same results as of whole frames
+text("t1_split_merge", lambda d: tiles.merge(tiles.filtered(tiles.with_halo(tiles.split(d, 4, 4), 3), lambda s: s)), _V.format("v"))
+rounded("t2_box", lambda d: tiles.merge(tiles.filtered(tiles.split(d, 4, 4, 1), lambda s: stack.box(s, 3))), _cells("(v + l + q + t + b + tl + tr + bl + br) / 9::DOUBLE"))
+text("t3_erode", lambda d: tiles.merge(tiles.filtered(tiles.with_halo(tiles.split(d, 4, 4), 1), lambda s: stack.extreme(s, 3, False))), _minmax("min", "r", "p"))
+rounded("t4_gauss", lambda d: tiles.merge(tiles.filtered(tiles.with_halo(tiles.split(d, 4, 4), 1), lambda s: stack.gauss(s, 2.0, 3))), _cells(f"(v + {_W} * (l + q + t + b) + {_W} * {_W} * (tl + tr + bl + br)) / ((1 + 2 * {_W}) * (1 + 2 * {_W}))"))
+text("t5_integral", lambda d: tiles.merge(tiles.integral(tiles.split(d, 4, 4)).withColumn("px", F.col("px").cast("array<float>"))), "a AS (SELECT stream_id, frame_no, x, y, sum(v) OVER (PARTITION BY stream_id, frame_no, y ORDER BY x) AS v FROM p), r AS (SELECT stream_id, frame_no, x, y, sum(v) OVER (PARTITION BY stream_id, frame_no, x ORDER BY y) AS v FROM a)")
+
 # --- objects
 text("h1_edge_pixels", lambda d: objects.edge_pixels(points.threshold_ge(d, 128), border=True), "m AS (SELECT stream_id, frame_no, x, y, CASE WHEN v >= 128 THEN 1 ELSE 0 END AS v FROM p), " + _NEAR.format(src="m") + ", r AS (SELECT stream_id, frame_no, x, y, CASE WHEN v = 1 AND coalesce(l, 0) * coalesce(q, 0) * coalesce(t, 0) * coalesce(b, 0) = 0 THEN 255 ELSE 0 END AS v FROM n)")
 other("h2_components", lambda d: objects.components(points.threshold_ge(d, 150)), lambda d: d.select("stream_id", "frame_no", "l", "r", "t", "b"))
+other("t6_components", lambda d: tiles.components(tiles.with_halo(tiles.split(points.threshold_ge(d, 150), 4, 4), 1)), lambda d: d.select("stream_id", "frame_no", "l", "r", "t", "b"))
 ORACLES["h2_components"] = f"WITH RECURSIVE {_P}, m AS (SELECT stream_id, frame_no, x, y, CASE WHEN v >= 150 THEN 1 ELSE 0 END AS v FROM p), {_NEAR.format(src='m')}" + """, e AS (SELECT stream_id, frame_no, x, y, y * 8 + x AS id FROM n WHERE v = 1 AND coalesce(l, 0) * coalesce(q, 0) * coalesce(t, 0) * coalesce(b, 0) = 0),
   j AS (SELECT a.stream_id, a.frame_no, a.id AS a, b.id AS b FROM e a JOIN e b ON a.stream_id = b.stream_id AND a.frame_no = b.frame_no AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
   reach AS (SELECT stream_id, frame_no, a, b FROM j UNION SELECT k.stream_id, k.frame_no, k.a, j.b FROM reach k JOIN j ON k.stream_id = j.stream_id AND k.frame_no = j.frame_no AND k.b = j.a),
   g AS (SELECT stream_id, frame_no, a AS id, min(b) AS comp FROM reach GROUP BY stream_id, frame_no, a)
   SELECT stream_id, frame_no, CAST(min(x) AS INTEGER) AS l, CAST(max(x) AS INTEGER) AS r, CAST(min(y) AS INTEGER) AS t, CAST(max(y) AS INTEGER) AS b FROM e JOIN g USING (stream_id, frame_no, id) GROUP BY stream_id, frame_no, comp"""
+ORACLES["t6_components"] = ORACLES["h2_components"]
 rounded("h7_prepare_input", lambda d: points.channel(points.with_planes(points.prepare_input(d, 8, 8)), 0), None)
 other("h8_score", lambda d: user.score(d, lambda s: s.reshape(len(s), -1)[:, :2]), lambda d: d.select("stream_id", "frame_no", F.col("scores")[0].alias("a"), F.col("scores")[1].alias("b")), "SELECT stream_id, frame_no, CAST(px[1] AS DOUBLE) AS a, CAST(px[2] AS DOUBLE) AS b FROM f")
 
