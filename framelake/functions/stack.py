@@ -5,6 +5,8 @@ A neighbourhood of odd size K is defined where it lies inside the frame; elsewhe
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 
@@ -282,29 +284,56 @@ def _neighbour_slices(right, down, diagonals):
 
 
 def pulse_filter(frame: np.ndarray, p: int) -> np.ndarray:
-    """Flat regions smaller than p take the nearest value of a neighbour region, smallest regions first."""
-    v = frame.astype(float).copy()
-    while True:
-        label = label_regions(v[:, :-1] == v[:, 1:], v[:-1] == v[1:])
-        ids, flat, size = np.unique(label, return_inverse=True, return_counts=True)
-        flat = flat.reshape(label.shape)
-        if len(ids) == 1 or size.min() >= p:
-            return v
-        value = v.ravel()[ids]
-        pairs = np.concatenate([np.stack([flat[:, :-1].ravel(), flat[:, 1:].ravel()], 1), np.stack([flat[:-1].ravel(), flat[1:].ravel()], 1)])
-        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
-        pairs = np.unique(np.concatenate([pairs, pairs[:, ::-1]]), axis=0)
-        small = size[pairs[:, 0]] == size.min()
-        pairs = pairs[small]
-        far = np.abs(value[pairs[:, 0]] - value[pairs[:, 1]])
-        order = np.lexsort((-pairs[:, 1], far, pairs[:, 0]))  # of equally near neighbours the last wins
-        chosen = pairs[order][np.unique(pairs[order][:, 0], return_index=True)[1]]
-        # in turn: a region whose neighbour has just changed waits for the next round
-        touched = np.zeros(len(ids), bool)
-        for a, b in chosen:
-            if not touched[a] and not touched[b]:
-                value[a], touched[a], touched[b] = value[b], True, True
-        v = value[flat]
+    """Flat regions take the value of their nearest neighbour region, smallest regions first, up to sizes of p.
+
+    A round takes the regions of the smallest size in order of their first pixel; each takes the value that its nearest neighbour has by
+    then (of equally near ones the one whose first pixel is last), and regions of one value that touch become one. The
+    round in which the smallest size reaches p is the last. Regions are the nodes of a graph with their neighbours, joined
+    by union-find, and a queue by size; a round costs what its regions and their neighbours are.
+    """
+    flat = frame.astype(float).ravel()
+    label = label_regions(frame[:, :-1] == frame[:, 1:], frame[:-1] == frame[1:])
+    ids, node, size = np.unique(label.ravel(), return_inverse=True, return_counts=True)
+    grid = node.reshape(frame.shape)
+    pairs = np.concatenate([np.stack([grid[:, :-1].ravel(), grid[:, 1:].ravel()], 1), np.stack([grid[:-1].ravel(), grid[1:].ravel()], 1)])
+    near: list[set[int]] = [set() for _ in ids]
+    for x, y in pairs[pairs[:, 0] != pairs[:, 1]].tolist():
+        near[x].add(y)
+        near[y].add(x)
+    value, size, first, head, live = flat[ids].tolist(), size.tolist(), list(range(len(ids))), list(range(len(ids))), len(ids)
+
+    def find(k: int) -> int:
+        while head[k] != k:
+            head[k] = k = head[head[k]]
+        return k
+
+    queue = [(n, k) for k, n in enumerate(size)]
+    heapify(queue)
+    reached = 0
+    while reached < p and live > 1:
+        while head[queue[0][1]] != queue[0][1] or size[queue[0][1]] != queue[0][0]:
+            heappop(queue)
+        reached, group = queue[0][0], set()
+        while queue and queue[0][0] == reached:
+            n, k = heappop(queue)
+            if head[k] == k and size[k] == n:
+                group.add(k)
+        ordered = sorted(group, key=first.__getitem__)
+        for k in ordered:
+            near[k] = {find(x) for x in near[k]} - {k}
+            value[k] = value[min(near[k], key=lambda x: (abs(value[x] - value[k]), -first[x]))]  # noqa: B023 (used at once)
+        for k in ordered:
+            for x in list(near[k]) if head[k] == k else [find(x) for x in near[k]]:
+                a, b = find(k), find(x)
+                if a != b and value[a] == value[b]:
+                    if len(near[a]) < len(near[b]):
+                        a, b = b, a
+                    head[b], live = a, live - 1
+                    size[a], first[a] = size[a] + size[b], min(first[a], first[b])
+                    near[a] |= near[b]
+        for k in {find(k) for k in ordered}:
+            heappush(queue, (size[k], k))
+    return np.array([value[find(k)] for k in range(len(ids))])[node].reshape(frame.shape)
 
 
 def counts(values: np.ndarray) -> list[np.ndarray]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,27 +70,69 @@ def grow(rects: DataFrame, f: float, width: int, height: int) -> DataFrame:
     })
 
 
+def groups(lo_x: np.ndarray, hi_x: np.ndarray, lo_y: np.ndarray, hi_y: np.ndarray) -> np.ndarray:
+    """The group of each box; boxes that overlap, ends included, are of one group. A sweep over their left ends.
+
+    The active set is disjoint pieces of the other axis in order, each with a box and how far right it is covered: boxes under a
+    piece are one group by then, so a piece stands for all of them, and overlaps are never listed.
+    """
+    head = list(range(len(lo_x)))
+
+    def find(k: int) -> int:
+        while head[k] != k:
+            head[k] = k = head[head[k]]
+        return k
+
+    starts, ends, owner, until = [], [], [], []
+    for k in np.argsort(lo_x, kind="stable").tolist():
+        x, e, a, b = int(lo_x[k]), int(hi_x[k]), int(lo_y[k]), int(hi_y[k])
+        i, j = bisect_left(ends, a), bisect_right(starts, b)
+        new: list[tuple[int, int, int, int]] = []
+        at = a
+
+        def put(s: int, t: int, box: int, far: int) -> None:
+            if s > t:
+                return
+            if new and new[-1][3] == far and new[-1][1] == s - 1 and find(new[-1][2]) == find(box):  # noqa: B023 (used at once)
+                new[-1] = (new[-1][0], t, box, far)  # noqa: B023
+            else:
+                new.append((s, t, box, far))  # noqa: B023
+
+        for q in range(i, j):
+            s, t, box, far = starts[q], ends[q], owner[q], until[q]
+            if far < x:  # ended before
+                continue
+            head[find(box)] = find(k)
+            put(s, a - 1, box, far)
+            put(at, max(s, a) - 1, k, e)
+            put(max(s, a), min(t, b), k, max(far, e))
+            put(b + 1, t, box, far)
+            at = min(t, b) + 1
+        if at <= b:
+            put(at, b, k, e)
+        starts[i:j], ends[i:j], owner[i:j], until[i:j] = ([piece[c] for piece in new] for c in range(4))
+    return np.array([find(k) for k in range(len(head))], np.int64)
+
+
 def merged(boxes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Unions of overlapping rectangles until none overlap; the outcome doesn't depend on the order."""
-    done: list[tuple[int, int, int, int]] = []
-    for box in boxes:
-        again = True
-        while again:
-            again = False
-            for k, other in enumerate(done):
-                if overlaps(box, other):
-                    box = (min(box[0], other[0]), max(box[1], other[1]), min(box[2], other[2]), max(box[3], other[3]))
-                    del done[k]
-                    again = True
-                    break
-        done.append(box)
-    return done
-
-
-def overlaps(a: tuple[int, int, int, int], b: tuple[int, int, int, int]) -> bool:
-    """Centres no further apart than the whole halves of both widths and heights."""
-    near = lambda i: abs((a[i] + a[i + 1]) // 2 - (b[i] + b[i + 1]) // 2) <= (a[i + 1] - a[i]) // 2 + (b[i + 1] - b[i]) // 2
-    return near(0) and near(2)
+    """Unions of overlapping rectangles until none overlap: in each round all groups of overlapping ones become one each.
+
+    Two rectangles overlap if their centres are no further apart than the whole halves of both widths and heights: each reaches
+    from centre - half to centre + half.
+    """
+    box = np.array(boxes, np.int64).reshape(-1, 4)
+    while len(box):
+        centre, half = (box[:, 0::2] + box[:, 1::2]) // 2, (box[:, 1::2] - box[:, 0::2]) // 2
+        low, high = centre - half, centre + half
+        _, group = np.unique(groups(low[:, 0], high[:, 0], low[:, 1], high[:, 1]), return_inverse=True)
+        n = group.max() + 1
+        if n == len(box):
+            break
+        new = np.array([[1 << 40, -(1 << 40)] * 2] * n, np.int64)
+        for c, ufunc in enumerate((np.minimum, np.maximum, np.minimum, np.maximum)):
+            ufunc.at(new[:, c], group, box[:, c])
+        box = new
+    return [tuple(row) for row in box.tolist()]
 
 
 def merge_rects(rects: DataFrame, by: list[str] = BY, max_area: int | None = None, max_width: int | None = None, max_height: int | None = None) -> DataFrame:

@@ -531,6 +531,23 @@ def h4_merge_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.merge_rects(_rects(spark, sf_dir), ["frame_no"]).select("frame_no", "l", "r", "t", "b")
 
 
+def _merge_rounds(rounds: int) -> str:
+    """Each round joins what overlaps, over any number of links; an order has at most seven items, so six rounds end it."""
+    near = " AND ".join(f"abs((a.{i} + a.{j}) // 2 - (b.{i} + b.{j}) // 2) <= (a.{j} - a.{i}) // 2 + (b.{j} - b.{i}) // 2" for i, j in (("l", "r"), ("t", "b")))
+    steps = "".join(
+        f""", n{k} AS (SELECT *, row_number() OVER (PARTITION BY frame_no ORDER BY l, r, t, b) AS id FROM m{k}),
+  j{k} AS (SELECT a.frame_no, a.id AS a, b.id AS b FROM n{k} a JOIN n{k} b ON a.frame_no = b.frame_no AND {near}),
+  c{k} AS (SELECT frame_no, a, b FROM j{k} UNION SELECT c.frame_no, c.a, j.b FROM c{k} c JOIN j{k} j ON c.frame_no = j.frame_no AND c.b = j.a),
+  g{k} AS (SELECT frame_no, a AS id, min(b) AS root FROM c{k} GROUP BY frame_no, a),
+  m{k + 1} AS (SELECT frame_no, min(l) AS l, max(r) AS r, min(t) AS t, max(b) AS b FROM n{k} JOIN g{k} USING (frame_no, id) GROUP BY frame_no, root)"""
+        for k in range(rounds)
+    )
+    return f"{_REC}, m0 AS (SELECT frame_no, l, r, t, b FROM x){steps} SELECT * FROM m{rounds}"
+
+
+ORACLES["h4_merge_rects"] = _merge_rounds(6)
+
+
 @_query
 def h5_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.size_filter(_rects(spark, sf_dir), min_area=50, max_area=900, min_width=5).select(*_RECT)
