@@ -137,11 +137,14 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: float = 3
     is 0, and such documents are not taken); by default by_length().
     """
     kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies")]
-    sized = docs.withColumn("__w", F.lit(None).cast("int") if doc_weight is None else doc_weight).select(*kept, "__w", word_count().alias("size"), _uniform(key, seed).alias("u"))
+    weighed = docs.withColumn("__w", F.lit(None).cast("int") if doc_weight is None else doc_weight)
+    # the table's own columns travel in one, so that none has the name of a column made here
+    sized = weighed.select("source", F.struct(*kept).alias("__row"), "__w", word_count().alias("size"), _uniform(key, seed).alias("u"))
     own = sized.withColumn("doc_weight", by_length().cast("long") if doc_weight is None else _whole(F.col("__w"))).drop("__w")
     cuts = plan(staged(own.select("source", "size", "u", "doc_weight"), "mix-sizes"), weights, most)
     taken = (F.col("key") < F.col("below")) | (F.col("key") <= F.col("upto"))
-    return _ranked(own, cuts, most).withColumn("copies", F.col("certain") + F.coalesce(taken, F.lit(False)).cast("long")).drop("u", "doc_weight", "rate", "below", "upto", "expected", "certain", "key")
+    copies = F.col("certain") + F.coalesce(taken, F.lit(False)).cast("long")
+    return _ranked(own, cuts, most).select("__row.*", "size", "source_size", "target", copies.alias("copies"))
 
 
 ORACLE_SQL = r"""

@@ -87,6 +87,9 @@ def test_mixing_meets_targets(spark, docs, none):
     # a target of 2.4 times the source: the heavy half is at its cap, the light half takes what it leaves
     lifted = mixing.mixed(spark.createDataFrame([(i, "w " * 10, "a" if i < 100 else "b") for i in range(384)], "doc_id long, text string, source string"), weights=(5, 3), doc_weight=F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)).where("source = 'a'").collect()
     assert sum(r.copies * r.size for r in lifted) == lifted[0].target == 2400.0 and {r.copies for r in lifted if r.doc_id % 2 == 0} == {3}
+    names = ["u", "below", "rate", "upto", "key", "certain", "expected", "doc_weight", "s", "need"]
+    named = mixing.mixed(table.withColumns({n: F.col("doc_id") + i for i, n in enumerate(names)})).collect()
+    assert {r.doc_id: r.copies for r in named} == again and all(r[n] == r.doc_id + i for r in named for i, n in enumerate(names))
     small = mixing.mixed(docs).collect()
     assert len(small) == docs.count() and {r.size for r in small if r.text in (None, "", "   ")} == {0}
     assert mixing.mixed(none).count() == 0
