@@ -1 +1 @@
-"""Operations for training-data pipelines, numbered as the queries op1 to op10."""
+"""Operations for training-data pipelines, numbered as the queries op1 to op13."""
