@@ -133,6 +133,9 @@ text("b1_rgb8_to_rgba", lambda d: points.convert_format(d, "RGBA"), _RGB_TEXT.fo
 rounded("b2_to_y_f32", points.to_y_f32, _V.format("v / 256::DOUBLE"))
 rounded("b2_rgb_to_y_f32", points.to_y_f32, _V.format("(r0 + g0 + b0) / 768::DOUBLE"), True)
 other("b3_to_rgb_f32", lambda d: points.channel(points.to_rgb_f32(d), 1), as_pixels, "r AS (SELECT stream_id, frame_no, x, y, g0 / 256::DOUBLE AS v FROM p)", True)
+for _c, _name in ((0, "red"), (2, "blue")):
+    other(f"b3_to_rgb_f32_{_name}", lambda d, c=_c: points.channel(points.to_rgb_f32(d), c), as_pixels, f"r AS (SELECT stream_id, frame_no, x, y, {'rgb'[_c]}0 / 256::DOUBLE AS v FROM p)", True)
+text("b1_y16_to_y8", lambda d: points.convert_format(points.convert_format(d, "Y_16"), "Y_8"), _V.format("v"))
 text("b4_to_y8", lambda d: points.to_y8(points.to_y_f32(d), 0.99), _V.format("CASE WHEN v / 256::DOUBLE * 256 * 0.99::DOUBLE >= 255 THEN 255 ELSE floor(v / 256::DOUBLE * 256 * 0.99::DOUBLE + 0.5::DOUBLE) END"))
 text("b5_to_rgb8", points.to_rgb8, _RGB_TEXT.format(a="v", b="v", c="v"))
 text("b6_tonemap", lambda d: points.tonemap(d, 0.5), _V.format("floor(sqrt(v / 255::DOUBLE) * 255 + 0.5::DOUBLE)"))

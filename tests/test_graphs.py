@@ -104,3 +104,38 @@ def test_a_whole_frame_in_seconds():
     began = time.time()
     out = stack.pulse_filter(v, 30)
     assert len(np.unique(stack.label_regions(out[:, :-1] == out[:, 1:], out[:-1] == out[1:]))) < 2000 and time.time() - began < 60
+
+
+@pytest.mark.parametrize(("h", "w", "tiles", "clip"), [(16, 24, 4, 2.0), (13, 17, 3, 1.2), (5, 4, 8, 40.0)])
+def test_clahe_equals_a_loop(h, w, tiles, clip):
+    """Each pixel looks its value up in the clipped distributions of the four tiles whose centres lie around it."""
+    v = np.random.default_rng(h).integers(0, 200, (h, w))
+    ny, nx = min(tiles, h), min(tiles, w)
+    cut = lambda n, k: [int(n * i / k) for i in range(k + 1)]
+    ys, xs = cut(h, ny), cut(w, nx)
+
+    def table(a, b):
+        values = [v[y, x] for y in range(ys[a], ys[a + 1]) for x in range(xs[b], xs[b + 1])]
+        most = max(1.0, clip * len(values) / 256)
+        counts = [values.count(k) for k in range(256)]
+        over = sum(max(0.0, c - most) for c in counts) / 256
+        return [sum(min(c, most) + over for c in counts[: k + 1]) * 255 / len(values) for k in range(256)]
+
+    tables = [[table(a, b) for b in range(nx)] for a in range(ny)]
+
+    def around(at, edges):
+        """(tile, weight) of the centres on both sides; beyond the outer centres the outer tile alone."""
+        centres = [(p + q - 1) / 2 for p, q in zip(edges, edges[1:])]
+        if at <= centres[0]:
+            return [(0, 1.0)]
+        for k in range(len(centres) - 1):
+            if centres[k] <= at < centres[k + 1]:
+                f = (at - centres[k]) / (centres[k + 1] - centres[k])
+                return [(k, 1 - f), (k + 1, f)]
+        return [(len(centres) - 1, 1.0)]
+
+    found = stack.clahe(v[None, :, :, None].astype(float), clip, tiles)[0, :, :, 0]
+    for y in range(h):
+        for x in range(w):
+            value = sum(f * g * tables[a][b][v[y, x]] for a, f in around(y, ys) for b, g in around(x, xs))
+            assert abs(found[y, x] - min(255, max(0, np.floor(value + 0.5)))) <= (abs(value + 0.5 - round(value + 0.5)) < 1e-6)
