@@ -5,7 +5,7 @@ directions, then moves that keep more neighbours together while no part exceeds
 (one hidden layer) learns, for a vector, the share of its neighbours in each part. Parts grow with the root of the table.
 Beyond FAN parts there are two levels: each part of the first is a table of its own, sampled and fitted by one task.
 Indexing puts every row in its most probable part. A query goes to its most probable parts, until their predicted shares
-add up to what gives the wanted recall on the sample and they hold more ids than it wants, and all their rows are scored
+add up to what gives the wanted recall on sample vectors that the classifier hasn't seen and they hold more ids than it wants, and all their rows are scored
 exactly.
 
 A part's rows are dealt to blocks of bounded size, and so are the queries that visit it, so a part with a third of all
@@ -35,8 +35,10 @@ SAMPLE_PER_PART, NEIGHBOURS = 64, 20
 LEAST_SAMPLE = 12 * NEIGHBOURS
 #: Parts of one fitted level at most; a table has about half the root of its rows, FAN * FAN at most.
 FAN = 256
-#: Share of the sample's neighbours that the probed parts must hold.
+#: Share of the neighbours of held-out sample vectors that the probed parts must hold.
 WANTED = 0.93
+#: One sample vector of so many is kept from the network and calibrates it.
+HELD_OUT = 5
 BLOCK_ROWS, BLOCK_QUERIES = 16_384, 2_048
 
 
@@ -85,8 +87,9 @@ class Router:
                 leaf[part == p] += self.below[p].shares(x[part == p]).argmax(1)
         return leaf
 
-    def visits(self, x: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-        """The leaves that each query goes to; ids: how many ids each leaf holds."""
+    def visits(self, x: np.ndarray, ids: np.ndarray, k: int, filled: np.ndarray | None = None) -> list[np.ndarray]:
+        """The leaves that each query goes to; ids: how many ids are counted in each leaf, an id in one alone; filled: the leaves with rows."""
+        filled = ids > 0 if filled is None else filled
         shares, first = self.top.shares(x), self.first
         if self.below:
             shares = np.concatenate([shares[:, p : p + 1] * (self.below[p].shares(x) if p in self.below else 1) for p in range(self.top.parts)], axis=1)
@@ -94,7 +97,7 @@ class Router:
         upto = np.cumsum(np.take_along_axis(shares, order, 1), axis=1)
         enough = (upto >= self.top.mass - 1e-12) & (np.cumsum(ids[order], axis=1) > k)
         last = np.where(enough.any(1), enough.argmax(1), int(first[-1]) - 1)
-        return [np.sort(o[: n + 1][ids[o[: n + 1]] > 0]) for o, n in zip(order, last)]
+        return [np.sort(o[: n + 1][filled[o[: n + 1]]]) for o, n in zip(order, last)]
 
 
 def neighbours(x: np.ndarray, k: int) -> np.ndarray:
@@ -173,14 +176,15 @@ def fit_sample(x: np.ndarray, parts: int) -> Model:
     part = balanced_parts(x, graph, parts)
     goal = np.zeros((len(x), parts))
     np.add.at(goal, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 1 / graph.shape[1])
-    net = Model(*learn(x, goal), 1.0)
+    held = np.random.default_rng(11).permutation(len(x)) % HELD_OUT == 0
+    net = Model(*learn(x[~held], goal[~held]), 1.0)
     shares = net.shares(x)
     home = shares.argmax(1)
     # the mass of the parts that come before a neighbour's home, and its own: a query that goes on to it finds the neighbour
     order = np.argsort(-shares, axis=1, kind="stable")
     upto = np.empty_like(shares)
     np.put_along_axis(upto, order, np.cumsum(np.take_along_axis(shares, order, 1), axis=1) - np.take_along_axis(shares, order, 1), 1)
-    before = np.sort(upto[np.arange(len(x))[:, None], home[graph]].ravel())
+    before = np.sort(upto[np.flatnonzero(held)[:, None], home[graph[held]]].ravel())
     return Model(net.w1, net.b1, net.w2, net.b2, float(before[min(len(before) - 1, int(np.ceil(WANTED * len(before))))]) + 1e-9)
 
 
@@ -250,18 +254,19 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id"
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shared.value.homes(x).astype(np.int32))], names=["vec_id", "v", "asks", "part"])
 
     index = staged(rows.where(F.size("v") == model.top.dim).mapInArrow(place, "vec_id long, v array<double>, asks boolean, part int"), "ann-index")
-    # one row a part: how many ids it holds, and how many blocks its rows make
-    held = index.groupBy("part", "vec_id").agg(F.count("*").alias("n")).groupBy("part").agg(F.count("*").alias("ids"), F.ceil(F.sum("n") / BLOCK_ROWS).cast("int").alias("row_blocks"))
-    sizes = staged(held, "ann-parts")
-    ids = np.zeros(int(model.first[-1]), np.int64)
+    # one row a part: how many blocks its rows make, and how many ids it holds, each id counted in its first part alone
+    counted = index.groupBy("vec_id").agg(F.min("part").alias("part")).groupBy("part").agg(F.count("*").alias("ids"))
+    held = index.groupBy("part").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("row_blocks"))
+    sizes = staged(held.join(counted, "part", "left").select("part", F.coalesce("ids", F.lit(0)).alias("ids"), "row_blocks"), "ann-parts")
+    ids, filled = np.zeros(int(model.first[-1]), np.int64), np.zeros(int(model.first[-1]), bool)
     for r in sizes.collect():
-        ids[r.part] = r.ids
+        ids[r.part], filled[r.part] = r.ids, True
 
     def route(batches):
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 some = b.slice(i, 256)
-                tried = shared.value.visits(np.array(some.column("v").flatten()).reshape(some.num_rows, -1), ids, k)
+                tried = shared.value.visits(np.array(some.column("v").flatten()).reshape(some.num_rows, -1), ids, k, filled)
                 which = np.repeat(np.arange(some.num_rows), list(map(len, tried)))
                 yield pa.RecordBatch.from_arrays([some.column("vec_id").take(pa.array(which)), some.column("v").take(pa.array(which)), pa.array(np.concatenate(tried).astype(np.int32))], names=["query_id", "q", "part"])
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +141,9 @@ def _rows(ids: list, texts: list[str]) -> list[list]:
 def fingerprinted(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every document.
 
-    Documents are dealt to buckets of consecutive ids; each bucket also gets the first document of the next one, so texts
-    are shuffled once and no task sees more than a bucket.
+    Documents are dealt to buckets of consecutive ids, those of an id on many rows (or of none) by ranges of their digests;
+    each bucket also gets the first document of the next one, so texts are shuffled once and no task sees more than a
+    bucket. Rows that repeat id and text lie in one bucket.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -149,13 +151,20 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     ready = docs.select("doc_id", text_of().alias("text")).withColumn("digest", F.md5("text"))
     share = [i / (4 * parts) for i in range(1, 4 * parts)]
     cuts = docs.agg(F.percentile_approx("doc_id", share, 10_000).alias("cuts")).head()["cuts"] or []
-    cuts = sorted(set(cuts), reverse=True)
+    times = Counter(cuts)  # an id that is a cut several times holds about as many buckets' rows
+    cuts = sorted(times, reverse=True)
     bucket = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda c: F.col("doc_id") < c)))
-    ready = ready.withColumn("bucket", bucket)
+    heavy = [c for c in cuts if times[c] > 1]
+    ways = F.when(F.col("doc_id").isNull(), F.lit(4 * parts))
+    if heavy:
+        ways = ways.otherwise(F.element_at(F.create_map(*(F.lit(x) for c in heavy for x in (c, times[c]))), F.col("doc_id")))
+    # a heavy id is the last of its bucket, and no id comes after all ids, so their ranges follow at 1, 2, ...
+    within = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * ways / F.lit(1 << 32)) + 1
+    ready = ready.withColumn("bucket", bucket.cast("long") * F.lit(1 << 32) + F.coalesce(within, F.lit(0)))
     # one row a bucket: its first document in falling order of ids
     heads = sorted(ready.groupBy("bucket").agg(F.min(F.struct((-F.col("doc_id")).isNull().alias("last"), (-F.col("doc_id")).alias("minus"), "digest")).alias("h")).collect(), key=lambda r: r.bucket)
     follow = [(r.bucket, nxt.h.minus, nxt.h.digest) for r, nxt in zip(heads, heads[1:] + heads[:1])]
-    ahead = spark.createDataFrame(follow, "goes_to int, minus long, first_digest string")
+    ahead = spark.createDataFrame(follow, "goes_to long, minus long, first_digest string")
     extra = ready.join(F.broadcast(ahead), F.expr("digest = first_digest and -doc_id <=> minus")).select("doc_id", "text", "digest", F.col("goes_to").alias("bucket"), F.lit(1).alias("ahead"))
     dealt = ready.withColumn("ahead", F.lit(0)).unionByName(extra).repartition(parts, "bucket")
     ordered = dealt.sortWithinPartitions("bucket", "ahead", F.col("doc_id").desc_nulls_last(), "digest").drop("digest")

@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import small_batches, with_columns_from_arrow
+from .common import small_batches, staged, with_columns_from_arrow
 
 BITS = 12
-#: Learning documents of a language that its centroids are fitted on, about (a hash of the id decides).
+#: Learning documents of a language that its centroids are fitted on, about (a hash of id and text decides).
 FIT_ROWS = 2_000
 CENTROIDS = 4
+#: Centroids of all languages at most, 16 KB each: with more languages each has fewer, with more than this it is an error.
+MOST_CENTROIDS = 16_384
 REJECT = 0.15
 _BLOCK = 1 << 18
 
@@ -70,7 +72,8 @@ class Model:
 def fit(docs: DataFrame, bits: int = BITS, rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
     """Learn from docs(doc_id, text, lang), rows without text or lang apart.
 
-    To the driver go one document-frequency row per place and k centroids per language.
+    To the driver go one document-frequency row per place and k centroids per language, MOST_CENTROIDS in all at most;
+    a table with more languages than that raises an error. Equal rows are fitted once.
     """
     small_batches(docs.sparkSession)
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("key"), "text", F.col("lang").cast("string").alias("lang"))
@@ -91,10 +94,14 @@ def fit(docs: DataFrame, bits: int = BITS, rows: int = FIT_ROWS, k: int = CENTRO
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
     idf = idf.astype(np.float32)
 
-    sizes = known.groupBy("lang").count()
+    sizes = staged(known.groupBy("lang").count(), "langid-sizes")
+    langs = sizes.count()
+    if langs > MOST_CENTROIDS:
+        raise ValueError(f"{langs} languages, at most {MOST_CENTROIDS} can be learnt")
+    k = min(k, MOST_CENTROIDS // max(1, langs))
     share = sizes.select("lang", F.least(F.lit(1.0), F.lit(float(rows)) / F.col("count")).alias("share"))
-    # one row per language: as small as the list of languages that are learnt
-    some = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("key", F.lit("fit")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "key", "text")
+    # one row per language, MOST_CENTROIDS at most
+    some = known.join(F.broadcast(share), "lang").where(F.pmod(F.xxhash64("key", "text", F.lit("fit")), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "key", "text").distinct()
 
     def cluster(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("text", "ascending")])

@@ -122,13 +122,22 @@ def scored(docs: DataFrame, weights: np.ndarray, threshold: float = 0.5, text: s
 
 
 def sampled(labels: DataFrame, rows: int = TRAIN_ROWS, key: str = "doc_id") -> tuple[DataFrame, int]:
-    """About `rows` of the labels at most, chosen by a hash of the id, and about how many."""
+    """About `rows` of the distinct labels at most, chosen by a hash of the id, and about how many."""
+    labels = labels.distinct()
     n = labels.count()
     share = 1 << 20 if n <= rows else (rows << 20) // n
     return labels.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 20)) < share), min(n, rows)
 
 
 def trained(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndarray:
-    """Weights learnt from docs joined with labels(doc_id, label); the labels sent to all executors are `rows` at most."""
+    """Weights learnt from docs joined with labels(doc_id, label); a label stated twice counts once.
+
+    The labels sent to all executors are about `rows` at most. So are the documents they meet: where ids repeat and more
+    do, a hash of id and text decides which are read, and equal rows are read once.
+    """
     some, n = sampled(labels.where(F.col("label").isNotNull()).select("doc_id", "label"), rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id"), rows=n)
+    met = docs.select("doc_id").join(F.broadcast(some), "doc_id").count()
+    read = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    if met > n:
+        read = read.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("row")), F.lit(1 << 20)) < max(1, (rows << 20) // max(rows, met))).distinct()
+    return fit(read, rows=min(met, rows))
