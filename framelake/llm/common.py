@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,6 +61,26 @@ def join_heavy(rows: DataFrame, keys: DataFrame, on: list[str], count: str, deal
     return rows.join(heavy, on, "left").withColumn("__part", part).drop("__parts").join(spread, [*on, "__part"]).drop("__part")
 
 
+def heavy_values(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(value, __parts) of the values that one of these columns holds in more than 1/HEAVY of rows, a staged table.
+
+    At most HEAVY values a column, so the result is broadcast.
+    """
+    share = max(1, rows.count() // HEAVY)
+    counts = [rows.groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).where(F.col("n") > share) for c in columns]
+    most = reduce(DataFrame.unionByName, counts).groupBy("value").agg(F.max("n").alias("n"))
+    return F.broadcast(staged(most.select("value", F.ceil(F.col("n") / share).cast("int").alias("__parts")), "heavy"))
+
+
+def join_dealt(rows: DataFrame, keys: DataFrame, on: str, heavy: DataFrame, deal: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keys on one column whose heavy_values() may meet most rows: those are dealt as in join_heavy."""
+    parts = heavy.withColumnRenamed("value", on)
+    part = F.pmod(F.xxhash64(*deal), F.coalesce("__parts", F.lit(1))).cast("int")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))
+    spread = keys.join(parts, on, "left").withColumn("__part", copies).drop("__parts")
+    return rows.join(parts, on, "left").withColumn("__part", part).drop("__parts").join(spread, [on, "__part"], how).drop("__part")
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

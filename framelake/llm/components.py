@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import join_heavy, staged
 
 #: Links that one task of a round takes, about.
 TASK_LINKS = 100_000
@@ -33,12 +33,21 @@ def _finished(batches):
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least])], names=["a", "to"])
 
 
+def _renamed(names: DataFrame, into: DataFrame, parts: int) -> DataFrame:
+    """names(node, root) with the roots that into(a, to) merges replaced; a root of most nodes is dealt to many tasks."""
+    sizes = names.groupBy("root").agg(F.count("*").alias("n"))
+    merged = sizes.join(into.select(F.col("a").alias("root"), "to"), "root", "left").select("root", "n", F.coalesce("to", "root").alias("to"))
+    keys = staged(merged.coalesce(parts), "roots")
+    return staged(join_heavy(names, keys, ["root"], "n", ["node"]).select("node", F.col("to").alias("root")).coalesce(parts), "names")
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(a, b) -> (node, root) for every node of a link; root is any one node of its component.
 
     In each round every node is merged into the neighbour (or itself) that a hash of the round puts first; links between
     different nodes go on to the next round. The hash makes the expected number of rounds logarithmic, on chains too. The
-    last TASK_LINKS links are finished by one task.
+    last TASK_LINKS links are finished by one task. Nodes with very many links and roots of very many nodes are dealt to
+    several tasks in every join.
     """
     pairs = links.where(F.col("a") != F.col("b")).select("a", "b")
     edges = staged(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -49,13 +58,15 @@ def components(links: DataFrame) -> DataFrame:
     while n > TASK_LINKS:
         first = F.min(F.struct(F.xxhash64("b", F.lit(step)).alias("h"), F.col("b").alias("node"))).alias("near")
         own = F.struct(F.xxhash64("a", F.lit(step)).alias("h"), F.col("a").alias("node"))
-        into = staged(edges.groupBy("a").agg(first).select("a", F.least(own, F.col("near"))["node"].alias("to")).coalesce(parts), "hooks")
-        names = staged(names.join(into.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")).coalesce(parts), "names")
-        half = edges.join(into, "a").select(F.col("to").alias("x"), F.col("b").alias("a"))
-        edges = staged(half.join(into, "a").select(F.col("x").alias("a"), F.col("to").alias("b")).where("a != b").distinct().coalesce(parts), "edges")
+        hooks = edges.groupBy("a").agg(first, F.count("*").alias("links"))
+        into = staged(hooks.select("a", F.least(own, F.col("near"))["node"].alias("to"), "links").coalesce(parts), "hooks")
+        names = _renamed(names, into, parts)
+        # each link stands in both directions, so a node is as often the second end as the first
+        half = join_heavy(edges, into, ["a"], "links", ["b"]).select(F.col("a").alias("end"), F.col("to").alias("x"), F.col("b").alias("a"))
+        both = join_heavy(half, into, ["a"], "links", ["end"]).select(F.col("x").alias("a"), F.col("to").alias("b"))
+        edges = staged(both.where("a != b").distinct().coalesce(parts), "edges")
         n = edges.count()
         step += 1
     if n:
-        into = edges.select("a", "b").coalesce(1).mapInArrow(_finished, "a long, to long")
-        names = staged(names.join(into.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "names")
+        names = _renamed(names, edges.select("a", "b").coalesce(1).mapInArrow(_finished, "a long, to long"), parts)
     return names

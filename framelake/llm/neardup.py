@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import spans
-from .common import join_heavy, small_batches, staged
+from .common import heavy_values, join_dealt, join_heavy, small_batches, staged
 from .components import components
 
 REGISTERS, BAND_ROWS = 128, 4
@@ -123,11 +123,16 @@ def _candidates(members: DataFrame) -> DataFrame:
     return pairs.unionByName(stars).distinct()
 
 
-def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def _two_sided(pairs: DataFrame, side, heavy: DataFrame, how: str = "inner") -> DataFrame:
+    """pairs(a, b, ...) joined with side("a") and side("b"); centres of very many pairs are dealt by their pairs."""
+    return join_dealt(join_dealt(pairs, side("a"), "a", heavy, ["b"], how), side("b"), "b", heavy, ["a"], how)
+
+
+def _estimated(pairs: DataFrame, classes: DataFrame, heavy: DataFrame, threshold: float) -> DataFrame:
     """pairs(a, b) whose sizes and estimate allow the threshold, with the estimate."""
     least = threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n_shingles").alias(f"n_{s}"), F.col("registers").alias(f"r_{s}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
+    both = _two_sided(pairs, side, heavy).where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold))
 
     def run(batches):
         for t in batches:
@@ -140,10 +145,10 @@ def _estimated(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFr
     return both.select("a", "b", "n_a", "n_b", "r_a", "r_b").mapInArrow(run, "a long, b long, likely double")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, heavy: DataFrame, percent: int) -> DataFrame:
     """Those pairs(a, b) whose full sets have 100 * intersection >= percent * union."""
     side = lambda s: sets.select(F.col("node").alias(s), F.col("shingles").alias(f"s_{s}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    both = _two_sided(pairs.select("a", "b"), side, heavy)
 
     def run(batches):
         for t in batches:
@@ -159,10 +164,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "s_a", "s_b").mapInArrow(run, "a long, b long")
 
 
-def _apart(pairs: DataFrame, names: DataFrame) -> DataFrame:
+def _apart(pairs: DataFrame, names: DataFrame, heavy: DataFrame) -> DataFrame:
     """Those pairs(a, b, ...) that names(node, root) doesn't already hold together."""
     side = lambda s: names.select(F.col("node").alias(s), F.col("root").alias(f"root_{s}"))
-    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    named = _two_sided(pairs, side, heavy, "left")
     return named.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select(*pairs.columns)
 
 
@@ -170,32 +175,40 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
     """(doc_id, n_shingles, component_id, kept) of every row: component_id is the smallest id that links reach."""
     threshold = percent / 100
     sketches = staged(sketched(docs, k, key), "sketches")
-    filled = sketches.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    classes = staged(filled.groupBy("set_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    filled = sketches.where(F.col("set_id").isNotNull())
+    of_set = [F.min("doc_id").cast("long").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")]
+    sets_found = staged(filled.groupBy("set_id").agg(*of_set), "classes")
+    classes = sets_found.where(F.col("node").isNotNull())
 
     width = 2 * BAND_ROWS
     rows = classes.select("node", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("band"), "registers").select("node", "band", F.expr(f"substring(registers, band * {width} + 1, {width})").alias("value"))
     buckets = rows.groupBy("band", "value").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c")).where("size > 1").select("band", "value", "size", F.col("c.node").alias("centre"))
     members = staged(join_heavy(rows, staged(buckets, "buckets"), ["band", "value"], "size", ["node"]), "members")
 
-    pairs = staged(_estimated(_candidates(members), classes, threshold), "pairs")
+    candidates = staged(_candidates(members), "candidates")
+    heavy = heavy_values(candidates, ["a", "b"])
+    pairs = staged(_estimated(candidates, classes, heavy, threshold), "pairs")
     involved = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(members.where(F.col("size") > ALL_PAIRS).select("node")).distinct()
     texts = docs.select(F.col(key).cast("long").alias("node"), "text").join(involved, "node", "left_semi")
     sets = staged(_sets(texts, k).groupBy("node", "shingles").count().drop("count"), "sets")
 
-    best = pairs.select("a", "b", "likely", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.max(F.struct("likely", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = staged(_confirmed(best, sets, percent), "links")
+    likeliest = F.max(F.struct("likely", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("p")
+    best = staged(pairs.select("a", "b", "likely", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(likeliest).select("p.a", "p.b").distinct(), "best")
+    links = staged(_confirmed(best, sets, heavy, percent), "links")
     names = components(links)
-    links = links.unionByName(staged(_confirmed(_apart(pairs.join(best, ["a", "b"], "left_anti"), names), sets, percent), "links"))
+    rest = _apart(pairs.join(best, ["a", "b"], "left_anti"), names, heavy)
+    links = links.unionByName(staged(_confirmed(rest, sets, heavy, percent), "links"))
     names = components(links)
 
     more = staged(_across(members, names, classes, sets, percent), "links")
     if not more.isEmpty():
         names = components(links.unionByName(more))
 
-    smallest = names.join(names.groupBy("root").agg(F.min("node").alias("component_id")), "root").select("node", "component_id")
-    of_class = classes.select("set_id", "node").join(smallest, "node", "left").select("set_id", F.coalesce("component_id", "node").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "set_id").join(of_class, "set_id", "left")
+    roots = staged(names.groupBy("root").agg(F.min("node").alias("component_id"), F.count("*").alias("n")), "roots")
+    smallest = join_heavy(names, roots, ["root"], "n", ["node"]).select("node", "component_id")
+    of_class = staged(sets_found.select("set_id", "node", "copies").join(smallest, "node", "left").select("set_id", F.coalesce("component_id", "node").alias("component"), "copies"), "of-class")
+    named = join_heavy(filled.select("doc_id", "n_shingles", "set_id"), of_class, ["set_id"], "copies", ["doc_id"]).select("doc_id", "n_shingles", "component")
+    out = named.unionByName(sketches.where(F.col("set_id").isNull()).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", F.col("doc_id").cast("long"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
@@ -203,13 +216,14 @@ def grouped(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id")
 def _across(members: DataFrame, names: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different components of large buckets: the exact way for what the centres left open."""
     large = members.where(F.col("size") > ALL_PAIRS).join(names, "node", "left").select("band", "value", "centre", "node", F.coalesce("root", "node").alias("root"))
-    open_buckets = large.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "value")
-    mixed = staged(large.join(open_buckets, ["band", "value"]).select("node", "root", "centre").distinct(), "open")
+    ends = large.groupBy("band", "value").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("n"))
+    open_buckets = staged(ends.where("r0 != r1").select("band", "value", "n"), "open-buckets")
+    mixed = staged(join_heavy(large, open_buckets, ["band", "value"], "n", ["node"]).select("node", "root", "centre").distinct(), "open")
     clusters = components(mixed.select(F.col("node").alias("a"), F.col("centre").alias("b"))).withColumnRenamed("root", "cluster")
     rooted = staged(mixed.select("node", "root").distinct().join(clusters, "node"), "open")
     count = rooted.groupBy("cluster", "root").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    plan = count.select("cluster", F.col("main.root").alias("main"), F.ceil((F.col("n") - F.col("main.n")) / ACROSS).alias("xs"), F.ceil(F.col("n") / ALONG).alias("ys"))
-    every = rooted.join(plan, "cluster").join(classes, "node")
+    plan = staged(count.select("cluster", F.col("main.root").alias("main"), "n", F.ceil((F.col("n") - F.col("main.n")) / ACROSS).alias("xs"), F.ceil(F.col("n") / ALONG).alias("ys")), "plan")
+    every = join_heavy(rooted, plan, ["cluster"], "n", ["node"]).join(classes, "node")
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     seen = ["node", "root", "n_shingles", "registers"]

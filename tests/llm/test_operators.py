@@ -398,6 +398,37 @@ def test_components_of_a_chain(spark, links, monkeypatch):
     assert sorted(map(len, roots.values())) == [2, 61]
 
 
+@pytest.mark.parametrize("heavy", [4, 1024])
+def test_components_of_hubs(spark, heavy, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(components, "TASK_LINKS", 10)
+    stars = [(0, i) for i in range(1, 80)] + [(i, 500) for i in range(400, 460)] + [(i, i + 1) for i in range(200, 212)]
+    found = components.components(spark.createDataFrame(stars + stars[:9], "a long, b long")).collect()
+    roots = defaultdict(set)
+    for r in found:
+        roots[r.root].add(r.node)
+    assert len(found) == len({x for link in stars for x in link}) and sorted(map(len, roots.values())) == [13, 61, 80]
+
+
+@pytest.mark.parametrize("heavy", [4, 1024])
+def test_near_duplicates_with_a_third_of_copies(spark, heavy, monkeypatch):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    monkeypatch.setattr(neardup, "ALL_PAIRS", 3)
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(base)] * 60 + [""] * 30 + [None] * 10
+    for i in range(40):
+        texts.append(" ".join(w if p != i else f"e{i}" for p, w in enumerate(base)))
+    texts += [" ".join(f"x{v}" for v in rng.integers(0, 1 << 30, 40)) for _ in range(40)]
+    rows = [(int(d), t) for d, t in zip(rng.permutation(len(texts)), texts)]
+    found = neardup.grouped(spark.createDataFrame([*rows, (None, texts[0]), (None, "lone words here")], "doc_id long, text string"), k=2).collect()
+    expected = brute_groups(rows, 2, 80)
+    assert len(found) == len(rows) + 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None} == expected
+    lost = {r.n_shingles: (r.component_id, r.kept) for r in found if r.doc_id is None}
+    assert lost == {99: (expected[rows[0][0]][1], True), 2: (None, True)}
+
+
 def test_token_counts_use_the_cache(docs, none, tmp_path, monkeypatch):
     import sentencepiece
 
