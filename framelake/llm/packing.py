@@ -62,11 +62,11 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            file = json.load(f)
-        first, *rest = (file.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        steps = (self.whole.normalizer, self.whole.pre_tokenizer)
+        normalizer, splitter = (json.loads(step.__getstate__()) if step is not None else None for step in steps)
+        first, *rest = (splitter or {}).get("pretokenizers") or [{}]
         split = (first.get("type"), first.get("pattern"), first.get("invert"), [r.get("type") for r in rest])
-        self.by_word = file.get("normalizer") == NORMALIZER and split == ("Split", {"Regex": SPLIT}, True, ["ByteLevel"])
+        self.by_word = normalizer == NORMALIZER and split == ("Split", {"Regex": SPLIT}, True, ["ByteLevel"])
         self.bytes = _byte_names()
         self.parts: dict[str, list[int]] = {}
         self.words: dict[str, int] = {}
@@ -130,10 +130,11 @@ def word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, tokenizer: str, most: int = 4096, end: int = 1, key: str = "doc_id") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and the end token, cut only if longer than most."""
-    small_batches(docs.sparkSession, 4000)
+    small_batches(docs.sparkSession)
     ready = docs.select(F.col(key).alias("doc_id"), text_of().alias("text"))
 
     def run(batches):
+        pa.default_memory_pool().release_unused()  # a worker keeps what the arrays of an earlier stage took
         encode = word_ids(tokenizer)
         for batch in batches:
             ids, bounds = encode.batch(batch.column("text"))
