@@ -38,6 +38,15 @@ def _scan(x: np.ndarray, first: np.ndarray, held, kind: str) -> np.ndarray:
     return total - before if kind == "sum" else total ^ before
 
 
+def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """df with each group's rows one after another in one task, by `order`, for functions over batches.
+
+    Rows are dealt by a hash of the keys: where a join before has dealt by the keys themselves, Spark leaves out a shuffle by them,
+    and may then read that join's partitions in pieces, as nothing tells it that a function over batches needs them whole.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str | None = None, sums: Sequence[str] = (), xors: Sequence[str] = ()) -> DataFrame:
     """df with `number` (0-based place inside the group, by `order`) and with `sums` and `xors` as running values, own row included.
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import SCHEMA
-from ..functions.ordered import running
+from ..functions.ordered import grouped, running
 from ..operators.vector import px_lists
 from . import raw_video as raw
 from .video_format import file_name, mounted
@@ -96,13 +96,16 @@ def read_stack(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read.select(name.alias("stream_id"), "frame_no", F.lit(0).alias("img_no"), F.lit(None).cast("timestamp").alias("ts"), "width", "height", F.lit("Y_16").alias("pix_fmt"), "px", F.lit(None).cast("struct<ts_ns: bigint>").alias("meta")).to(spark.createDataFrame([], SCHEMA).schema)
 
 
-def page_bytes(values: np.ndarray, at: int, last: bool) -> bytes:
-    """A page that stands at byte `at`: its directory, then its one strip; values(height, width)."""
+#: Bytes from the start of a page that page_bytes makes to the place that names the next one.
+LINK = 2 + 12 * 9
+
+
+def page_bytes(values: np.ndarray, at: int) -> bytes:
+    """A page that stands at byte `at` before another one: its directory, then its one strip; values(height, width)."""
     h, w = values.shape
-    fields = [(WIDTH, 4, w), (HEIGHT, 4, h), (BITS, 3, 16), (COMPRESSION, 3, 1), (PHOTOMETRIC, 3, 1), (OFFSETS, 4, at + 2 + 12 * 9 + 4), (SAMPLES, 3, 1), (ROWS, 4, h), (COUNTS, 4, 2 * w * h)]
-    size = 2 + 12 * len(fields) + 4 + 2 * w * h
+    fields = [(WIDTH, 4, w), (HEIGHT, 4, h), (BITS, 3, 16), (COMPRESSION, 3, 1), (PHOTOMETRIC, 3, 1), (OFFSETS, 4, at + LINK + 4), (SAMPLES, 3, 1), (ROWS, 4, h), (COUNTS, 4, 2 * w * h)]
     head = struct.pack("<H", len(fields)) + b"".join(struct.pack("<HHII", tag, kind, 1, value) for tag, kind, value in fields)
-    return head + struct.pack("<I", 0 if last else at + size) + values.astype("<u2").tobytes()
+    return head + struct.pack("<I", at + LINK + 4 + 2 * w * h) + values.astype("<u2").tobytes()
 
 
 def write_stack(df: DataFrame, folder: str, pages: int = 1000) -> None:
@@ -114,30 +117,38 @@ def write_stack(df: DataFrame, folder: str, pages: int = 1000) -> None:
     os.makedirs(folder, exist_ok=True)
     rows = df.where("img_no = 0").select("stream_id", "frame_no", "width", "height", "px")
     chunked = running(rows, ["stream_id"], ["frame_no"], number="page").withColumn("chunk", F.floor(F.col("page") / pages))
-    sizes = chunked.groupBy("stream_id", "chunk").agg(F.max("page").alias("last"))
-    ready = chunked.join(sizes, ["stream_id", "chunk"])
 
     def run(batches):
-        handle = part = None
+        now = handle = part = path = None
+        link = 0
+
+        def finish() -> None:
+            handle.seek(link)
+            handle.write(struct.pack("<I", 0))  # no page follows
+            handle.close()
+            os.replace(part, path)
+
         try:
             for batch in batches:
                 px = batch.column("px")
-                for i, (stream, chunk, page, last, w, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("stream_id", "chunk", "page", "last", "width", "height")))):
-                    if handle is None:
-                        path = os.path.join(folder, file_name(stream, 0, numbered=False) + (f"_X{chunk + 1}" if chunk else "") + ".tif")
+                for i, (stream, chunk, w, h) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("stream_id", "chunk", "width", "height")))):
+                    if (stream, chunk) != now:
+                        if handle is not None:
+                            finish()
+                        now, path = (stream, chunk), os.path.join(folder, file_name(stream, 0, numbered=False) + (f"_X{chunk + 1}" if chunk else "") + ".tif")
                         part = os.path.join(folder, f".{uuid.uuid4().hex}")
-                        handle = open(part, "wb")  # noqa: SIM115 (closed at the chunk's last page)
+                        handle = open(part, "wb")  # noqa: SIM115 (closed when the chunk is whole)
                         handle.write(b"II" + struct.pack("<HI", VERSION, 8))
-                    handle.write(page_bytes(np.asarray(px[i].values.to_numpy(zero_copy_only=False)).reshape(h, w), handle.tell(), page == last))
-                    if page == last:
-                        handle.close()
-                        os.replace(part, path)
-                        handle = None
+                    link = handle.tell() + LINK
+                    handle.write(page_bytes(np.asarray(px[i].values.to_numpy(zero_copy_only=False)).reshape(h, w), handle.tell()))
                 yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+            if handle is not None:
+                finish()
+                handle = None
         finally:
             if handle is not None:  # a chunk that failed
                 handle.close()
-                os.remove(part)
+                if os.path.exists(part):
+                    os.remove(part)
 
-    ordered = ready.repartition("stream_id", "chunk").sortWithinPartitions("stream_id", "chunk", "page")
-    ordered.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    grouped(chunked, ["stream_id", "chunk"], ["page"]).mapInArrow(run, "n long").agg(F.sum("n")).collect()

@@ -29,3 +29,28 @@ def test_running_equals_a_loop(spark, parts, batch):
         held[0] += 1
     assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, expected))
     assert running(table.where("false"), ["g"], ["o"], number="at").count() == 0
+
+
+def test_groups_stay_in_one_task_after_a_join_by_their_key(spark):
+    """Spark turns such a join into a broadcast at run time and reads the shuffle before it in pieces."""
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from framelake.functions.ordered import grouped
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array([TaskContext.get().partitionId()] * batch.num_rows)], names=["k", "task"])
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "20k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        rows = spark.range(0, 4000, 1, 6).select("id", (F.col("id") % 50).alias("k"))
+        joined = rows.join(rows.groupBy("k").agg(F.max("id").alias("last")), ["k"])
+        tasks = grouped(joined, ["k"], ["id"]).mapInArrow(run, "k long, task long").groupBy("k").agg(F.countDistinct("task").alias("n"))
+        assert {r.n for r in tasks.collect()} == {1}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)

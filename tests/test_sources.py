@@ -155,3 +155,21 @@ def test_written_pages_come_back(spark, tmp_path):
     assert sorted(os.listdir(tmp_path / "s")) == ["a%20b.tif", "a%20b_X2.tif", "a%20b_X3.tif", "c.tif"]
     back = page_stacks.read_stack(spark, str(tmp_path / "s"))
     assert same(px(back.where("stream_id = 'a b'")), source) and same(px(back.where("stream_id = 'c'")), source[:3])
+
+
+def test_chunks_stay_whole_where_joins_turn_into_broadcasts(spark, tmp_path):
+    """Joins by the chunk that become broadcasts at run time leave its rows to several tasks of the shuffle before."""
+    from framelake.sources import page_stacks
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "7", "spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {key: spark.conf.get(key, None) for key in conf}
+    source = [a * 200 for a in ramp(100)]
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        page_stacks.write_stack(frames(spark, source, "Y_16"), str(tmp_path / "s"), 7)
+        assert sorted(os.listdir(tmp_path / "s")) == sorted(["s.tif", *[f"s_X{k}.tif" for k in range(2, 16)]])
+        assert same(px(page_stacks.read_stack(spark, str(tmp_path / "s"))), source)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
