@@ -7,7 +7,7 @@ a partition) is added to the first group of the partitions after it.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,10 @@ from pyspark.sql.types import StructType
 from .shared import written
 
 
+#: Bytes of rows that a function over whole groups holds at a time, about.
+BATCH_BYTES = 16 << 20
+
+
 def _starts(columns: list[pa.Array], last: list | None) -> np.ndarray:
     """Whether each row begins a group; last: the keys of the row before, None at the start of a partition."""
     new = np.zeros(len(columns[0]), bool)
@@ -47,6 +51,41 @@ def grouped(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> Da
     return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: Sequence[str], rows: int = 1 << 15, size: int = BATCH_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """The batches of `grouped` rows anew, so that none splits a group, with the row at which each group starts.
+
+    A new batch has about as many rows or bytes as given, or one group that is larger.
+    """
+    held: list[pa.RecordBatch] = []
+    last = None
+
+    def joined() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def starts(batch: pa.RecordBatch) -> np.ndarray:
+        return np.flatnonzero(_starts([batch.column(k) for k in keys], None))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        new = np.flatnonzero(_starts([batch.column(k) for k in keys], last))
+        last = [batch.column(k)[-1].as_py() for k in keys]
+        if len(new) and sum(b.num_rows for b in held) + batch.num_rows >= rows or len(new) and sum(b.nbytes for b in held) + batch.nbytes >= size:
+            # all but the group that the batch ends with
+            at = int(new[-1])
+            if at:
+                held.append(batch.slice(0, at))
+            if held:
+                whole = joined()
+                yield whole, starts(whole)
+            held = [batch.slice(at)]
+        else:
+            held.append(batch)
+    if held:
+        whole = joined()
+        yield whole, starts(whole)
+
+
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], number: str | None = None, sums: Sequence[str] = (), xors: Sequence[str] = ()) -> DataFrame:
     """df with `number` (0-based place inside the group, by `order`) and with `sums` and `xors` as running values, own row included.
 

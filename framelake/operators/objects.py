@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stack
+from ..functions.ordered import grouped, whole_groups
 from .vector import per_stack, shapes, small_batches, stacked
 
 BY = ["stream_id", "frame_no", "img_no"]
@@ -135,44 +136,86 @@ def merged(boxes: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
     return [tuple(row) for row in box.tolist()]
 
 
+#: Frames of so many boxes at most are merged together, by all pairs of each; larger ones by a sweep, one after another.
+FEW = 16
+
+
+def merged_small(frame: np.ndarray, box: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """merged() of many frames of a few boxes at once: frame(n) in ascending order and box(n, 4) -> the same of the unions."""
+    done = [(frame[:0], box[:0])]
+    while len(frame):
+        first = np.flatnonzero(np.diff(frame, prepend=frame[0] - 1))
+        n = np.diff(first, append=len(frame))
+        # every pair (a, b) of a frame with a < b: a box with each of those after it
+        after = np.repeat(first + n, n) - 1 - np.arange(len(frame))
+        a = np.repeat(np.arange(len(frame)), after)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(after) - after, after)
+        centre, half = (box[:, 0::2] + box[:, 1::2]) // 2, (box[:, 1::2] - box[:, 0::2]) // 2
+        near = np.ones(len(a), bool)
+        for c in (0, 1):
+            near &= np.abs(centre[a, c] - centre[b, c]) <= half[a, c] + half[b, c]
+        a, b = a[near], b[near]
+        least = linked(a, b, len(frame))
+        busy = np.zeros(len(first), bool)
+        busy[np.searchsorted(first, a, "right") - 1] = True
+        live = np.repeat(busy, n)
+        done.append((frame[~live], box[~live]))
+        # the boxes of a group one after another; groups stay in their frame's place, as a group's least box does
+        order = np.argsort(least[live], kind="stable")
+        head = least[live][order]
+        cut = np.flatnonzero(np.diff(head, prepend=-1))
+        frame, box = frame[live][order], box[live][order]
+        if len(cut):
+            box = np.stack([ufunc.reduceat(box[:, c], cut) for c, ufunc in enumerate((np.minimum, np.maximum, np.minimum, np.maximum))], 1)
+        frame = frame[cut]
+    return np.concatenate([f for f, _ in done]), np.concatenate([x for _, x in done])
+
+
+def linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The least node that each of n nodes reaches over links a - b."""
+    least = np.arange(n)
+    while True:
+        new = least.copy()
+        np.minimum.at(new, a, least[b])
+        np.minimum.at(new, b, least[a])
+        np.minimum.at(new, least, new.copy())  # a node's head learns what the node learnt
+        new = new[new]
+        if (new == least).all():
+            return least
+        least = new
+
+
 def merge_rects(rects: DataFrame, by: list[str] = BY, max_area: int | None = None, max_width: int | None = None, max_height: int | None = None) -> DataFrame:
-    """(by, rect_id, l, r, t, b) of merged rectangles per frame; frames pass through a task one after another.
+    """(by, rect_id, l, r, t, b) of merged rectangles per frame; whole frames pass through a task, small ones many at a time.
 
     Unions above a maximum are dropped with all that went into them, once no rectangles overlap any more.
     """
     sides = ["l", "r", "t", "b"]
     rows = rects.select(*by, *[F.col(c).cast("int").alias(c) for c in sides])
     schema = rows.select(*by).schema.add("rect_id", "long").add("l", "integer").add("r", "integer").add("t", "integer").add("b", "integer")
-    kinds = [f.type for f in pa_schema(rows.select(*by))]
-
-    def batch_of(found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) or [[]] * (len(by) + 5)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [*kinds, pa.int64(), *[pa.int32()] * 4])], names=schema.names)
 
     def run(batches):
-        now, boxes = None, []
-        for batch in batches:
-            found = []
-            for row in zip(*(batch.column(c).to_pylist() for c in [*by, *sides])):
-                if row[: len(by)] != now:
-                    found += [(*now, k, *box) for k, box in enumerate(sorted(merged(boxes)))] if boxes else []
-                    now, boxes = row[: len(by)], []
-                boxes.append(row[len(by) :])
-            yield batch_of(found)
-        if boxes:
-            yield batch_of([(*now, k, *box) for k, box in enumerate(sorted(merged(boxes)))])
-
-    whole = rows.repartition(*by).sortWithinPartitions(*by, *sides).mapInArrow(run, schema)
+        for batch, first in whole_groups(batches, by):
+            if any(batch.column(c).null_count for c in sides):
+                raise ValueError("a rectangle lacks a side")
+            box = np.stack([batch.column(c).to_numpy() for c in sides], 1).astype(np.int64)
+            n = np.diff(first, append=len(box))
+            small = np.repeat(n <= FEW, n)
+            found = [merged_small(np.repeat(np.arange(len(first)), n)[small], box[small])]
+            for k in np.flatnonzero(n > FEW).tolist():
+                large = np.array(merged(box[first[k] : first[k] + n[k]]), np.int64)
+                found.append((np.full(len(large), k), large))
+            frame, box = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((*box.T[::-1], frame))
+            frame, box = frame[order], box[order]
+            number = np.arange(len(frame)) - np.searchsorted(frame, frame)
+            place = pa.array(first[frame])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(place) for c in by), pa.array(number), *(pa.array(x.astype(np.int32)) for x in box.T)], names=schema.names)
+
+    whole = grouped(rows, by).mapInArrow(run, schema)
     return size_filter(whole, max_area=max_area, max_width=max_width, max_height=max_height)
 
 
-def pa_schema(df: DataFrame) -> pa.Schema:
-    """The Arrow types of a table's columns, without a job."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(df.schema)
-
-
 def size_filter(rects: DataFrame, min_area: int = 0, max_area: int | None = None, min_width: int = 0, max_width: int | None = None, min_height: int = 0, max_height: int | None = None) -> DataFrame:
     """Greatest sizes before a merge, least sizes after it; width is r - l, area their product."""
     w, h = F.col("r") - F.col("l"), F.col("b") - F.col("t")

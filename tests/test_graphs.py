@@ -139,3 +139,29 @@ def test_clahe_equals_a_loop(h, w, tiles, clip):
         for x in range(w):
             value = sum(f * g * tables[a][b][v[y, x]] for a, f in around(y, ys) for b, g in around(x, xs))
             assert abs(found[y, x] - min(255, max(0, np.floor(value + 0.5)))) <= (abs(value + 0.5 - round(value + 0.5)) < 1e-6)
+
+
+def test_many_frames_at_once_merge_as_each_alone(spark):
+    """Small frames go through a task together, which takes less than a fourth of a loop over them."""
+    rng = np.random.default_rng(5)
+    sizes = np.concatenate([rng.integers(1, 8, 100), [16, 17, 30, 1, 40]])
+    frame = np.repeat(np.arange(len(sizes)), sizes)
+    l, t, w, h = rng.integers(0, 100, len(frame)), rng.integers(-50, 50, len(frame)), rng.integers(0, 40, len(frame)), rng.integers(0, 40, len(frame))
+    rows = [("s", int(f), 0, *map(int, box)) for f, *box in zip(frame, l, l + w, t, t + h)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("10000", "5"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            found = objects.merge_rects(spark.createDataFrame(rows, "stream_id string, frame_no long, img_no int, l int, r int, t int, b int")).collect()
+            wanted = [("s", k, 0, n, *box) for k in range(len(sizes)) for n, box in enumerate(loop_merged([r[3:] for r in rows if r[1] == k]))]
+            assert sorted(map(tuple, found)) == wanted
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    box = np.stack([l, l + w, t, t + h], 1)[frame < 100].astype(np.int64)
+    few, start = frame[frame < 100], time.perf_counter()
+    objects.merged_small(np.concatenate([few + 100 * k for k in range(50)]), np.tile(box, (50, 1)))
+    together = time.perf_counter() - start
+    start = time.perf_counter()
+    for k in range(100):
+        objects.merged(list(map(tuple, box[few == k].tolist())))
+    assert together < 50 * (time.perf_counter() - start) / 4
