@@ -46,3 +46,13 @@ def test_tiles_of_colour_and_of_nothing(spark):
     assert np.abs(sums - rgb.cumsum(0).cumsum(1)).max() < 1e-6
     none = tiles.with_halo(tiles.split(df.where("false"), 4, 4), 1)
     assert tiles.merge(none).count() == tiles.components(none).count() == tiles.integral(none).count() == 0
+
+
+def test_tiles_of_one_place_pass_as_a_stack(spark):
+    """Filters get the tiles of many frames in a call, in batches that split frames too."""
+    source = [np.full((6, 9), k, float) for k in range(200)]
+    df = frames(spark, source).coalesce(1)
+    sizes = tiles.filtered(tiles.split(df, 4, 4, 1), lambda s: np.full(s.shape, len(s), float))
+    assert min(r.px[0] for r in sizes.collect()) > 1
+    back = tiles.merge(tiles.filtered(tiles.with_halo(tiles.split(df, 4, 4), 1), lambda s: s))
+    assert same(px(back), source)
